@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from intronaut.llm import sql
+from intronaut.llm.decontaminate import contaminated_words
+from intronaut.llm.embedding_dedup import similar_vectors
 from intronaut.llm.near_dedup import near_duplicates
 from intronaut.llm.substring_dedup import remove_repeats
 
@@ -15,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of ``embeddings`` within a label at cosine 0.93."""
+    return similar_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 35-word windows of ``documents``: what each document loses and the digest of what stays."""
     found = remove_repeats(_table(spark, sf_dir, "documents"))
@@ -26,9 +34,15 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` inside 13-word windows of ``benchmark`` items."""
+    found = contaminated_words(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, share=20)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup, op5_minhash_dedup)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op3_substring_dedup, op5_minhash_dedup, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontamination": sql.OP9}
