@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from intronaut.llm import sql
 from intronaut.llm.decontaminate import contaminated_words
 from intronaut.llm.embedding_dedup import similar_vectors
+from intronaut.llm.mixing import mix_sources
 from intronaut.llm.near_dedup import near_duplicates
 from intronaut.llm.substring_dedup import remove_repeats
+from intronaut.llm.toxicity import toxic_documents
+from intronaut.llm.warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +32,26 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of ``documents``, learned from ``labels`` outside the held-out fold."""
+    return toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, threshold=0.5)
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of ``documents`` on 4-word shingles at Jaccard 0.8."""
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources of ``documents`` takes from each document."""
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` written as WARC records and read back through the index."""
+    return round_trip(_table(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of ``documents`` inside 13-word windows of ``benchmark`` items."""
     found = contaminated_words(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, share=20)
@@ -41,8 +59,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op3_substring_dedup, op5_minhash_dedup, op9_decontamination)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op3_substring_dedup, op4_toxicity, op5_minhash_dedup, op6_mixing, op7_warc, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": sql.OP9}
+    return {"op6_mixing": sql.OP6, "op7_warc": sql.OP7, "op9_decontamination": sql.OP9}

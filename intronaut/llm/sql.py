@@ -26,3 +26,44 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) as contaminated
 from dw left join covered using (r) left join found using (r)
 """
+
+OP6 = r"""
+with sized as (
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from documents),
+sources as (select source, cast(sum(size) as bigint) as source_size from sized group by source),
+weighted as (
+  select source, source_size, [5.0::double, 2.0, 1.0][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight, source_size * 3.0::double as cap from sources),
+levels as (
+  select *, (sum(source_size) over () - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0))
+            / sum(weight) over (o rows between current row and unbounded following) as level
+  from weighted window o as (order by cap / weight, source nulls last)),
+final as (select arg_min(level, cap / weight) as level from levels where cap > level * weight),
+goals as (
+  select source, source_size,
+         case when cap > levels.level * weight and final.level is not null then weight * final.level else cap end as target,
+         cast(cast('0x' || substr(md5('mix:' || coalesce(source, chr(0) || 'null')), 1, 12) as bigint) as double) / 281474976710656.0::double as o
+  from levels, final),
+ranked as (select *, row_number() over (partition by source order by size, doc_id nulls last) - 1 as k from sized),
+crossed as (
+  select doc_id, size, source_size, target,
+         case when source_size > 0 then target / source_size else 0.0 end as rate, o, k
+  from ranked join goals on ranked.source is not distinct from goals.source)
+select doc_id, size, source_size, target,
+       cast(least(greatest(floor(o + rate * (k + 1)) - floor(o + rate * k), 0), 3) as bigint) * size as taken
+from crossed
+"""
+
+OP7 = """
+with hashed as (
+  select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes, coalesce(html, '') as payload, sha1(coalesce(html, '')) as h from pages),
+digits as (
+  select page_id, payload_bytes, payload,
+         list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((((instr('0123456789abcdef', h[1 + (5 * i) // 4]) - 1) * 16
+           + (instr('0123456789abcdef', h[2 + (5 * i) // 4]) - 1)) >> (3 - (5 * i) % 4)) & 31 as int), 1)), 'string_agg', '') as payload_digest
+  from hashed),
+firsts as (select *, min(page_id) over (partition by payload) as first from digits)
+select page_id, payload_bytes, payload_digest,
+       case when first is not null and first is distinct from page_id then 'revisit' else 'response' end as record_type,
+       case when first is distinct from page_id then first end as refers_to
+from firsts
+"""

@@ -22,6 +22,8 @@ _MASK = (1 << 64) - 1
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but letters and digits.
+NOT_ALNUM = np.array([not (c >= 0x80 or chr(c).isalnum()) for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
@@ -78,24 +80,24 @@ def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8), borders
 
 
-def split_words(column: pa.Array | pa.ChunkedArray, lower: bool = False, chunk: int = CHUNK_BYTES) -> Iterator[Words]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of whole texts with fingerprints, a chunk of rows at a time."""
+def split_words(column: pa.Array | pa.ChunkedArray, lower: bool = False, chunk: int = CHUNK_BYTES, separators: np.ndarray = SPACE) -> Iterator[Words]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` (or between other separators) of whole texts with fingerprints, a chunk of rows at a time."""
     data, borders = strings(column)
     rows, i = len(borders) - 1, 0
     while i < rows:
         j = max(i + 1, min(rows, int(np.searchsorted(borders, borders[i] + chunk, "right")) - 1))
         part = data[borders[i] : borders[j]]
-        yield _words(part, borders[i : j + 1] - borders[i], i, j, lower)
+        yield _words(part, borders[i : j + 1] - borders[i], i, j, lower, separators)
         i = j
 
 
-def _words(part: np.ndarray, cuts: np.ndarray, i: int, j: int, lower: bool) -> Words:
+def _words(part: np.ndarray, cuts: np.ndarray, i: int, j: int, lower: bool, separators: np.ndarray) -> Words:
     if not len(part):
         none = np.zeros(0, np.int64)
         return Words(i, j, part, none, none, np.zeros(j - i + 1, np.int64), np.zeros(0, U))
     if lower:
         part = LOWER[part]
-    inside = ~SPACE[part]
+    inside = ~separators[part]
     before, after = np.empty_like(inside), np.empty_like(inside)
     before[0] = after[-1] = False
     before[1:], after[:-1] = inside[:-1], inside[1:]
