@@ -3,7 +3,8 @@
 The links never leave the executors. Each partition first replaces its links by
 a spanning forest, then every round points nodes at the smallest neighbour they
 see (large star, small star) until nothing changes; rounds grow with the
-logarithm of the longest path. Degrees are reduced by aggregates with map-side
+logarithm of the longest path. Once at most ``FEW`` links are left, one task of
+that bounded size ends the work. Degrees are reduced by aggregates with map-side
 combine and joins that Spark may split, so a hub costs no more than its links.
 """
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from intronaut.scratch import materialize
 
 LINKS = "u long, v long"
+#: Links that a single task may finish.
+FEW = 200_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,14 +58,17 @@ def forest(links: DataFrame) -> DataFrame:
     return links.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_forest, LINKS)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, few: int = FEW) -> DataFrame:
     """(node, component) for every node of ``links`` (u, v): component is the smallest node reachable.
 
     Loops and repeated links are ignored, rows with a null end as well; a node without links has no row.
     """
-    now = materialize(forest(links.where("u is not null and v is not null and u <> v")).distinct(), "forest")
+    now = materialize(forest(links.where("u is not null and v is not null and u <> v")), "forest")
     before = None
     while True:
+        if now.limit(few + 1).count() <= few:
+            now = materialize(forest(now.coalesce(1)), "trees")
+            break
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if state[0] == 0 or state == before:
             break
