@@ -7,8 +7,10 @@ count of the XOR of two bitmaps, a similarity estimate that is sharp near 1, and
 only pairs that could reach the threshold are compared on full shingle sets.
 
 Equal sets are collapsed first, so copies cost one row. Within a bucket each
-document is compared with the bucket's centre; only what these stars leave in
-different components is then compared pair by pair. No bucket is capped.
+document is compared with the bucket's centre. What these stars leave in
+different components is compared pair by pair by a finer sketch, in blocks of a
+bucket's rows that meet in memory; only pairs that the sketch can't tell from
+linked ones leave a block. No bucket is capped, and none has to fit in one task.
 """
 
 from __future__ import annotations
@@ -30,39 +32,45 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Standard deviations of the estimate by which a pair at the threshold may fall short of it.
 SLACK = 4.0
+#: Of the sketch for pairs within a bucket, and the rows of a bucket that meet at once.
+FINE_SAMPLES, FINE_BITS, BLOCK = 1024, 4096, 512
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
-_FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
-_SALTS = mix(np.arange(1001, SAMPLES + 1001, dtype=U))
 
 
-def minhash(codes: np.ndarray) -> np.ndarray:
-    """The ``SAMPLES`` MinHash values of a non-empty set of fingerprints."""
-    least = np.full(SAMPLES, U(0xFFFFFFFFFFFFFFFF))
+def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
+    place = np.arange(1, n + 1, dtype=U)
+    return mix(place * U(0x9E3779B97F4A7C15)) | U(1), mix(place + U(100_000))
+
+
+def minhash(codes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """One MinHash value per factor of a non-empty set of fingerprints."""
+    least = np.full(len(factors), U(0xFFFFFFFFFFFFFFFF))
     for i in range(0, len(codes), 256):
-        block = codes[i : i + 256, None] * _FACTORS
+        block = codes[i : i + 256, None] * factors
         np.minimum(least, block.min(axis=0), out=least)
     return least
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
+def odd_sketch(samples: np.ndarray, salts: np.ndarray, bits: int) -> np.ndarray:
     """Parity bitmap of the samples as 64-bit words: a sample flips the bit that its value and place hash to."""
-    bits = np.bincount((mix(samples ^ _SALTS) % U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    flips = np.bincount((mix(samples ^ salts) % U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
-def odd_bits_limit(threshold: float) -> int:
+def odd_bits_limit(threshold: float, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> int:
     """Largest population count of a XOR that a pair at the threshold shows, ``SLACK`` deviations included.
 
     Of k samples k(1-J) differ in expectation; each differing sample flips two bits of n.
     """
-    least = max(0.0, threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SAMPLES))
-    flips = 2 * SAMPLES * (1 - least)
-    mean = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** flips)
+    least = max(0.0, threshold - SLACK * math.sqrt(threshold * (1 - threshold) / samples))
+    flips = 2 * samples * (1 - least)
+    mean = bits / 2 * (1 - (1 - 2 / bits) ** flips)
     return math.ceil(mean + math.sqrt(mean))
 
 
 def _signer(width: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors, salts = _factors(SAMPLES)
         for batch in batches:
             for words in split_words(batch.column("text"), lower=True):
                 ids = batch.column("doc_id").slice(words.first, words.last - words.first)
@@ -73,13 +81,13 @@ def _signer(width: int):
                     b.append(int(mix(codes).sum(dtype=U).view(np.int64)))
                     counts.append(len(codes) > 0)
                     if len(codes):
-                        samples = minhash(codes)
+                        samples = minhash(codes, factors)
                         rows = samples.reshape(BANDS, ROWS)
                         key = np.arange(1, BANDS + 1, dtype=U)
                         for r in range(ROWS):
                             key = mix(key ^ rows[:, r])
                         bands.append(signed(key))
-                        sketches.append(odd_sketch(samples))
+                        sketches.append(odd_sketch(samples, salts, SKETCH_BITS))
                 has = np.array(counts, np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * n)]).astype(np.int32)), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x, n in ((bands, BANDS), (sketches, SKETCH_BITS // 64))]
                 yield pa.record_batch([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
@@ -87,6 +95,80 @@ def _signer(width: int):
     return sign
 
 
+def _fine_signer(width: int):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors, salts = _factors(FINE_SAMPLES)
+        for batch in batches:
+            sizes, sketches = [], []
+            for words in split_words(batch.column("text"), lower=True):
+                for codes in shingle_sets(words, width):
+                    sizes.append(len(codes))
+                    sketches.append(odd_sketch(minhash(codes, factors), salts, FINE_BITS).tobytes() if len(codes) else b"")
+            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["rep", "n_shingles", "fine"])
+
+    return sign
+
+
+def _block_pairs(rows: dict[str, np.ndarray], percent: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one block pair, of different components, that size and sketch allow and that no earlier band has."""
+    us, vs = [], []
+    left, right = (np.flatnonzero(rows["side"] != 1), np.flatnonzero(rows["side"] != 0))
+    for i in left:
+        j = right[rows["component"][right] != rows["component"][i]]
+        if rows["side"][i] == 2:
+            j = j[rows["rep"][j] > rows["rep"][i]]
+        n, m = rows["n_shingles"][j], rows["n_shingles"][i]
+        j = j[100 * np.minimum(n, m) >= percent * np.maximum(n, m)]
+        if len(j):
+            j = j[np.bitwise_count(rows["fine"][j] ^ rows["fine"][i]).sum(axis=1) <= limit]
+        if len(j):
+            shared = rows["bands"][j] == rows["bands"][i]
+            first = rows["bands"][j, shared.argmax(axis=1)]
+            j = j[first == rows["bucket"][i]]
+        us.append(np.full(len(j), rows["rep"][i]))
+        vs.append(rows["rep"][j])
+    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def _block_sifter(percent: int):
+    limit = odd_bits_limit(percent / 100, FINE_SAMPLES, FINE_BITS)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            rows = {c: table.column(c).to_numpy() for c in ("bucket", "low", "high", "side", "rep", "component", "n_shingles")}
+            rows["fine"] = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint64).reshape(len(table), -1)
+            rows["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(rows["bucket"]) != 0) | (np.diff(rows["low"]) != 0) | (np.diff(rows["high"]) != 0)]))
+            for a, b in zip(new, [*new[1:], len(table)], strict=True):
+                u, v = _block_pairs({k: x[a:b] for k, x in rows.items()}, percent, limit)
+                if len(u):
+                    yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+
+        key = lambda batch, i: tuple(batch.column(c)[i].as_py() for c in ("bucket", "low", "high"))
+        for batch in batches:
+            if not len(batch):
+                continue
+            # rows of one block pair may go on in the next batch: cut where the last one began
+            cut, last = len(batch) - 1, key(batch, len(batch) - 1)
+            while cut > 0 and key(batch, cut - 1) == last:
+                cut -= 1
+            if cut == 0 and held and key(held[-1], len(held[-1]) - 1) == last:
+                held.append(batch)
+                continue
+            held.append(batch.slice(0, cut))
+            yield from flush()
+            held.append(batch.slice(cut))
+        if held:
+            yield from flush()
+
+    return sift
+
+
 def _verifier(width: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     )
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
     # the centre of a bucket is the member whose id XOR the bucket's hash is least: another one in each bucket
-    centres = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.col("rep").bitwiseXOR(F.col("bucket"))).alias("code")).where("n > 1").select("bucket", F.col("code").bitwiseXOR(F.col("bucket")).alias("centre"))
+    centres = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.col("rep").bitwiseXOR(F.col("bucket"))).alias("code")).where("n > 1").select("bucket", "n", F.col("code").bitwiseXOR(F.col("bucket")).alias("centre"))
     members = materialize(buckets.join(centres, "bucket"), "buckets")
     stars = members.where("rep <> centre").select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
 
@@ -147,12 +229,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     # rows of one doc_id with different texts are one node: classes that share a member
     joined = full.join(classes, ["set_a", "set_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     linked = materialize(components(first), "components")
-    placed = members.select("bucket", "rep", "centre").join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = members.select("bucket", "rep", "n").join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rest = materialize(placed.join(open_buckets, "bucket"), "open_buckets")
-    x, y = (rest.select("bucket", F.col("rep").alias(c), F.col("component").alias(f"component_{c}"), F.col("centre").alias(f"centre_{c}")) for c in "uv")
-    across = x.join(y, "bucket").where("u < v and component_u <> component_v and u <> centre_u and v <> centre_v").select("u", "v").distinct()
-    second = materialize(verified(sifted(across, "across")), "more_links")
+    rest = materialize(placed.join(open_buckets, "bucket").select("bucket", "rep", "component", "n"), "open_buckets")
+    fine = texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_fine_signer(width), "rep long, n_shingles long, fine binary")
+    fine = materialize(fine.join(reps.select("rep", "bands"), "rep"), "fine_sketches")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    met = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    met = met.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side.alias("side"), "rep", "component").join(fine, "rep")
+    key = ("bucket", "low", "high")
+    across = met.select(*key, "side", "rep", "component", "n_shingles", "fine", "bands").repartition(*key).sortWithinPartitions(*key).mapInArrow(_block_sifter(percent), "u long, v long")
+    second = materialize(verified(materialize(across.distinct(), "across")), "more_links")
     repeated = full.groupBy("doc_id").agg(F.min("set_a").alias("a"), F.max("set_a").alias("b")).where("a <> b").select("doc_id")
     same_id = joined.join(repeated.withColumnRenamed("doc_id", "u"), "u", "left_semi")
     final = materialize(components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second).union(same_id)), "components")
