@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from intronaut.llm import sql
 from intronaut.llm.decontaminate import contaminated_words
 from intronaut.llm.embedding_dedup import similar_vectors
+from intronaut.llm.language_id import identify
+from intronaut.llm.licenses import demonstration_paths, scan_licenses
 from intronaut.llm.mixing import mix_sources
 from intronaut.llm.near_dedup import near_duplicates
 from intronaut.llm.substring_dedup import remove_repeats
 from intronaut.llm.toxicity import toxic_documents
+from intronaut.llm.url_filter import demonstration_entries, filter_urls
 from intronaut.llm.warc import round_trip
 
 
@@ -26,6 +29,11 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of ``documents`` laid out as a file tree, own or inherited from the nearest directory."""
+    return scan_licenses(demonstration_paths(_table(spark, sf_dir, "documents"))).withColumnRenamed("file_id", "doc_id")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 35-word windows of ``documents``: what each document loses and the digest of what stays."""
     found = remove_repeats(_table(spark, sf_dir, "documents"))
@@ -52,15 +60,27 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text of ``documents``, learned outside the held-out fold."""
+    return identify(_table(spark, sf_dir, "documents"), folds=3, held=1)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of ``documents`` inside 13-word windows of ``benchmark`` items."""
     found = contaminated_words(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, share=20)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of ``pages``, a day of 2024 each, against a dated list over their hosts."""
+    pages = _table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(page_id % 366 as int))").alias("fetched_at"))
+    return filter_urls(captures, demonstration_entries(pages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op3_substring_dedup, op4_toxicity, op5_minhash_dedup, op6_mixing, op7_warc, op9_decontamination)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_license_scan, op3_substring_dedup, op4_toxicity, op5_minhash_dedup, op6_mixing, op7_warc, op8_language_id, op9_decontamination, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": sql.OP6, "op7_warc": sql.OP7, "op9_decontamination": sql.OP9}
+    return {"op6_mixing": sql.OP6, "op7_warc": sql.OP7, "op9_decontamination": sql.OP9, "op10_url_filter": sql.OP10}

@@ -67,3 +67,35 @@ select page_id, payload_bytes, payload_digest,
        case when first is distinct from page_id then first end as refers_to
 from firsts
 """
+
+OP10 = r"""
+with parsed as (
+  select row_number() over () as r, page_id, url, date '2024-01-01' + cast(page_id % 366 as int) as fetched_at,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) as host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') as segments
+  from pages),
+picked as (
+  select pattern, md5(pattern) as m from (
+    select host as pattern from parsed where host <> '' union select host || '/' || segments[1] from parsed where host <> '' and len(segments) > 0)
+  where instr('0123', md5(pattern)[1]) > 0),
+days as (
+  select pattern, cast('0x' || m[2:3] as int) as start, cast('0x' || m[4:5] as int) as life, cast('0x' || m[6] as int) as kind from picked),
+entries as (
+  select pattern, 'add' as action, date '2024-01-01' + start as dated from days
+  union all select pattern, 'remove', date '2024-01-01' + start + life + 1 from days where kind < 8
+  union all select pattern, 'add', date '2024-01-01' + start + life + 31 from days where kind < 4),
+intervals as (
+  select pattern, dated as since, until from (
+    select lower(pattern) as pattern, action, dated, lead(dated) over (partition by lower(pattern) order by dated) as until from entries)
+  where action = 'add'),
+keys as (
+  select r, fetched_at, unnest(list_concat(
+    list_transform(range(1, len(labels) + 1), lambda i: array_to_string(list_slice(labels, i, len(labels)), '.')),
+    list_transform(range(1, len(segments) + 1), lambda i: host || '/' || array_to_string(list_slice(segments, 1, i), '/')))) as key
+  from (select *, list_filter(string_split(host, '.'), lambda x: x <> '') as labels from parsed)),
+best as (
+  select r, arg_max(struct_pack(pattern := key, since := since), struct_pack(n := length(key), pattern := key)) as b
+  from keys join intervals on key = pattern and fetched_at >= since and (until is null or fetched_at < until) group by r)
+select page_id, url, fetched_at, b is not null as blocked, b.pattern as pattern, b.since as since
+from parsed left join best using (r)
+"""
