@@ -23,13 +23,13 @@ distance to the symbol, 112 bits together.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from intronaut.llm.words import U, Words, mix, signed, split_words, windows
 from intronaut.scratch import materialize
@@ -200,12 +200,26 @@ def _remover():
                 removed.append(len(words) - len(kept))
                 texts.append(b" ".join(kept).decode())
             span = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
-            rest = [batch.column(c) for c in batch.schema.names if c not in ("text", "ranges")]
-            yield pa.record_batch([*rest, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, span)], [*(c for c in batch.schema.names if c not in ("text", "ranges")), "n_words", "n_removed", "kept_text", "removed_spans"])
+            rest = [c for c in batch.schema.names if c != "ranges"]
+            yield pa.record_batch([*(batch.column(c) for c in rest), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, span)], [*rest, "n_words", "n_removed", "kept_text", "removed_spans"])
 
     return remove
 
 
+def remove_repeats_with(docs: DataFrame, window: int = 35) -> DataFrame:
+    """All columns of ``docs`` (doc_id and text among them) and those of :func:`remove_repeats`."""
+    if window < SHORTEST_WINDOW:
+        raise ValueError(f"a window has {SHORTEST_WINDOW} words at least")
+    # a key per row content: rows that repeat an id with another text stay apart; equal rows share their ranges
+    keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    elected = keyed.select("row_key", F.col("text").cast("string").alias("text")).mapInArrow(_elector(window), ELECTED)
+    met = elected.repartition(F.col("symbol")).sortWithinPartitions("symbol")
+    ranges = met.mapInArrow(_comparer(window), RANGES).groupBy("row_key").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    ranges = materialize(ranges, "ranges")
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("n_words long, n_removed long, kept_text string, removed_spans array<struct<low:int,high:int>>").fields])
+    return keyed.join(ranges, "row_key", "left").select(*docs.columns, "ranges").mapInArrow(_remover(), schema)
+
+
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """Remove each word covered by a window of ``window`` words that starts anywhere else as well.
 
@@ -215,13 +229,4 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     removed_spans (word ranges, end exclusive), one row per input row; repeated rows repeat
     each other. Other columns of ``docs`` are not read.
     """
-    if window < SHORTEST_WINDOW:
-        raise ValueError(f"a window has {SHORTEST_WINDOW} words at least")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # a key per row content: rows that repeat an id with another text stay apart; equal rows share their ranges
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    elected = keyed.select("row_key", "text").mapInArrow(_elector(window), ELECTED)
-    met = elected.repartition(F.col("symbol")).sortWithinPartitions("symbol")
-    ranges = met.mapInArrow(_comparer(window), RANGES).groupBy("row_key").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
-    ranges = materialize(ranges, "ranges")
-    return keyed.join(ranges, "row_key", "left").select("doc_id", "text", "ranges").mapInArrow(_remover(), "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<struct<low:int,high:int>>")
+    return remove_repeats_with(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), window).drop("text")

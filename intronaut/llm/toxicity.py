@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from intronaut.llm.words import NOT_ALNUM, U, Words, mix, split_words
 
@@ -131,18 +132,20 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(features, pa.binary())], ["doc_id", "toxic", "features"])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1) of every row by its whole text; null counts as empty."""
+def score_with(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score (0 to 1) of the whole text; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column("doc_id"), pa.array(score_column(model, batch.column("text")))], ["doc_id", "score"])
+            yield pa.record_batch([*batch.columns, pa.array(score_column(model, batch.column("text")))], [*batch.schema.names, name])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted, one row per document; a null id is not held out."""
-    scored = score(docs, train(docs, labels, folds))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = score_with(texts, train(docs, labels, folds))
     held_out = F.coalesce(remainder(F.col("doc_id"), folds) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
