@@ -1,29 +1,60 @@
-"""A corpus pipeline of five stages: each reads what its predecessor kept."""
+"""A corpus pipeline of five stages: each reads what its predecessor kept.
+
+Every stage but the last returns the columns of ``documents``; the last returns them with the
+number of the copy.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from intronaut.llm.decontaminate import contaminated_words
+from intronaut.llm.mixing import emitted
 from intronaut.llm.near_dedup import near_duplicates
-from intronaut.llm.substring_dedup import remove_repeats
+from intronaut.llm.substring_dedup import remove_repeats_with
+from intronaut.llm.toxicity import score_with, train
 from intronaut.scratch import materialize
 
+#: A document goes if its toxicity score reaches this.
+TOXIC = 0.5
+#: Words of a window whose repeats are removed, and of a window that marks contamination; share of words hit that is too much.
+REPEAT_WORDS, ITEM_WORDS, ITEM_SHARE = 35, 13, 20
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below ``TOXIC`` stay; the model is learned from ``labels`` and these documents."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_with(docs, model, "toxicity_score").where(F.col("toxicity_score") < TOXIC).drop("toxicity_score")
+
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: the smallest doc_id."""
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the smallest doc_id; five-word shingles at Jaccard 0.8."""
     kept = near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every word of a repeated window of 35 words goes; documents stay, with what is left of their text."""
-    found = remove_repeats(docs).select("doc_id", F.xxhash64("doc_id").alias("h"), "n_removed", "kept_text")
-    return docs.join(found, "doc_id")
+    """Words of repeated windows go, as the operator defines it; documents with repeats get their kept words joined by one space."""
+    found = remove_repeats_with(docs, REPEAT_WORDS)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by ``benchmark`` go, all rows of their doc_id with them."""
+    found = contaminated_words(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ITEM_WORDS, ITEM_SHARE)
+    bad = found.where("contaminated").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: a row for each copy of a document that it takes."""
+    return emitted(docs)
 
 
-STAGES = [("minhash_dedup", near_dedup)]
-#: Model training and passage removal can't be said in SQL.
+STAGES = [("toxicity", toxicity), ("minhash_dedup", minhash_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("mixing", mixing)]
+#: Training a model can't be said in SQL.
 ORACLE_SQL = None
 
 
