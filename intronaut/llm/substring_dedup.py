@@ -13,6 +13,9 @@ that it shares with every equal window.
    symbol's surroundings, leftmost first). Equal windows elect equal symbols at
    the same distance. A row per elected symbol carries fingerprints of the windows
    that elected it.
+   Windows that repeat within a task's chunk of text are settled there: their ranges
+   pass on as they are and one of them stands for all, so a symbol that fills the
+   corpus comes as a few rows from each chunk.
 2. Rows meet by the elected symbol's fingerprint. A symbol seen once ends all its
    windows; for shared ones the windows themselves are compared.
 3. Covered word ranges go back to their document, whose kept words are joined.
@@ -40,7 +43,7 @@ LONGEST = 2**ROUNDS
 CONTEXT = 3 + sum(2**r for r in range(1, ROUNDS))
 AROUND = 2 * CONTEXT + LONGEST
 SHORTEST_WINDOW = 2 * CONTEXT + 2 * LONGEST - 1
-ELECTED = "symbol long, row_key long, start int, distance int, windows binary"
+ELECTED = "symbol long, row_key long, start int, distance int, high int, windows binary"
 RANGES = "row_key long, low int, high int"
 _HASH_BYTES = 6
 
@@ -100,6 +103,35 @@ def elections(words: Words, window: int) -> tuple[np.ndarray, ...] | None:
     return row[start], start, place[start + CONTEXT], best[start + CONTEXT], windows(words.codes, window)[start]
 
 
+def _twins(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values occur more than once, and which of these occurrences come first."""
+    order = np.argsort(code, kind="stable")
+    ordered = code[order]
+    twin = ordered[1:] == ordered[:-1]
+    again, later = np.zeros(len(code), bool), np.zeros(len(code), bool)
+    later[order[1:]] = twin
+    again[order[:-1]] = twin
+    again |= later
+    return again, again & ~later
+
+
+def _spans(at: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each stretch of consecutive starts with the same owner."""
+    opens = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)])) if len(at) else np.zeros(0, np.int64)
+    return opens, np.append(opens[1:], len(at))[: len(opens)] - 1
+
+
+def _settled(row: np.ndarray, start: np.ndarray, keys: np.ndarray, offsets: np.ndarray, window: int) -> pa.RecordBatch:
+    """Ranges known to repeat, as rows with ``high`` that meet nothing on their way."""
+    opens, closes = _spans(row, start)
+    key, low, high = keys[row[opens]], start[opens] - offsets[row[opens]], start[closes] - offsets[row[opens]] + window
+    none = np.zeros(len(opens), np.int32)
+    return pa.record_batch(
+        [pa.array(signed(mix(key.view(U) + low.astype(U)))), pa.array(key), pa.array(low.astype(np.int32)), pa.array(none), pa.array(high.astype(np.int32)), pa.array([b""] * len(opens), pa.binary())],
+        ["symbol", "row_key", "start", "distance", "high", "windows"],
+    )
+
+
 def _elector(window: int):
     def elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,13 +141,17 @@ def _elector(window: int):
                 if found is None or not len(found[0]):
                     continue
                 row, start, place, vote, code = found
-                new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])]))
+                again, first = _twins(code)
+                yield _settled(row[again], start[again], keys[words.first :], words.offsets, window)
+                stay = ~again | first
+                row, start, place, vote, code = (x[stay] for x in found)
+                new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]))
                 data = np.ascontiguousarray(code.view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES])
                 borders = (np.append(new, len(row)) * _HASH_BYTES).astype(np.int32)
                 payload = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(borders), pa.py_buffer(data)])
                 yield pa.record_batch(
-                    [pa.array(signed(vote[new])), pa.array(keys[words.first + row[new]]), pa.array((start[new] - words.offsets[row[new]]).astype(np.int32)), pa.array((place[new] - start[new]).astype(np.int32)), payload],
-                    ["symbol", "row_key", "start", "distance", "windows"],
+                    [pa.array(signed(vote[new])), pa.array(keys[words.first + row[new]]), pa.array((start[new] - words.offsets[row[new]]).astype(np.int32)), pa.array((place[new] - start[new]).astype(np.int32)), pa.array(np.zeros(len(new), np.int32)), payload],
+                    ["symbol", "row_key", "start", "distance", "high", "windows"],
                 )
 
     return elect
@@ -123,9 +159,12 @@ def _elector(window: int):
 
 def _repeated(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     """Covered ranges of rows sorted by symbol, all rows of a symbol together."""
+    done = batch.column("high").to_numpy() > 0
+    ready = batch.filter(pa.array(done))
+    batch = batch.filter(pa.array(~done))
     symbol = batch.column("symbol").to_numpy()
     same = symbol[1:] == symbol[:-1]
-    shared = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+    shared = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same])) if len(batch) else np.zeros(0, np.int64)
     batch = batch.take(pa.array(shared))
     symbol = batch.column("symbol").to_numpy()
     borders = np.frombuffer(batch.column("windows").buffers()[1], np.int32)[: len(batch) + 1] // _HASH_BYTES if len(batch) else np.zeros(1, np.int32)
@@ -138,19 +177,12 @@ def _repeated(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     start = batch.column("start").to_numpy()[row] + step
     distance = (batch.column("distance").to_numpy()[row] - step).astype(U)
     key = mix(mix((wide.view(U)[:, 0] << U(8)) | distance) + symbol.view(U)[row])
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    again = np.zeros(len(key), bool)
-    twin = ordered[1:] == ordered[:-1]
-    again[order[1:]] |= twin
-    again[order[:-1]] |= twin
+    again = _twins(key)[0]
     at, start = row[again], start[again]
-    if not len(at):
-        none = pa.array([], pa.int32())
-        return pa.record_batch([pa.array([], pa.int64()), none, none], ["row_key", "low", "high"])
-    opens = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
-    closes = np.append(opens[1:], len(at)) - 1
-    return pa.record_batch([batch.column("row_key").take(pa.array(at[opens])), pa.array(start[opens].astype(np.int32)), pa.array((start[closes] + window).astype(np.int32))], ["row_key", "low", "high"])
+    opens, closes = _spans(at, start)
+    low, high = (pa.array(x.astype(np.int32)) for x in (start[opens], start[closes] + window))
+    columns = [(batch.column("row_key").take(pa.array(at[opens])), ready.column("row_key")), (low, ready.column("start")), (high, ready.column("high"))]
+    return pa.record_batch([pa.concat_arrays(x) for x in columns], ["row_key", "low", "high"])
 
 
 def _comparer(window: int):
