@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     full = signed_docs.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     reps = materialize(
-        full.join(classes, ["set_a", "set_b"]).where("doc_id = rep").groupBy("set_a", "set_b", "rep").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        full.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_a", "set_b"]).groupBy("doc_id", "set_a", "set_b").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumnRenamed("doc_id", "rep"),
         "representatives",
     )
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
