@@ -79,6 +79,8 @@ def _cosine(threshold: float):
             x, y = (np.array(batch.column(c).flatten().to_numpy(zero_copy_only=False), float) for c in ("x", "y"))
             n = np.array([len(a) for a in batch.column("x")], np.int64)
             at = np.concatenate([[0], np.cumsum(n)[:-1]])
+            if len(x):  # by the largest component, so that squares neither overflow nor vanish
+                x, y = (a / np.repeat(np.maximum.reduceat(np.abs(a), at), n) for a in (x, y))
             dots = [np.add.reduceat(a, at) if len(a) else np.zeros(0) for a in (x * y, x * x, y * y)]
             keep = pa.array(dots[0] / (np.sqrt(dots[1]) * np.sqrt(dots[2])) >= threshold)
             yield pa.record_batch([batch.column(c).filter(keep) for c in "uv"], ["u", "v"])
