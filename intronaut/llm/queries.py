@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": sql.OP6, "op7_warc": sql.OP7, "op9_decontamination": sql.OP9, "op10_url_filter": sql.OP10}
+    return {"op1_embedding_dedup": sql.OP1, "op3_substring_dedup": sql.OP3, "op5_minhash_dedup": sql.OP5, "op6_mixing": sql.OP6, "op7_warc": sql.OP7, "op9_decontamination": sql.OP9, "op10_url_filter": sql.OP10}

@@ -99,3 +99,49 @@ best as (
 select page_id, url, fetched_at, b is not null as blocked, b.pattern as pattern, b.since as since
 from parsed left join best using (r)
 """
+
+_COMPONENTS = """
+reach(node, other) as (select u, v from links union select r.node, l.v from reach r join links l on l.u = r.other),
+least as (select node, least(node, min(other)) as component from reach group by node)"""
+
+OP1 = f"""
+with recursive typed as (select vec_id, label, cast(embedding as double[]) as v from embeddings),
+good as (
+  select * from typed where vec_id is not null and label is not null and len(v) > 0
+    and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+links(u, v) as (
+  select a.vec_id, b.vec_id from good a join good b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.93),{_COMPONENTS},
+degree as (select u, count(*) as n from links group by u)
+select vec_id, cast(coalesce(n, 0) as bigint) as n_links, coalesce(component, vec_id) as component_id, vec_id = coalesce(component, vec_id) as kept
+from typed left join degree on u = vec_id left join least on node = vec_id
+"""
+
+OP3 = r"""
+with d as (
+  select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+windows as (
+  select r, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) as h from (select r, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),
+again as (select r, i from windows where h in (select h from windows group by h having count(*) > 1)),
+covered as (select distinct r, p from (select r, unnest(range(i, i + 35)) as p from again)),
+words as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (
+  select words.r, count(covered.p) as n_removed, string_agg(word, ' ' order by words.p) filter (covered.p is null) as text
+  from words left join covered on covered.r = words.r and covered.p = words.p group by words.r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from d left join kept using (r)
+"""
+
+OP5 = rf"""
+with recursive d as (
+  select row_number() over () as r, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+shingles as (
+  select distinct r, doc_id, md5(array_to_string(list_slice(w, i, i + 3), ' ')) as s
+  from (select r, doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from d where len(w) > 0)),
+sizes as (select r, count(*) as n from shingles group by r),
+shared as (select a.r as x, b.r as y, any_value(a.doc_id) as u, any_value(b.doc_id) as v, count(*) as c from shingles a join shingles b on a.s = b.s and a.r <> b.r and a.doc_id <> b.doc_id group by a.r, b.r),
+links(u, v) as (select distinct u, v from shared join sizes p on p.r = x join sizes q on q.r = y where 100 * c >= 80 * (p.n + q.n - c)),{_COMPONENTS}
+select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, coalesce(component, doc_id) as component_id, coalesce(component, doc_id) = doc_id as kept
+from d left join sizes using (r) left join least on node = doc_id
+"""

@@ -67,10 +67,9 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -
     """FTRL-proximal over the documents in the given order; coordinate 0 of ``z`` and ``n`` is the bias, not penalised."""
     if not len(documents):
         return Model(-np.inf, np.zeros(0, np.int64), np.zeros(0))
-    l1 = max(0.3, L1 * len(documents) / SAMPLE)  # the penalty keeps its share of the summed loss
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     order = np.random.default_rng(7).permutation(len(documents))
-    penalty = lambda at: np.where(at == 0, 0.0, l1)
+    penalty = lambda at: np.where(at == 0, 0.0, L1)
     shifted = [np.concatenate([[0], x + 1]) for x in documents]
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -102,7 +101,7 @@ def score_column(model: Model, column: pa.Array) -> np.ndarray:
         hit = dense[feature] != 0
         key = np.unique((row[hit] << BITS) | feature[hit])
         total = np.bincount(key >> BITS, weights=dense[key & ((1 << BITS) - 1)], minlength=len(words.counts)) + model.bias
-        out.append(1.0 / (1.0 + np.exp(-np.clip(total, -700, 700))))
+        out.append(np.where(np.isinf(total), 0.0, 1.0 / (1.0 + np.exp(-np.clip(total, -700, 700)))))
     return np.concatenate(out) if out else np.zeros(0)
 
 
