@@ -70,7 +70,6 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     order = np.random.default_rng(7).permutation(len(documents))
     penalty = lambda at: np.where(at == 0, 0.0, L1)
-    shifted = [np.concatenate([[0], x + 1]) for x in documents]
 
     def weights(at: np.ndarray) -> np.ndarray:
         zi = z[at]
@@ -78,7 +77,7 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -
 
     for _ in range(epochs):
         for i in order:
-            at = shifted[i]
+            at = np.concatenate([[0], documents[i] + 1])
             w = weights(at)
             g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[i]
             g *= POSITIVE if labels[i] else 1.0
@@ -121,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMP
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     found = rows.mapInArrow(_extract, "doc_id long, toxic int, features binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("features").alias("features")).toArrow().sort_by("doc_id")
-    documents = [np.frombuffer(x, np.int32).astype(np.int64) for x in found.column("features").to_pylist()]
+    documents = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("features")]  # views, not copies
     return fit(documents, found.column("toxic").to_numpy())
 
 
