@@ -46,7 +46,7 @@ def design(groups: pd.DataFrame) -> pd.DataFrame:
     levels = sorted(groups.grp.unique()) if np.issubdtype(groups.grp.dtype, np.number) else list(dict.fromkeys(groups.grp))
     if len(levels) != 2:
         raise ValueError("two groups are compared")
-    out = pd.DataFrame({"group": (groups.grp == levels[1]).astype(float)}, index=groups["sample"].tolist())
+    out = pd.DataFrame({"group": (groups.grp == levels[1]).astype(float).to_numpy()}, index=groups["sample"].tolist())
     for c in groups.columns.drop(["sample", "grp"]):
         col = groups[c]
         if np.issubdtype(col.dtype, np.number):

@@ -1,0 +1 @@
+"""The workflows are bounded: inputs are whole files, and nothing here keeps state between batches."""
