@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from intronaut.scratch import materialize
+
 # Coefficients of algorithm AS 241 (PPND16), numerators and denominators by power.
 AS241 = {
     "central": (
@@ -43,13 +45,29 @@ def normal_quantile(p: Column) -> Column:
 
 
 def adjusted_fdr(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
-    """Benjamini-Hochberg over the rows of ``by`` (default all) with a p-value; null stays null."""
-    known = F.when(F.col(p).isNotNull(), 1)
-    w = Window.partitionBy(*by)
-    asc = w.orderBy(F.asc_nulls_last(p)).rowsBetween(Window.unboundedPreceding, 0)
-    desc = w.orderBy(F.desc_nulls_first(p)).rangeBetween(Window.unboundedPreceding, 0)
-    scaled = df.withColumn("_scaled", F.col(p) * F.count(known).over(w) / F.count(known).over(asc))
-    return scaled.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_scaled").over(desc)))).drop("_scaled")
+    """Benjamini-Hochberg over the rows of ``by`` (default all) with a p-value; null stays null.
+
+    Without ``by`` no single task sees all rows: they are range-partitioned by p-value and written once, a row's rank is
+    its place in its partition after the partitions before, and the running minimum from the largest
+    p-value down is one within the partition and one over the partitions' minima.
+    """
+    if by:
+        w = Window.partitionBy(*by)
+        n, rank = F.count(p).over(w), F.count(p).over(w.orderBy(F.asc_nulls_last(p)).rowsBetween(Window.unboundedPreceding, 0))
+        scaled = df.withColumn("_scaled", F.col(p) * n / rank)
+        least = F.min("_scaled").over(w.orderBy(F.desc_nulls_first(p)).rangeBetween(Window.unboundedPreceding, 0))
+        return scaled.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), least))).drop("_scaled")
+    ordered = materialize(df.repartitionByRange(F.asc_nulls_last(p)).sortWithinPartitions(F.asc_nulls_last(p)).withColumn("_at", F.monotonically_increasing_id()), "p_values")
+    part = F.shiftright("_at", 33)
+    pieces = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"), F.count(p).alias("_known"), F.min("_at").alias("_first"))
+    # one row per partition of the range exchange from here on
+    pieces = pieces.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_known").over(Window.partitionBy()))
+    ranked = ordered.withColumn("_part", part).join(F.broadcast(pieces), "_part")
+    ranked = ranked.withColumn("_scaled", F.col(p) * F.col("_n") / (F.col("_before") + F.col("_at") - F.col("_first") + 1))
+    later = ranked.groupBy("_part").agg(F.min("_scaled").alias("_least")).withColumn("_later", F.min("_least").over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1))).drop("_least")
+    own = F.min("_scaled").over(Window.partitionBy("_part").orderBy(F.desc_nulls_first(p)).rangeBetween(Window.unboundedPreceding, 0))
+    adjusted = ranked.withColumn("_own", own).join(F.broadcast(later), "_part")
+    return adjusted.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col("_own"), F.col("_later")))).select(*df.columns, out)
 
 
 def bonferroni_min(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:

@@ -14,6 +14,22 @@ def test_adjusted_p_values(spark):
     assert got[2] is None and [round(x, 9) for x in got if x is not None] == [0.03, 0.03, 0.04]
 
 
+def test_adjusted_p_values_equal_the_definition(spark):
+    rng = np.random.default_rng(4)
+    p = [None if rng.random() < 0.1 else round(float(rng.random()), 2) for _ in range(500)]
+    df = spark.createDataFrame([(i, i % 3, v) for i, v in enumerate(p)], "i int, g int, p double").repartition(6)
+    for by in ((), ("g",)):
+        got = {r.i: r.q for r in stats.adjusted_fdr(df, "p", "q", *by).collect()}
+        for part in ([range(500)] if not by else [range(k, 500, 3) for k in range(3)]):
+            known = sorted((p[i], i) for i in part if p[i] is not None)
+            least = 1.0
+            for rank in range(len(known), 0, -1):
+                value, i = known[rank - 1]
+                least = min(least, value * len(known) / rank)
+                assert got[i] == pytest.approx(min(v for v in [least] + [known[k][0] * len(known) / (k + 1) for k in range(rank - 1, len(known))]))
+            assert all(got[i] is None for i in part if p[i] is None)
+
+
 def test_normal_scores(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "x double")
     assert [round(r.q, 4) for r in stats.qqnorm(df, "x", "q").orderBy("x").collect()] == [-0.8694, 0.0, 0.8694]
