@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from intronaut.scratch import materialize
+
 #: Largest number of intervals that is broadcast; longer lists are joined by shuffle.
 BROADCAST_ROWS = 100_000
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -54,7 +56,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     code point) and since. A null or unreadable URL, or a null time, matches nothing. Repeated
     rows get the same answer each.
     """
-    active = intervals(entries)
+    active = materialize(intervals(entries), "intervals")
     if active.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         active = F.broadcast(active)
     asked = captures.select(F.col("url").alias("asked_url"), F.col("fetched_at").alias("asked_at")).where("asked_url is not null and asked_at is not null").distinct()

@@ -5,7 +5,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from intronaut.llm import near_dedup
 from intronaut.llm.components import components

@@ -1,7 +1,6 @@
 """Decontamination, mixing, WARC, URL filters and licences: SQL twins, round trips, brute force, edge cases."""
 
 import glob
-import hashlib
 import os
 import random
 import re
