@@ -198,7 +198,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed_docs = materialize(docs.mapInArrow(_signer(width), SIGNATURE), "signatures")
     full = signed_docs.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
+    # written, so that the joins with it are between two exchanges and Spark may split the rows of a large class
+    classes = materialize(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
     reps = materialize(
         full.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_a", "set_b"]).groupBy("doc_id", "set_a", "set_b").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumnRenamed("doc_id", "rep"),
         "representatives",
