@@ -22,6 +22,8 @@ from intronaut.llm.words import LOWER, strings
 
 STRETCH, HIDDEN = 64, 8
 DOCUMENTS, STRETCHES = 400, 12
+#: Languages that are learned at most, the most frequent ones.
+LANGUAGES = 1000
 BATCH, EPOCHS, RATE = 256, 4, 0.02
 #: Stretches computed at once when predicting: their states stay in the caches.
 WIDE = 1024
@@ -172,9 +174,10 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, folds: int = 3, held: int = 1, documents: int = DOCUMENTS) -> tuple[list[str], Params]:
     """Languages and network, from documents with id, text and lang outside fold ``held`` of the id's crc32."""
     known = docs.where("doc_id is not null and lang is not null and text <> ''").where(remainder(F.col("doc_id"), folds) != held)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # at most LANGUAGES rows, so the texts need not be dealt by language to meet them
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    chosen = known.join(counts, "lang").where(draw * F.col("n") < documents).select("doc_id", "lang", "text")
+    chosen = known.join(F.broadcast(counts), "lang").where(draw * F.col("n") < documents).select("doc_id", "lang", "text")
     found = chosen.mapInArrow(_pick, "doc_id long, lang string, data binary, length int").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("data", "ascending")])
     names = sorted(set(found.column("lang").to_pylist()))
     if not names:
