@@ -192,14 +192,13 @@ def bonferroni_min(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def fisher_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = _pvalues(spark, sf_dir).where("l_linenumber = 1 and l_orderkey % 40 = 1")
-    return _rounded(stats.fisher_combined(some, "p", "p_fisher", "l_suppkey"), 6, "p_fisher").where("p_fisher is not null")
+    return _rounded(stats.fisher_combined(_pvalues(spark, sf_dir), "p", "p_fisher", "l_suppkey"), 6, "p_fisher").where("p_fisher is not null")
 
 
 @_query
 def outlier_cluster_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = _pvalues(spark, sf_dir).where("p is not null and l_orderkey % 50 = 1")
-    least = some.groupBy("l_suppkey").agg(F.min("p").alias("m"), F.count("*").alias("n"))
+    known = _pvalues(spark, sf_dir).where("p is not null")
+    least = known.groupBy("l_suppkey").agg(F.min("p").alias("m"), F.count("*").alias("n"))
     return least.select("l_suppkey", F.round(F.when(F.col("m") < 1, stats.cluster_p(F.col("m"), F.col("n"))).otherwise(1.0), 6).alias("p_cluster"))
 
 

@@ -76,15 +76,20 @@ def bonferroni_min(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
 
 
 def fisher_combined(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
-    """Chi-square survival of -2 sum(log p) at twice as many degrees of freedom as p-values, in its finite sum."""
-    half = df.groupBy(*by).agg((-F.sum(F.log(p))).alias("_half"), F.count(p).cast("int").alias("_n"))
+    """Chi-square survival of -2 sum(log p) at twice as many degrees of freedom as p-values, in its finite sum.
+
+    Terms are kept as logarithms, so a first term below the smallest double loses nothing. A p-value of 0 gives 0.
+    """
+    half = df.groupBy(*by).agg((-F.sum(F.log(p))).alias("_half"), F.count(p).cast("int").alias("_n"), F.min(p).alias("_least"))
     term = F.aggregate(
         F.sequence(F.lit(1), F.col("_n")),
-        F.struct(F.lit(0.0).alias("total"), F.exp(-F.col("_half")).alias("term")),
-        lambda s, i: F.struct((s["total"] + s["term"]).alias("total"), (s["term"] * F.col("_half") / i).alias("term")),
-        lambda s: s["total"],
+        F.struct(F.lit(0.0).alias("total"), (-F.col("_half")).alias("log_term")),
+        lambda s, i: F.struct((s["total"] + F.exp(s["log_term"])).alias("total"), (s["log_term"] + F.log(F.col("_half") / i)).alias("log_term")),
+        lambda s: F.least(F.lit(1.0), s["total"]),
     )
-    return half.withColumn(out, F.when(F.col("_n") > 0, term)).drop("_half", "_n")
+    # no logarithm of 0: neither of a p-value nor of the sum when all of them are 1
+    combined = F.when(F.col("_n") == 0, None).when(F.col("_least") <= 0, 0.0).when(F.col("_half") <= 0, 1.0).otherwise(term)
+    return half.withColumn(out, combined).drop("_half", "_n", "_least")
 
 
 def cluster_p(least: Column, n: Column) -> Column:
