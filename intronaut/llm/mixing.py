@@ -62,7 +62,17 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     ``MOST``. The result depends on the rows alone: repeated rows are told apart by place only.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"))
-    ordered = sized.repartitionByRange(F.asc_nulls_last("source"), F.asc("size"), F.asc_nulls_last("doc_id")).sortWithinPartitions(F.asc_nulls_last("source"), "size", F.asc_nulls_last("doc_id"))
+    return _with_copies(sized).select("d.doc_id", "d.size", "d.source", "source_size", "target", "copies", (F.col("copies") * F.col("d.size")).alias("taken"))
+
+
+def _with_copies(sized: DataFrame, *ties: str, wide: bool = False) -> DataFrame:
+    """Rows of ``sized`` (doc_id, source, size and others) as ``d``, with source_size, target and their own copies.
+
+    Rows equal in these three are ordered by ``ties``. Of ``wide`` rows only the place goes on to the ranking's
+    other side: the pieces, a row per source and partition, are sent to them.
+    """
+    order = [F.asc_nulls_last("source"), F.asc("size"), F.asc_nulls_last("doc_id"), *(F.asc(c) for c in ties)]
+    ordered = sized.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = materialize(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("at", 33)
     pieces = placed.groupBy("source", part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("first"), F.sum("size").alias("words"))
@@ -70,21 +80,21 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     pieces = pieces.select("source", "part", "first", before.alias("before"))
     goal = targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")))
     pieces = pieces.alias("p").join(goal.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.*", "source_size", "target", offset_of(F.col("p.source")).alias("offset"))
+    pieces = F.broadcast(pieces) if wide else pieces
     ranked = placed.withColumn("part", part).alias("d").join(pieces.alias("p"), (F.col("d.part") == F.col("p.part")) & F.col("d.source").eqNullSafe(F.col("p.source")))
     rank = F.col("before") + F.col("at") - F.col("first")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor(F.col("offset") + rate * (rank + 1)) - F.floor(F.col("offset") + rate * rank)
     copies = F.least(F.greatest(crossed, F.lit(0)), F.lit(MOST)).cast("long")
-    return ranked.select("d.doc_id", "d.size", "d.source", "source_size", "target", copies.alias("copies"), (copies * F.col("d.size")).alias("taken"))
+    return ranked.withColumn("copies", copies)
 
 
 def emitted(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs``, all its columns, once per copy, with ``copy`` from 1.
 
-    Rows that repeat a doc_id within a source take the sum of its copies in turn.
+    Every row goes through the ranking whole and has the copies of its own place, also where ids repeat or are null.
     """
-    counts = mix_sources(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n"), F.count("*").alias("rows"))
-    keyed = docs.withColumn("mix_size", size_of(F.col("text").cast("string"))).alias("d")
-    match = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("mix_size") == F.col("c.size"))
-    joined = keyed.join(counts.alias("c"), match).withColumn("mix_copies", F.ceil(F.col("n") / F.col("rows")).cast("int")).where("mix_copies > 0")
-    return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("copy")).drop("mix_size")
+    text = F.col("text").cast("string")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("tie"), F.struct(*docs.columns).alias("row"))
+    found = _with_copies(sized, "tie", wide=True).where("copies > 0")
+    return found.select("d.row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
