@@ -29,9 +29,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the smallest doc_id; five-word shingles at Jaccard 0.8."""
-    kept = near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near duplicates stays, the smallest doc_id (null last); five-word shingles at Jaccard 0.8.
+
+    Rows are judged by their texts under a key of their own, so rows that repeat a doc_id or have none are
+    documents like any other. Texts without words link with nothing and stay.
+    """
+    # written, so that a row has the same key wherever it is read
+    keyed = materialize(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text"), width=5, percent=80)
+    ids = keyed.select("row_key", F.col("doc_id").cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "row_key"))
+    kept = found.select(F.col("doc_id").alias("row_key"), "component_id").join(ids, "row_key").groupBy("component_id").agg(first.alias("first")).select("first.row_key")
+    return keyed.join(kept, "row_key", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +51,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by ``benchmark`` go, all rows of their doc_id with them."""
-    found = contaminated_words(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ITEM_WORDS, ITEM_SHARE)
-    bad = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text is contaminated by ``benchmark`` go, whatever their doc_id."""
+    key = F.xxhash64(F.col("text").cast("string"))
+    found = contaminated_words(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ITEM_WORDS, ITEM_SHARE)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("text_key")).distinct()
+    return docs.join(bad, key == F.col("text_key"), "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
