@@ -8,6 +8,12 @@ rarest. A line can reach the threshold only if it has one of a template's heavy
 (those without which the rest of the template has too little mass), which spares
 nearly all lines the exact computation.
 
+Notices also stand within a line or go over several, and headers and full licence texts
+have many: so for each template, standard headers and full texts with them, a window of as
+many words slides over the whole text, whatever its lines and comment marks. A window
+reaches the threshold only if the squared weights of the template's words in it add up to the
+threshold's square; the others, nearly all, cost a running sum.
+
 A file without a licence of its own takes the one of the nearest directory above it
 that holds a licence file with one.
 """
@@ -17,6 +23,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +50,28 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_GNU_REST = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details."
+_GNU_NAMES = [("AGPL-3.0", "Affero ", "3"), ("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3")]
+#: Standard headers and titles, found by windows only.
+HEADERS: list[tuple[str, str]] = [
+    *((name, _GNU.format(kind, version)) for name, kind, version in _GNU_NAMES),
+    *((name, (_GNU + _GNU_REST).format(kind, version)) for name, kind, version in _GNU_NAMES),
+    *((name, f"GNU {kind}General Public License Version {version}") for name, kind, version in _GNU_NAMES),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("MIT", "The MIT License (MIT)"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+]
 #: Base names, in lower case and without extension, of files that hold the licence of their directory.
 LICENCE_FILES = ("license", "licence", "copying", "unlicense", "notice")
 THRESHOLD = 0.8
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """Whole licences beside this file; read on the driver only."""
+    return [(f.name.removesuffix(".txt"), f.read_text()) for f in sorted(Path(__file__).with_name("licence_texts").glob("*.txt"))]
+
+
 def _vectors(column: list[str]) -> list[Counter]:
     out = []
     for words in split_words(pa.array(column, pa.string()), lower=True, separators=NOT_ALNUM):
@@ -56,9 +80,9 @@ def _vectors(column: list[str]) -> list[Counter]:
 
 
 class Scanner:
-    """Templates with weights for ``n`` files of which ``df[word]`` have a word of the templates."""
+    """Templates with weights for ``n`` files of which ``df[word]`` have a word of the templates; ``texts`` are met by windows only."""
 
-    def __init__(self, templates: list[tuple[str, str]], n: int, df: dict[int, int], threshold: float):
+    def __init__(self, templates: list[tuple[str, str]], n: int, df: dict[int, int], threshold: float, texts: list[tuple[str, str]] | None = None):
         self.n, self.df, self.threshold = n, df, threshold
         self.names = [name for name, _ in templates]
         self.templates = [self.unit(v) for v in _vectors([text for _, text in templates])]
@@ -71,9 +95,17 @@ class Scanner:
                 heavy.add(word)
                 rest -= weight * weight
         self.heavy = np.array(sorted(heavy), np.uint64)
+        counts = _vectors([text for _, text in [*templates, *(texts or [])]])
+        self.sliding = [(name, v.total(), self.unit(v)) for (name, _), v in zip([*templates, *(texts or [])], counts, strict=True)]
+        self.vocabulary = np.array(sorted({w for v in counts for w in v}), np.uint64)
+        # squared weights by place in the vocabulary, 0 for any other word
+        self.masses = [np.array([*(t.get(w, 0.0) ** 2 for w in self.vocabulary.tolist()), 0.0]) for _, _, t in self.sliding]
+
+    def idf(self, word: int) -> float:
+        return math.log((1 + self.n) / (1 + self.df.get(word, 0))) + 1
 
     def unit(self, counts: Counter) -> dict[int, float]:
-        v = {w: (1 + math.log(c)) * (math.log((1 + self.n) / (1 + self.df.get(w, 0))) + 1) for w, c in counts.items()}
+        v = {w: (1 + math.log(c)) * self.idf(w) for w, c in counts.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / norm for w, x in v.items()}
 
@@ -102,6 +134,51 @@ class Scanner:
                     names[i], cosines[i] = name, cosine
         return names, cosines
 
+    def slide(self, codes: list[int], m: int, template: dict[int, float]) -> float:
+        """Largest cosine of the windows of ``m`` words of ``codes``; of all of them if there are fewer."""
+        counts: Counter = Counter()
+        idf = {w: self.idf(w) for w in set(codes)}
+        dot = square = best = 0.0
+        for i, word in enumerate(codes):
+            for w, change in ((word, 1), (codes[i - m], -1)) if i >= m else ((word, 1),):
+                c = counts[w]
+                old, new = (((1 + math.log(k)) * idf[w] if k else 0.0) for k in (c, c + change))
+                counts[w] = c + change
+                dot += template.get(w, 0.0) * (new - old)
+                square += new * new - old * old
+            if i >= min(m, len(codes)) - 1:
+                best = max(best, dot / math.sqrt(square))
+        return best
+
+    def scan_windows(self, column: pa.Array) -> tuple[list[str | None], list[float | None]]:
+        """Licence and cosine of each text by windows of each template's length; ties go to the longest template, then the first name."""
+        lengths = [0] * len(column)
+        names: list[str | None] = [None] * len(column)
+        cosines: list[float | None] = [None] * len(column)
+        for words in split_words(column, lower=True, separators=NOT_ALNUM):
+            n = len(words.codes)
+            if not n or not len(self.vocabulary):
+                continue
+            at = np.minimum(np.searchsorted(self.vocabulary, words.codes), len(self.vocabulary) - 1)
+            at = np.where(self.vocabulary[at] == words.codes, at, len(self.vocabulary))
+            row = np.repeat(np.arange(len(words.counts)), words.counts)
+            start = np.arange(n)
+            first, last = words.offsets[:-1][row], words.offsets[1:][row]
+            for (name, m, template), mass in zip(self.sliding, self.masses, strict=True):
+                total = np.concatenate([[0.0], np.cumsum(mass[at])])
+                end = np.minimum(start + m, last)
+                able = np.flatnonzero((total[end] - total[start] >= self.threshold**2 - 1e-9) & ((start + m <= last) | (start == first)))
+                if not len(able):
+                    continue
+                opens = np.flatnonzero(np.concatenate([[True], (np.diff(able) != 1) | (row[able[1:]] != row[able[:-1]])]))
+                for a, b in zip(able[opens], able[np.append(opens[1:], len(able)) - 1], strict=True):
+                    cosine = self.slide(words.codes[a : end[b]].tolist(), m, template)
+                    i = words.first + int(row[a])
+                    cosine = round(min(1.0, cosine), 9)
+                    if cosine >= self.threshold and (cosines[i] is None or (-cosine, -m, name) < (-cosines[i], -lengths[i], names[i])):
+                        names[i], cosines[i], lengths[i] = name, cosine, m
+        return names, cosines
+
 
 def _counter(vocabulary: np.ndarray):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,16 +205,20 @@ def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] | None = No
     licence files of a directory the one with the larger cosine counts, then the first name. Repeated
     rows get the same answer each.
     """
+    texts = [*HEADERS, *full_texts()] if templates is None else []
     templates = TEMPLATES if templates is None else templates
     files = files.select(F.col("file_id").cast("long").alias("file_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    vocabulary = np.array(sorted({w for v in _vectors([t for _, t in templates]) for w in v}), np.uint64)
+    vocabulary = np.array(sorted({w for v in _vectors([t for _, t in [*templates, *texts]]) for w in v}), np.uint64)
     # as many numbers as the templates have words, whatever the input
     counts = {r["word"]: r["files"] for r in files.select("text").mapInArrow(_counter(vocabulary), "word int, files long").groupBy("word").agg(F.sum("files").alias("files")).collect()}
-    scanner = Scanner(templates, counts.get(-1, 0), {int(w): counts.get(i, 0) for i, w in enumerate(vocabulary)}, threshold)
+    scanner = Scanner(templates, counts.get(-1, 0), {int(w): counts.get(i, 0) for i, w in enumerate(vocabulary)}, threshold, texts)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, cosines = scanner.scan(batch.column("text"), batch.column("licence_file").to_numpy(zero_copy_only=False))
+            for i, (name, cosine) in enumerate(zip(*scanner.scan_windows(batch.column("text")), strict=True)):
+                if cosine is not None and (cosines[i] is None or cosine >= round(cosines[i], 9)):
+                    names[i], cosines[i] = name, cosine
             yield pa.record_batch([batch.column(c) for c in ("file_id", "path", "licence_file")] + [pa.array(names, pa.string()), pa.array(cosines, pa.float64())], ["file_id", "path", "licence_file", "license", "cosine"])
 
     base = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", ""))
