@@ -160,8 +160,10 @@ def _block_sifter(percent: int):
             if cut == 0 and held and key(held[-1], len(held[-1]) - 1) == last:
                 held.append(batch)
                 continue
-            held.append(batch.slice(0, cut))
-            yield from flush()
+            if cut:
+                held.append(batch.slice(0, cut))
+            if held:
+                yield from flush()
             held.append(batch.slice(cut))
         if held:
             yield from flush()
