@@ -55,7 +55,11 @@ _BYTE_POWERS, _WORD_POWERS = _Powers(_BASE), _Powers(_WORD_BASE)
 
 @dataclass
 class Words:
-    """Words of the rows ``first`` to ``last`` (exclusive) of a column; ``offsets[i]`` is the first word of row ``first + i``."""
+    """Words of the rows ``first`` to ``last`` (exclusive) of a column; ``offsets[i]`` is the first word of row ``first + i``.
+
+    A row longer than a chunk comes in pieces, alone: ``base`` is the number of its words before the piece's
+    first one, and ``more`` tells that a further piece follows.
+    """
 
     first: int
     last: int
@@ -64,6 +68,8 @@ class Words:
     ends: np.ndarray
     offsets: np.ndarray
     codes: np.ndarray
+    base: int = 0
+    more: bool = False
 
     @property
     def counts(self) -> np.ndarray:
@@ -80,17 +86,46 @@ def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8), borders
 
 
-def split_words(column: pa.Array | pa.ChunkedArray, lower: bool = False, chunk: int = CHUNK_BYTES, separators: np.ndarray = SPACE) -> Iterator[Words]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` (or between other separators) of whole texts with fingerprints, a chunk of rows at a time."""
+def split_words(column: pa.Array | pa.ChunkedArray, lower: bool = False, chunk: int = CHUNK_BYTES, separators: np.ndarray = SPACE, overlap: int = 0) -> Iterator[Words]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` (or between other separators) of whole texts with fingerprints, a chunk of rows at a time.
+
+    A row longer than ``chunk`` is cut between words into pieces that begin with the last ``overlap`` words of the
+    piece before, so memory stays with the chunk; only a single word longer than a chunk is handled as it is.
+    """
     data, borders = strings(column)
     rows, i = len(borders) - 1, 0
     while i < rows:
         j = max(i + 1, min(rows, int(np.searchsorted(borders, borders[i] + chunk, "right")) - 1))
         part = data[borders[i] : borders[j]]
-        yield _words(part, borders[i : j + 1] - borders[i], i, j, lower, separators)
+        if len(part) > chunk:
+            yield from _pieces(part, i, lower, chunk, separators, overlap)
+        else:
+            yield _words(part, borders[i : j + 1] - borders[i], i, j, lower, separators)
         i = j
 
 
+def _pieces(row: np.ndarray, i: int, lower: bool, chunk: int, separators: np.ndarray, overlap: int) -> Iterator[Words]:
+    at = base = 0
+    while True:
+        end, found = at, None
+        while found is None or (end < len(row) and len(found.starts) <= overlap):
+            end = min(len(row), end + chunk)
+            while end < len(row):  # on to the next border between words
+                gaps = np.flatnonzero(separators[row[end : end + chunk]])
+                if len(gaps):
+                    end += int(gaps[0])
+                    break
+                end = min(len(row), end + chunk)
+            found = _words(row[at:end], np.array([0, end - at]), i, i + 1, lower, separators)
+        found.base, found.more = base, end < len(row)
+        yield found
+        if not found.more:
+            return
+        fresh = len(found.starts) - overlap
+        base += fresh
+        at += int(found.starts[fresh]) if overlap else end - at
+
+
 def _words(part: np.ndarray, cuts: np.ndarray, i: int, j: int, lower: bool, separators: np.ndarray) -> Words:
     if not len(part):
         none = np.zeros(0, np.int64)
@@ -131,16 +166,24 @@ def sequence_code(codes: np.ndarray) -> int:
     return int(windows(codes, len(codes))[0])
 
 
-def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle fingerprints of each row; fewer words make one shingle, no word none."""
-    all_codes = windows(words.codes, width)
-    for a, b in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), strict=True):
-        if b - a >= width:
-            yield np.unique(all_codes[a : b - width + 1])
-        elif b > a:
-            yield np.array([sequence_code(words.codes[a:b])], U)
-        else:
-            yield np.zeros(0, U)
+def shingle_sets(column: pa.Array | pa.ChunkedArray, width: int) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle fingerprints of each lower-cased text; fewer words make one shingle, no word none."""
+    pieces: list[np.ndarray] = []
+    for words in split_words(column, lower=True, overlap=width - 1):
+        all_codes = windows(words.codes, width)
+        if words.more or words.base:  # a long row: its pieces share no shingle start
+            pieces.append(np.unique(all_codes))
+            if not words.more:
+                yield np.unique(np.concatenate(pieces))
+                pieces = []
+            continue
+        for a, b in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), strict=True):
+            if b - a >= width:
+                yield np.unique(all_codes[a : b - width + 1])
+            elif b > a:
+                yield np.array([sequence_code(words.codes[a:b])], U)
+            else:
+                yield np.zeros(0, U)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

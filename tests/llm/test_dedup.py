@@ -6,11 +6,11 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from intronaut.llm import near_dedup
+from intronaut.llm import near_dedup, substring_dedup
 from intronaut.llm.components import components
 from intronaut.llm.embedding_dedup import calibrate, similar_vectors
 from intronaut.llm.near_dedup import near_duplicates
-from intronaut.llm.substring_dedup import SHORTEST_WINDOW, remove_repeats
+from intronaut.llm.substring_dedup import remove_repeats
 
 DOCS = "doc_id long, text string, rep string, u int, bucket string"
 
@@ -151,8 +151,11 @@ def removed(rows, width):
     return Counter(out)
 
 
-@pytest.mark.parametrize("width", [35, SHORTEST_WINDOW])
-def test_repeats_equal_brute_force(spark, width):
+@pytest.mark.parametrize(("width", "chunk", "hot"), [(35, 1 << 20, 5_000), (35, 700, 1), (35, 1 << 20, 1), (3, 4000, 2), (1, 1 << 20, 3)])
+def test_repeats_equal_brute_force(spark, width, chunk, hot, monkeypatch):
+    """Also with texts in pieces of less than a kilobyte, and with nearly all symbols hot."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(substring_dedup, "LEAST_HOT", hot)
     rnd = random.Random(9)
     passage, rows = words(rnd, 60), [(1, None), (2, ""), (3, "a b"), (None, "lonely text here")]
     for i in range(10, 40):
@@ -171,4 +174,4 @@ def test_repeats_equal_brute_force(spark, width):
 def test_repeats_of_nothing(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError, match="window"):
-        remove_repeats(spark.createDataFrame([], "doc_id long, text string"), 5)
+        remove_repeats(spark.createDataFrame([], "doc_id long, text string"), 0)
