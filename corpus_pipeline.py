@@ -22,10 +22,22 @@ TOXIC = 0.5
 REPEAT_WORDS, ITEM_WORDS, ITEM_SHARE = 35, 13, 20
 
 
+def unused(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` doesn't have yet: ``name``, with underscores where it is taken."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below ``TOXIC`` stay; the model is learned from ``labels`` and these documents."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_with(docs, model, "toxicity_score").where(F.col("toxicity_score") < TOXIC).drop("toxicity_score")
+    """Rows that score below ``TOXIC`` stay; the model is learned from ``labels`` and these documents.
+
+    Null and empty texts are scored like any other; a null id has no label. Repeated rows get the same score.
+    Without any label every score is 0 and all rows stay.
+    """
+    model, score = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), unused("toxicity_score", docs)
+    return score_with(docs, model, score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,19 +47,26 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     documents like any other. Texts without words link with nothing and stay.
     """
     # written, so that a row has the same key wherever it is read
-    keyed = materialize(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
-    found = near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text"), width=5, percent=80)
-    ids = keyed.select("row_key", F.col("doc_id").cast("long").alias("id"))
-    first = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "row_key"))
-    kept = found.select(F.col("doc_id").alias("row_key"), "component_id").join(ids, "row_key").groupBy("component_id").agg(first.alias("first")).select("first.row_key")
-    return keyed.join(kept, "row_key", "left_semi").select(*docs.columns)
+    key, by = unused("row_key", docs), F.col("doc_id").cast("long")
+    keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), width=5, percent=80)
+    ids = keyed.select(F.col(key).alias("key"), by.alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "key"))
+    kept = found.select(F.col("doc_id").alias("key"), "component_id").join(ids, "key").groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias("kept"))
+    return keyed.join(kept, keyed[key] == kept["kept"], "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of repeated windows go, as the operator defines it; documents with repeats get their kept words joined by one space."""
+    """Words of repeated windows go, as the operator defines it; rows with repeats get their kept words joined by one space.
+
+    ``n_chars`` of those rows is the length of the new text. Null and empty texts stay as they are, and so does a row
+    whose words all go, with an empty text.
+    """
     found = remove_repeats_with(docs, REPEAT_WORDS)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    changed = F.col("n_removed") > 0
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    columns = [F.when(changed, new[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns]
+    return found.select(*columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
