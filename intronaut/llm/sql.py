@@ -86,7 +86,7 @@ entries as (
   union all select pattern, 'add', date '2024-01-01' + start + life + 31 from days where kind < 4),
 intervals as (
   select pattern, dated as since, until from (
-    select lower(pattern) as pattern, action, dated, lead(dated) over (partition by lower(pattern) order by dated) as until from entries)
+    select pattern, action, dated, lead(dated) over (partition by pattern order by dated) as until from entries)
   where action = 'add'),
 keys as (
   select r, fetched_at, unnest(list_concat(

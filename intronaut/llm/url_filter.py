@@ -4,6 +4,11 @@ A block list is a log of dated entries: a pattern is added or removed on a date.
 Per pattern the log becomes disjoint validity intervals. A capture has a few keys,
 the suffixes of its host and the path prefixes below the host; it meets the
 intervals of equal patterns, and the one that holds at its fetch time decides.
+Hosts are the same in any case of letters, paths are not.
+
+Long lists are joined by shuffle. Most keys of captures (all top-level domains, most
+hosts) are no pattern at all, so keys go through a bitmap of the patterns' hashes before
+the exchange: it has ``FILTER_BITS`` bits whatever the size of the list.
 """
 
 from __future__ import annotations
@@ -15,6 +20,8 @@ from intronaut.scratch import materialize
 
 #: Largest number of intervals that is broadcast; longer lists are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Bits of the bitmap that keys must pass before a shuffle.
+FILTER_BITS = 1 << 24
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
 
@@ -35,19 +42,33 @@ def keys_of(url: Column) -> Column:
     return F.array_distinct(F.concat(suffixes, prefixes))
 
 
+def folded(pattern: Column) -> Column:
+    """The pattern with its host in lower case; the path keeps its letters."""
+    host = F.substring_index(pattern, "/", 1)
+    return F.concat(F.lower(host), F.substring(pattern, F.length(host) + 1, F.length(pattern)))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, action, dated) -> (pattern, since, until): from an ``add`` to the pattern's next ``remove``.
 
-    Entries with nulls or another action are ignored. An ``add`` while the pattern is active changes nothing;
+    The host part of a pattern is lower-cased. Entries with nulls or another action are ignored. An ``add`` while the pattern is active changes nothing;
     of entries of one pattern and time a ``remove`` counts.
     """
-    log = entries.where("pattern is not null and dated is not null and action in ('add', 'remove')").groupBy(F.lower("pattern").alias("pattern"), "dated").agg(F.max("action").alias("action"))
+    log = entries.where("pattern is not null and dated is not null and action in ('add', 'remove')").groupBy(folded(F.col("pattern")).alias("pattern"), "dated").agg(F.max("action").alias("action"))
     order = Window.partitionBy("pattern").orderBy("dated")
     changes = log.withColumn("before", F.lag("action").over(order)).where("before is null or before <> action")
     runs = changes.withColumn("until", F.lead("dated").over(order))
     return runs.where("action = 'add'").select("pattern", F.col("dated").alias("since"), "until")
 
 
+def _passing(keys: DataFrame, active: DataFrame) -> DataFrame:
+    """``keys`` without most of those that are no pattern: a bitmap of hashes as a table of words of 64 bits, of fixed size."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    words = active.select(F.shiftright(bit("pattern"), 6).alias("word"), F.pmod(bit("pattern"), F.lit(64)).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    asked = keys.join(F.broadcast(words), F.shiftright(bit("key"), 6) == F.col("word"))
+    return asked.where(F.expr("bits").bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(key), {FILTER_BITS}L), 64) as int))")) != 0).select(*keys.columns)
+
+
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Every capture against the entries active at its fetch time.
 
@@ -57,10 +78,13 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     rows get the same answer each.
     """
     active = materialize(intervals(entries), "intervals")
+    asked = captures.select(F.col("url").alias("asked_url"), F.col("fetched_at").alias("asked_at")).where("asked_url is not null and asked_at is not null").distinct()
+    keys = asked.withColumn("key", F.explode(keys_of(F.col("asked_url"))))
     if active.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         active = F.broadcast(active)
-    asked = captures.select(F.col("url").alias("asked_url"), F.col("fetched_at").alias("asked_at")).where("asked_url is not null and asked_at is not null").distinct()
-    met = asked.withColumn("key", F.explode(keys_of(F.col("asked_url")))).join(active, F.col("key") == F.col("pattern")).where("asked_at >= since and (until is null or asked_at < until)")
+    else:
+        keys = _passing(keys, active)
+    met = keys.join(active, F.col("key") == F.col("pattern")).where("asked_at >= since and (until is null or asked_at < until)")
     best = met.groupBy("asked_url", "asked_at").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "since")).alias("best"))
     joined = captures.select("page_id", "url", "fetched_at").join(best, (F.col("url") == F.col("asked_url")) & (F.col("fetched_at") == F.col("asked_at")), "left")
     return joined.select("page_id", "url", "fetched_at", F.col("best").isNotNull().alias("blocked"), F.col("best.pattern").alias("pattern"), F.col("best.since").alias("since"))

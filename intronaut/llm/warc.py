@@ -9,14 +9,19 @@ Reading: the index is filtered first, sorted by file and offset, and neighbourin
 byte ranges are fetched with one read as long as the gap between them is small.
 
 Files go through ``pyarrow.fs``: local paths, object stores and HDFS alike.
+
+Blocks are HTTP responses; a revisit has the head alone. Record ids are made of file and offset, so they never
+repeat; pages are named by the extension fields ``X-Page-ID`` and ``X-Refers-To-Page``.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs
@@ -32,6 +37,8 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 GAP_BYTES, READ_BYTES = 64 << 10, 4 << 20
 #: A file is closed and the next begun at this size.
 FILE_BYTES = 1 << 30
+#: Bytes of archives that a task reads, about.
+TASK_BYTES = 32 << 20
 LEVEL = 3
 
 
@@ -39,20 +46,26 @@ def _digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, digest: str, size: int, payload: bytes | None, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; without payload, a revisit of the record of page ``refers_to``."""
+def _line(text: str | None) -> str:
+    return (text or "").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record(page_id: int | None, url: str | None, digest: str, size: int, payload: bytes | None, refers_to: int | None, refers_url: str | None, dated: str, place: str) -> bytes:
+    """One WARC/1.1 record written at ``place``; without payload, a revisit of the record of page ``refers_to``."""
     revisit = payload is None
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:page:{'null' if page_id is None else page_id}>"),
-        ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(place.encode()).digest(), version=5)}>"),
+        ("WARC-Date", dated),
+        ("WARC-Target-URI", _line(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
-        ("X-Payload-Length", str(size)),
+        ("X-Page-ID", "null" if page_id is None else str(page_id)),
     ]
     if revisit:
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
-    body = payload or b""
-    lines = "".join(f"{k}: {v}\r\n" for k, v in [*head, ("Content-Length", str(len(body)))])
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", _line(refers_url)), ("WARC-Refers-To-Date", dated), ("X-Refers-To-Page", str(refers_to))]
+    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + (payload or b"")
+    head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
+    lines = "".join(f"{k}: {v}\r\n" for k, v in head)
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + body + b"\r\n\r\n"
 
 
@@ -68,7 +81,7 @@ def _gzip(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _writer(folder: str):
+def _writer(folder: str, dated: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
@@ -77,14 +90,14 @@ def _writer(folder: str):
         try:
             for batch in batches:
                 rows = []
-                for page_id, url, digest, size, first, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "payload_bytes", "first", "payload")), strict=True):
+                for page_id, url, digest, size, first, first_url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "payload_bytes", "first", "first_url", "payload")), strict=True):
                     if out is None or at >= FILE_BYTES:
                         if out is not None:
                             out.close()
                         name = f"{base}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{part}.warc.gz"
                         out, at, part = store.open_output_stream(name, compression=None), 0, part + 1
                     revisit = first is not None and first != page_id
-                    data = _gzip(record(page_id, url, digest, size, None if revisit else html or b"", first))
+                    data = _gzip(record(page_id, url, digest, size, None if revisit else html or b"", first, first_url, dated, f"{name}:{at}"))
                     out.write(data)
                     rows.append((page_id, url, digest, size, "revisit" if revisit else "response", name, at, len(data)))
                     at += len(data)
@@ -98,9 +111,10 @@ def _writer(folder: str):
     return write
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, dated: str | None = None) -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html) below ``folder`` and return the index.
 
+    ``dated`` is the time of all captures, as in 2024-01-31T12:00:00Z; without it, the time of writing.
     The payload is html in UTF-8, empty for null. Of records with equal payloads of at
     least ``least_bytes`` bytes the one with the smallest page_id is a response and the others revisit
     it; smaller ones are all responses. Rows without page_id revisit, unless no equal payload has an id.
@@ -111,8 +125,14 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", base32(F.sha1("payload"))).withColumn("payload_bytes", F.length("payload").cast("long"))
-    firsts = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
-    return materialize(rows.join(firsts, "digest", "left").mapInArrow(_writer(folder), INDEX), "warc_index")
+    # equal payloads agree in length and in two digests
+    same = ("digest", "second", "payload_bytes")
+    rows = rows.withColumn("second", F.sha2("payload", 256))
+    firsts = rows.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).groupBy(*same).agg(F.min(F.struct("page_id", "url")).alias("f"))
+    # written, so that the join is between two exchanges and Spark may split the rows of a page that many repeat
+    firsts = materialize(firsts.select(*same, F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url")), "firsts")
+    dated = dated or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return materialize(rows.join(firsts, list(same), "left").drop("second").mapInArrow(_writer(folder, dated), INDEX), "warc_index")
 
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -167,11 +187,13 @@ def _reader(folder: str, payloads: bool):
 
 
 def _row(fields: dict[str, str], block: bytes, payloads: bool) -> tuple:
-    number = lambda x: None if x in (None, "<urn:page:null>") else int(x[len("<urn:page:") : -1])
-    kind, digest, size = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
-    if kind == "response" and (_digest(block) != digest or len(block) != size):
+    number = lambda x: None if x in (None, "null") else int(x)
+    kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    head, _, payload = block.partition(b"\r\n\r\n")
+    size = int(head.rpartition(b"Content-Length: ")[2])
+    if kind == "response" and (_digest(payload) != digest or len(payload) != size):
         raise ValueError(f"record {fields['WARC-Record-ID']} does not have the payload that its header states")
-    return number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], size, digest, kind, number(fields.get("WARC-Refers-To")), block if payloads else None
+    return number(fields["X-Page-ID"]), fields["WARC-Target-URI"], size, digest, kind, number(fields.get("X-Refers-To-Page")), payload if payloads and kind == "response" else None
 
 
 def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
@@ -180,7 +202,11 @@ def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataF
     Returns page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload (null
     for revisits or without ``payloads``).
     """
-    wanted = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    wanted = index.select("file", "offset", "length")
+    # dealt by bytes of archives: the index itself is so small that Spark would give it to one task
+    n, size = wanted.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(1, min(n, max(-(-size // TASK_BYTES), index.sparkSession.sparkContext.defaultParallelism)))
+    wanted = wanted.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return wanted.mapInArrow(_reader(folder, payloads), RECORDS)
 
 

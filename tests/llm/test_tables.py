@@ -110,14 +110,31 @@ def test_warc_round_trip(spark):
     assert {r.page_id for r in least.where("record_type = 'revisit'").collect()} == {2, None}
 
 
+def test_warc_records_are_whole(spark):
+    """Mandatory fields, ids that never repeat, blocks that are HTTP responses."""
+    import gzip
+    from pathlib import Path
+
+    rows = [(1, "http://a/", "same"), (1, "http://a/", "same"), (2, "http://b/", "same"), (None, None, None)]
+    folder = warc.scratch_path(spark, "warc-test")
+    index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), folder, dated="2024-01-31T12:00:00Z").collect()
+    records = [warc.parse(gzip.decompress(Path(r.file).read_bytes()[r.offset : r.offset + r.length])) for r in index]
+    assert len({f["WARC-Record-ID"] for f, _ in records}) == len(rows)
+    assert all({"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"} <= set(f) for f, _ in records)
+    assert all(b.startswith(b"HTTP/1.1 200 OK\r\n") and f["WARC-Date"] == "2024-01-31T12:00:00Z" for f, b in records)
+    assert [(f["WARC-Refers-To-Target-URI"], b.endswith(b"\r\n\r\n")) for f, b in records if f["WARC-Type"] == "revisit"] == [("http://a/", True)]
+
+
 def test_ranges_are_coalesced():
     gap = warc.GAP_BYTES
     assert warc.ranges([(0, 10), (10, 10), (20 + gap, 5), (26 + 2 * gap, 5)]) == [(0, 3, 0, 25 + gap), (3, 4, 26 + 2 * gap, 31 + 2 * gap)]
 
 
-def test_url_filters_follow_the_list_in_time(spark):
-    entries = [("bad.org", "add", date(2024, 1, 10)), ("bad.org", "remove", date(2024, 2, 1)), ("BAD.org", "add", date(2024, 3, 1)), ("x.ok.org/p/q", "add", date(2024, 1, 1)), ("bad.org", "add", date(2024, 1, 12)), ("late.org", "remove", date(2024, 1, 5)), (None, "add", date(2024, 1, 1)), ("null.org", "add", None), ("tie.org", "add", date(2024, 1, 1)), ("tie.org", "remove", date(2024, 1, 1)), ("a.bad.org", "add", date(2024, 1, 1))]
-    asks = [(1, "http://www.BAD.org/x", date(2024, 1, 9), False), (2, "http://www.bad.org:80/x", date(2024, 1, 10), True), (3, "http://bad.org", date(2024, 2, 1), False), (4, "https://u@bad.org/#f", date(2024, 3, 5), True), (5, "http://notbad.org/", date(2024, 1, 15), False), (6, "http://x.ok.org/p/q/r?z", date(2024, 1, 2), True), (7, "http://x.ok.org/p/qq", date(2024, 1, 2), False), (8, None, date(2024, 1, 15), False), (9, "no url", date(2024, 1, 15), False), (10, "http://bad.org/", None, False), (11, "http://tie.org/", date(2024, 5, 1), False), (12, "http://a.bad.org/", date(2024, 1, 15), True), (2, "http://www.bad.org:80/x", date(2024, 1, 10), True)]
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_url_filters_follow_the_list_in_time(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", broadcast)
+    entries = [("bad.org", "add", date(2024, 1, 10)), ("bad.org", "remove", date(2024, 2, 1)), ("BAD.org", "add", date(2024, 3, 1)), ("x.ok.org/p/q", "add", date(2024, 1, 1)), ("bad.org", "add", date(2024, 1, 12)), ("late.org", "remove", date(2024, 1, 5)), (None, "add", date(2024, 1, 1)), ("null.org", "add", None), ("tie.org", "add", date(2024, 1, 1)), ("tie.org", "remove", date(2024, 1, 1)), ("a.bad.org", "add", date(2024, 1, 1)), ("Case.org/Foo", "add", date(2024, 1, 1))]
+    asks = [(1, "http://www.BAD.org/x", date(2024, 1, 9), False), (2, "http://www.bad.org:80/x", date(2024, 1, 10), True), (3, "http://bad.org", date(2024, 2, 1), False), (4, "https://u@bad.org/#f", date(2024, 3, 5), True), (5, "http://notbad.org/", date(2024, 1, 15), False), (6, "http://x.ok.org/p/q/r?z", date(2024, 1, 2), True), (7, "http://x.ok.org/p/qq", date(2024, 1, 2), False), (8, None, date(2024, 1, 15), False), (9, "no url", date(2024, 1, 15), False), (10, "http://bad.org/", None, False), (11, "http://tie.org/", date(2024, 5, 1), False), (12, "http://a.bad.org/", date(2024, 1, 15), True), (2, "http://www.bad.org:80/x", date(2024, 1, 10), True), (13, "http://case.ORG/Foo/a", date(2024, 1, 2), True), (14, "http://case.org/foo/a", date(2024, 1, 2), False)]
     captures = spark.createDataFrame([(*a, "k") for a in asks], "page_id long, url string, fetched_at date, want boolean, key string")
     listed = spark.createDataFrame([(*e, "s") for e in entries], "pattern string, action string, dated date, since string")
     got = url_filter.filter_urls(captures, listed).collect()
