@@ -5,7 +5,8 @@ size with the excess shared again. Within a source every document expects
 ``target / source size`` copies; along a fixed order the expected copies are
 summed, one random offset is added, and a document is emitted once per integer
 that its stretch of the sum crosses. Ordered by size, neighbours are alike, so
-what a source gives misses its target by about one document.
+what a source gives misses its target by a share of its largest document, whether the
+order goes up or down.
 
 The order is global per source without putting a source into one task: rows are
 range-partitioned and sorted, written once, and a row's rank is its place in its
@@ -62,7 +63,8 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     ``MOST``. The result depends on the rows alone: repeated rows are told apart by place only.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"))
-    return _with_copies(sized).select("d.doc_id", "d.size", "d.source", "source_size", "target", "copies", (F.col("copies") * F.col("d.size")).alias("taken"))
+    # written, since dealing out by ranges looks at its input twice and counting words is the dear part
+    return _with_copies(materialize(sized, "sized")).select("d.doc_id", "d.size", "d.source", "source_size", "target", "copies", (F.col("copies") * F.col("d.size")).alias("taken"))
 
 
 def _with_copies(sized: DataFrame, *ties: str, wide: bool = False) -> DataFrame:
@@ -89,12 +91,12 @@ def _with_copies(sized: DataFrame, *ties: str, wide: bool = False) -> DataFrame:
     return ranked.withColumn("copies", copies)
 
 
-def emitted(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``docs``, all its columns, once per copy, with ``copy`` from 1.
+def emitted(docs: DataFrame, name: str = "copy") -> DataFrame:
+    """The mix itself: each row of ``docs``, all its columns, once per copy, with the number of the copy from 1 as ``name``.
 
     Every row goes through the ranking whole and has the copies of its own place, also where ids repeat or are null.
     """
     text = F.col("text").cast("string")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("tie"), F.struct(*docs.columns).alias("row"))
     found = _with_copies(sized, "tie", wide=True).where("copies > 0")
-    return found.select("d.row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return found.select("d.row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(name))

@@ -7,10 +7,11 @@ count of the XOR of two bitmaps, a similarity estimate that is sharp near 1, and
 only pairs that could reach the threshold are compared on full shingle sets.
 
 Equal sets are collapsed first, so copies cost one row. Within a bucket each
-document is compared with the bucket's centre. What these stars leave in
-different components is compared pair by pair by a finer sketch, in blocks of a
-bucket's rows that meet in memory; only pairs that the sketch can't tell from
-linked ones leave a block. No bucket is capped, and none has to fit in one task.
+document is compared with the bucket's centre. Where these stars leave several
+components, the rows outside the largest one are compared with all others of the
+bucket by a finer sketch, in blocks of rows that meet in memory; only pairs that
+the sketch can't tell from linked ones leave a block. No bucket is capped, and none
+has to fit in one task.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intronaut.llm.components import components
-from intronaut.llm.words import U, mix, shingle_sets, signed, split_words
+from intronaut.llm.words import U, mix, shingle_sets, signed
 from intronaut.scratch import materialize
 
 BANDS, ROWS = 25, 5
@@ -32,8 +33,8 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Standard deviations of the estimate by which a pair at the threshold may fall short of it.
 SLACK = 4.0
-#: Of the sketch for pairs within a bucket, and the rows of a bucket that meet at once.
-FINE_SAMPLES, FINE_BITS, BLOCK = 1024, 4096, 512
+#: Of the sketch for pairs within a bucket, and the rows of a bucket that meet at once (the root of its size, if that is more).
+FINE_SAMPLES, FINE_BITS, BLOCK = 1024, 4096, 128
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 
 
@@ -68,14 +69,18 @@ def odd_bits_limit(threshold: float, samples: int = SAMPLES, bits: int = SKETCH_
     return math.ceil(mean + math.sqrt(mean))
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(batch), rows):
+        yield batch.slice(i, rows)
+
+
 def _signer(width: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, salts = _factors(SAMPLES)
         for batch in batches:
-            for words in split_words(batch.column("text"), lower=True):
-                ids = batch.column("doc_id").slice(words.first, words.last - words.first)
+            for part in _slices(batch):
                 sizes, a, b, bands, sketches, counts = [], [], [], [], [], []
-                for codes in shingle_sets(words, width):
+                for codes in shingle_sets(part.column("text"), width):
                     sizes.append(len(codes))
                     a.append(int(np.bitwise_xor.reduce(codes, initial=U(0)).view(np.int64)))
                     b.append(int(mix(codes).sum(dtype=U).view(np.int64)))
@@ -90,7 +95,7 @@ def _signer(width: int):
                         sketches.append(odd_sketch(samples, salts, SKETCH_BITS))
                 has = np.array(counts, np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * n)]).astype(np.int32)), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x, n in ((bands, BANDS), (sketches, SKETCH_BITS // 64))]
-                yield pa.record_batch([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
+                yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
 
     return sign
 
@@ -100,23 +105,21 @@ def _fine_signer(width: int):
         factors, salts = _factors(FINE_SAMPLES)
         for batch in batches:
             sizes, sketches = [], []
-            for words in split_words(batch.column("text"), lower=True):
-                for codes in shingle_sets(words, width):
-                    sizes.append(len(codes))
-                    sketches.append(odd_sketch(minhash(codes, factors), salts, FINE_BITS).tobytes() if len(codes) else b"")
+            for codes in shingle_sets(batch.column("text"), width):
+                sizes.append(len(codes))
+                sketches.append(odd_sketch(minhash(codes, factors), salts, FINE_BITS).tobytes() if len(codes) else b"")
             yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["rep", "n_shingles", "fine"])
 
     return sign
 
 
 def _block_pairs(rows: dict[str, np.ndarray], percent: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one block pair, of different components, that size and sketch allow and that no earlier band has."""
+    """Pairs of an outsider (side 0) and another row (side 1) of one block pair, of different components, that size and sketch allow and that no earlier band has."""
     us, vs = [], []
-    left, right = (np.flatnonzero(rows["side"] != 1), np.flatnonzero(rows["side"] != 0))
-    for i in left:
-        j = right[rows["component"][right] != rows["component"][i]]
-        if rows["side"][i] == 2:
-            j = j[rows["rep"][j] > rows["rep"][i]]
+    right = np.flatnonzero(rows["side"] == 1)
+    for i in np.flatnonzero(rows["side"] == 0):
+        # two outsiders meet in both orders
+        j = right[(rows["component"][right] != rows["component"][i]) & ~(rows["outside"][right] & (rows["rep"][right] < rows["rep"][i]))]
         n, m = rows["n_shingles"][j], rows["n_shingles"][i]
         j = j[100 * np.minimum(n, m) >= percent * np.maximum(n, m)]
         if len(j):
@@ -140,7 +143,7 @@ def _block_sifter(percent: int):
         def flush() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held).combine_chunks()
             held.clear()
-            rows = {c: table.column(c).to_numpy() for c in ("bucket", "low", "high", "side", "rep", "component", "n_shingles")}
+            rows = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "low", "high", "side", "outside", "rep", "component", "n_shingles")}
             rows["fine"] = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint64).reshape(len(table), -1)
             rows["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
             new = np.flatnonzero(np.concatenate([[True], (np.diff(rows["bucket"]) != 0) | (np.diff(rows["low"]) != 0) | (np.diff(rows["high"]) != 0)]))
@@ -175,7 +178,7 @@ def _verifier(width: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            sides = [(s for words in split_words(batch.column(c), lower=True) for s in shingle_sets(words, width)) for c in ("text_u", "text_v")]
+            sides = [shingle_sets(batch.column(c), width) for c in ("text_u", "text_v")]
             for i, (x, y) in enumerate(zip(*sides, strict=True)):
                 both = np.concatenate([x, y])
                 both.sort()
@@ -232,18 +235,24 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     # rows of one doc_id with different texts are one node: classes that share a member
     joined = full.join(classes, ["set_a", "set_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     linked = materialize(components(first), "components")
-    placed = members.select("bucket", "rep", "n").join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rest = materialize(placed.join(open_buckets, "bucket").select("bucket", "rep", "component", "n"), "open_buckets")
+
+    placed = members.select("bucket", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # buckets in several components, with the largest of these (hub) and how many rows are outside it; a pair that is all of its bucket has been compared
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    hubs = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("hub"), F.sum("k").alias("n"), F.count("*").alias("parts")).where("parts > 1 and n > 2")
+    hubs = materialize(hubs.select("bucket", F.col("hub.component").alias("hub"), "n", (F.col("n") - F.col("hub.k")).alias("n_outside")), "hubs")
+    rest = materialize(placed.join(hubs, "bucket").withColumn("outside", F.col("component") != F.col("hub")), "open_buckets")
     fine = texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_fine_signer(width), "rep long, n_shingles long, fine binary")
     fine = materialize(fine.join(reps.select("rep", "bands"), "rep"), "fine_sketches")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    met = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    met = met.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side.alias("side"), "rep", "component").join(fine, "rep")
+    size = F.greatest(F.lit(float(BLOCK)), F.sqrt("n"))
+    blocks, outer = (F.ceil(F.col(c) / size).cast("int") for c in ("n", "n_outside"))
+    block = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    kept = ("rep", "component", "outside")
+    left = rest.where("outside").select("bucket", block(outer).alias("low"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("high"), F.lit(0).alias("side"), *kept)
+    right = rest.select("bucket", F.explode(F.sequence(F.lit(0), outer - 1)).alias("low"), block(blocks).alias("high"), F.lit(1).alias("side"), *kept)
     key = ("bucket", "low", "high")
-    across = met.select(*key, "side", "rep", "component", "n_shingles", "fine", "bands").repartition(*key).sortWithinPartitions(*key).mapInArrow(_block_sifter(percent), "u long, v long")
+    met = left.union(right).join(fine, "rep").select(*key, "side", *kept, "n_shingles", "fine", "bands")
+    across = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(_block_sifter(percent), "u long, v long")
     second = materialize(verified(materialize(across.distinct(), "across")), "more_links")
     repeated = full.groupBy("doc_id").agg(F.min("set_a").alias("a"), F.max("set_a").alias("b")).where("a <> b").select("doc_id")
     same_id = joined.join(repeated.withColumnRenamed("doc_id", "u"), "u", "left_semi")

@@ -30,6 +30,8 @@ EPOCHS = 5
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.1
 #: Weight of a labelled 1 in the loss, against the rarity of the class.
 POSITIVE = 4.0
+#: Words before one that share a feature with it.
+OVERLAP = 2
 
 
 @dataclass
@@ -55,9 +57,16 @@ def hashed_features(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def feature_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """Sorted distinct features of each text."""
-    for words in split_words(column, lower=True, separators=NOT_ALNUM):
+    pieces: list[np.ndarray] = []
+    for words in split_words(column, lower=True, separators=NOT_ALNUM, overlap=OVERLAP):
         row, feature = hashed_features(words)
         key = np.unique((row << BITS) | feature)
+        if words.more or words.base:  # a long text: the union of its pieces
+            pieces.append(key)
+            if not words.more:
+                yield np.unique(np.concatenate(pieces))
+                pieces = []
+            continue
         at = np.searchsorted(key >> BITS, np.arange(len(words.counts) + 1))
         for a, b in zip(at[:-1], at[1:], strict=True):
             yield key[a:b] & ((1 << BITS) - 1)
@@ -94,11 +103,16 @@ def score_column(model: Model, column: pa.Array) -> np.ndarray:
     """Probability of label 1 for whole texts; an empty text has the bias alone."""
     dense = np.zeros(1 << BITS)
     dense[model.features] = model.weights
-    out = []
-    for words in split_words(column, lower=True, separators=NOT_ALNUM):
+    out, pieces = [], []
+    for words in split_words(column, lower=True, separators=NOT_ALNUM, overlap=OVERLAP):
         row, feature = hashed_features(words)
         hit = dense[feature] != 0
         key = np.unique((row[hit] << BITS) | feature[hit])
+        if words.more or words.base:  # a long text: its features are known with its last piece
+            pieces.append(key)
+            if words.more:
+                continue
+            key, pieces = np.unique(np.concatenate(pieces)), []
         total = np.bincount(key >> BITS, weights=dense[key & ((1 << BITS) - 1)], minlength=len(words.counts)) + model.bias
         out.append(np.where(np.isinf(total), 0.0, 1.0 / (1.0 + np.exp(-np.clip(total, -700, 700)))))
     return np.concatenate(out) if out else np.zeros(0)
@@ -116,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMP
     counts, and of repeated documents one text. No usable label gives a model that scores 0.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(remainder(F.col("doc_id"), folds) != 0).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    # the bound is on rows, so this side of the join is small at any size
+    # of those that have a document; the bound is on rows, so this side of the join is small at any size
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     found = rows.mapInArrow(_extract, "doc_id long, toxic int, features binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("features").alias("features")).toArrow().sort_by("doc_id")

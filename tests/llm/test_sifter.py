@@ -6,12 +6,12 @@ import pytest
 
 from intronaut.llm import near_dedup
 
-ROW = pa.schema([("bucket", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("side", pa.int32()), ("rep", pa.int64()), ("component", pa.int64()), ("n_shingles", pa.int64()), ("fine", pa.binary()), ("bands", pa.list_(pa.int64()))])
+ROW = pa.schema([("bucket", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("side", pa.int32()), ("outside", pa.bool_()), ("rep", pa.int64()), ("component", pa.int64()), ("n_shingles", pa.int64()), ("fine", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def batch(*rows):
     fine = np.zeros(near_dedup.FINE_BITS // 64, np.uint64).tobytes()
-    return pa.RecordBatch.from_pylist([{"bucket": b, "low": 0, "high": 0, "side": 2, "rep": r, "component": r, "n_shingles": 9, "fine": fine, "bands": [b, -r]} for b, r in rows], schema=ROW)
+    return pa.RecordBatch.from_pylist([{"bucket": b, "low": 0, "high": 0, "side": side, "outside": True, "rep": r, "component": r, "n_shingles": 9, "fine": fine, "bands": [b, -r]} for b, r in rows for side in (0, 1)], schema=ROW)
 
 
 @pytest.mark.parametrize(
