@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intronaut.llm.decontaminate import contaminated_words
+from intronaut.llm.decontaminate import contaminated_rows
 from intronaut.llm.mixing import emitted
 from intronaut.llm.near_dedup import near_duplicates
 from intronaut.llm.substring_dedup import remove_repeats_with
@@ -70,16 +70,24 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text is contaminated by ``benchmark`` go, whatever their doc_id."""
-    key = F.xxhash64(F.col("text").cast("string"))
-    found = contaminated_words(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ITEM_WORDS, ITEM_SHARE)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("text_key")).distinct()
-    return docs.join(bad, key == F.col("text_key"), "left_anti").select(*docs.columns)
+    """Rows whose text is contaminated by ``benchmark`` go, whatever their doc_id; null and empty texts stay.
+
+    Rows are judged one by one under a key of their own, repeated rows alike.
+    """
+    row = unused("row", docs)
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    rows = keyed.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = contaminated_rows(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ITEM_WORDS, ITEM_SHARE)
+    bad = found.where("contaminated").select(F.col("row").alias("bad"))
+    return keyed.join(bad, keyed[row] == bad["bad"], "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: a row for each copy of a document that it takes."""
-    return emitted(docs)
+    """The mix of the sources: a row for each copy of a document that it takes.
+
+    Null sources are one source, null and empty texts have size 0 and go in at their source's rate, repeated rows each by themselves.
+    """
+    return emitted(docs, unused("copy", docs))
 
 
 STAGES = [("toxicity", toxicity), ("minhash_dedup", minhash_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("mixing", mixing)]
