@@ -127,9 +127,9 @@ sites as (select chr, site, arg_max(gene_name, struct_pack(x := start_pos, y :=
       from (select *, p * count(p) over () / row_number() over (order by p nulls last) as x from pv)""", False),
     "bonferroni_min": _with(PVALUES, "select l_suppkey, round(least(1.0, min(p) * count(p)), 9) as p_min from pv group by l_suppkey", False),
     "fisher_combined": _with(PVALUES + """,
-halves as (select l_suppkey, -sum(ln(p)) as h, count(p) as m from pv where l_linenumber = 1 and l_orderkey % 40 = 1 group by l_suppkey)""",
+halves as (select l_suppkey, -sum(ln(p)) as h, count(p) as m from pv group by l_suppkey)""",
         "select l_suppkey, round(sum(exp(-h + k * ln(h) - lgamma(k + 1))), 6) as p_fisher from (select *, unnest(range(m)) as k from halves where m > 0) group by l_suppkey", False),
-    "outlier_cluster_p": _with(PVALUES, "select l_suppkey, round(1 - pow(1 - min(p), count(*)), 6) as p_cluster from pv where p is not null and l_orderkey % 50 = 1 group by l_suppkey", False),
+    "outlier_cluster_p": _with(PVALUES, "select l_suppkey, round(1 - pow(1 - min(p), count(*)), 6) as p_cluster from pv where p is not null group by l_suppkey", False),
     "ds_testability_status": _with(", ".join([ALL, GROUPS]) + """,
 cells as (select counts.*, grp from counts join groups using (sample)),
 per_intron as (select clu, count(*) as size, count(*) filter (used >= 5) as usable from (select clu, a, b, count(*) filter (n > 0) as used from cells group by clu, a, b) group by clu),

@@ -235,14 +235,23 @@ def dm_concentration(y: np.ndarray) -> np.ndarray:
     return np.exp(minimise(f, np.log(mean / mean.sum() * 10))[0])
 
 
-def bb_tails(count: int, total: int, alpha: float, beta: float) -> tuple[float, float]:
-    """(right, left) tail probabilities of a beta-binomial count, both including it, within [eps, 1 - eps]."""
-    k = np.arange(total + 1.0)
-    log_pmf = lgamma(np.array(total + 1.0)) - lgamma(k + 1) - lgamma(total - k + 1) + lgamma(k + alpha) + lgamma(total - k + beta) - lgamma(np.array(total + alpha + beta)) + lgamma(np.array(alpha + beta)) - lgamma(np.array(alpha)) - lgamma(np.array(beta))
-    cdf = np.cumsum(np.exp(log_pmf))
+def bb_tails(counts: np.ndarray, alpha: np.ndarray, columns: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """(right, left) tail probabilities of each count of one sample under a Dirichlet-multinomial, both including it, within [eps, 1 - eps].
+
+    A count is beta-binomial out of the sample's total. All counts share one table of probabilities, built in
+    pieces of ``columns`` numbers of reads, so memory does not grow with the total.
+    """
+    counts, alpha = np.asarray(counts, int), np.asarray(alpha, float)
+    total, rest = int(counts.sum()), alpha.sum() - alpha
+    fixed = lgamma(np.array(total + 1.0)) - lgamma(np.array(total + alpha.sum())) + lgamma(np.array(alpha.sum())) - lgamma(alpha) - lgamma(rest)
+    below, upto = np.zeros(len(counts)), np.zeros(len(counts))
+    for first in range(0, total + 1, columns):
+        k = np.arange(first, min(total + 1, first + columns), dtype=float)
+        pmf = np.exp(fixed[:, None] - lgamma(k + 1) - lgamma(total - k + 1) + lgamma(k + alpha[:, None]) + lgamma(total - k + rest[:, None]))
+        below += np.where(k < counts[:, None], pmf, 0).sum(axis=1)
+        upto += np.where(k <= counts[:, None], pmf, 0).sum(axis=1)
     eps = np.finfo(float).eps
-    right = 1.0 if count == 0 else 1 - cdf[count - 1]
-    return float(min(max(right, eps), 1 - eps)), float(min(max(cdf[count], eps), 1 - eps))
+    return np.clip(1 - below, eps, 1 - eps), np.clip(upto, eps, 1 - eps)
 
 
 def mahalanobis(x: np.ndarray) -> np.ndarray:

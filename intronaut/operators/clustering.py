@@ -9,9 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from intronaut.functions.ordering import numbered
+from intronaut.operators.components import components
+from intronaut.scratch import materialize
+
 #: Chromosome names accepted by default, with or without prefix.
 CHROMOSOMES = [p + c for p in ("", "chr") for c in (*map(str, range(1, 23)), "X", "Y")]
 KEY = ("chrom", "strand", "a", "b")
+#: Introns of an island that are folded in one row; larger islands are linked as a table.
+FOLDED = 500
 
 
 def known_chromosomes(junctions: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -20,13 +26,19 @@ def known_chromosomes(junctions: DataFrame, names: list[str] | None = None) -> D
 
 
 def pool_introns(junctions: DataFrame, max_length: int = 100_000, min_reads: int = 3) -> DataFrame:
-    """Reads per intron over all samples; ambiguous strands and longer introns don't count."""
-    usable = junctions.where(F.col("strand") != "?").where(F.col("b") - F.col("a") <= max_length)
+    """Reads per intron over all samples; ambiguous strands and longer introns don't count.
+
+    Rows with a null key don't count either, and a null ``n`` adds nothing.
+    """
+    usable = junctions.where(F.col("strand") != "?").dropna(subset=list(KEY)).where(F.col("b") - F.col("a") <= max_length)
     return usable.groupBy(*KEY).agg(F.sum("n").alias("n")).where(F.col("n") >= min_reads)
 
 
 def overlap_islands(introns: DataFrame) -> DataFrame:
-    """Number the islands of overlapping closed intervals of each chromosome and strand from 1, as ``island``."""
+    """Number the islands of overlapping closed intervals of each chromosome and strand from 1, as ``island``.
+
+    Introns are pooled before, so a window holds the distinct introns of one chromosome and strand: the genome bounds it, not the reads.
+    """
     order = Window.partitionBy("chrom", "strand").orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0)
@@ -63,6 +75,28 @@ def linked_components(islands: DataFrame, *within: str) -> DataFrame:
     ``component`` numbers them in the island from 1 in the order of their first intron.
     """
     keys = ["chrom", "strand", "island", *within]
+    sized = islands.withColumn("_introns", F.count("*").over(Window.partitionBy(*keys)))
+    small = _folded_components(sized.where(F.col("_introns") <= FOLDED).drop("_introns"), keys)
+    large = sized.where(F.col("_introns") > FOLDED).select(*keys, "a", "b", "n")
+    if not large.limit(1).count():
+        return small
+    return small.union(_table_components(large, keys))
+
+
+def _table_components(islands: DataFrame, keys: list[str]) -> DataFrame:
+    """Components of large islands over links from each intron to the first one of either of its sites."""
+    rows = materialize(islands.select(*keys, *(F.col(c).cast("long").alias(c) for c in "abn"), F.monotonically_increasing_id().alias("id")), "large_islands")
+    sites = rows.select(*keys, "id", F.explode(F.array("a", "b")).alias("site"))
+    firsts = materialize(sites.groupBy(*keys, "site").agg(F.min("id").alias("u")), "sites")
+    links = sites.join(firsts, [*keys, "site"]).where("u <> id").select("u", F.col("id").alias("v"))
+    placed = rows.join(components(links).withColumnRenamed("node", "id"), "id")
+    # the order of the first introns of an island's components: one row each
+    heads = placed.groupBy(*keys, "component").agg(F.min(F.struct("a", "b", "n")).alias("head"))
+    ranked = heads.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("head")).cast("long"))
+    return placed.join(ranked.select("component", "number"), "component").select(*keys, F.col("number").alias("component"), "a", "b", "n")
+
+
+def _folded_components(islands: DataFrame, keys: list[str]) -> DataFrame:
     member = F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("n").cast("long").alias("n"))
     folded = islands.groupBy(*keys).agg(F.array_sort(F.collect_list(member)).alias("members"))
     groups = F.transform(_groups(F.col("members")), lambda g: F.array_sort(g["members"]))
@@ -83,15 +117,15 @@ def refine(components: DataFrame, min_ratio: float = 0.001, min_reads: int = 30)
 
 
 def number_clusters(refined: DataFrame) -> DataFrame:
-    """Cluster numbers from 1 by (chrom, strand, island, parent, part), as ``clu``; the window is over clusters, not introns."""
+    """Cluster numbers from 1 by (chrom, strand, island, parent, part), as ``clu``."""
     keys = ["chrom", "strand", "island", "parent", "part"]
-    numbers = refined.select(*keys).distinct().withColumn("clu", F.row_number().over(Window.orderBy(*keys)).cast("long"))
-    return refined.join(numbers, keys).select("clu", *KEY, "n")
+    refined = materialize(refined, "refined")
+    return refined.join(numbered(refined.select(*keys).distinct(), "clu", *keys), keys).select("clu", *KEY, "n")
 
 
 def cluster_introns(junctions: DataFrame, max_length: int = 100_000, min_cluster_reads: int = 30, min_ratio: float = 0.001, min_reads: int | None = None) -> DataFrame:
     """Junctions -> (clu, chrom, strand, a, b, n); ``min_reads`` per intron is the cluster's minimum unless given."""
-    islands = large_islands(overlap_islands(pool_introns(junctions, max_length)), 2, min_cluster_reads)
+    islands = materialize(large_islands(overlap_islands(pool_introns(junctions, max_length)), 2, min_cluster_reads), "islands")
     return number_clusters(refine(linked_components(islands), min_ratio, min_cluster_reads if min_reads is None else min_reads))
 
 

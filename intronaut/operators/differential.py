@@ -20,7 +20,8 @@ FIT = "clu long, status string, loglr double, df long, p double, introns array<s
 def testability(counts: DataFrame, groups: DataFrame, max_size: int | None = None, min_samples_per_intron: int = 5, min_samples_per_group: int = 4, min_coverage: int = 20) -> DataFrame:
     """(clu, status): the first reason not to test a cluster, null if there is none.
 
-    ``counts`` has clu, a, b, sample, n, tot; samples that ``groups`` (sample, grp) lacks don't count.
+    ``counts`` has clu, a, b, sample, n, tot; samples that ``groups`` (sample, grp; one row per sample, so
+    small enough for every task) lacks don't count.
     """
     cells = counts.join(F.broadcast(groups.select("sample", "grp")), "sample")
     introns = cells.groupBy("clu", "a", "b").agg(F.count_if(F.col("n") > 0).alias("used")).groupBy("clu").agg(F.count("*").alias("size"), F.count_if(F.col("used") >= min_samples_per_intron).alias("usable"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +28,12 @@ def outliers(counts: DataFrame, max_size: int = 10, min_coverage: int = 20) -> D
         wide = pdf.pivot_table(index="sample", columns=["a", "b"], values="n", fill_value=0, aggfunc="sum")
         y = wide.to_numpy(float) + 1
         alpha = dm_concentration(y)
-        total, rows = y.sum(axis=1), []
-        for i, sample in enumerate(wide.index):
-            for j, (a, b) in enumerate(wide.columns):
-                right, left = bb_tails(int(y[i, j]), int(total[i]), alpha[j], alpha.sum() - alpha[j])
-                rows.append((int(pdf.clu.iloc[0]), int(a), int(b), sample, min(1.0, 2 * min(right, left)), y[i, j] / total[i] - alpha[j] / alpha.sum(), alpha[j] / alpha.sum()))
-        return pd.DataFrame(rows, columns=["clu", "a", "b", "sample", "p", "effect", "mean_share"])
+        share = alpha / alpha.sum()
+        out = []
+        for sample, row in zip(wide.index, y, strict=True):
+            right, left = bb_tails(row, alpha)
+            out.append(pd.DataFrame({"clu": pdf.clu.iloc[0], "a": [a for a, _ in wide.columns], "b": [b for _, b in wide.columns], "sample": sample, "p": np.minimum(1.0, 2 * np.minimum(right, left)), "effect": row / row.sum() - share, "mean_share": share}))
+        return pd.concat(out)
 
     return testable(counts, max_size, min_coverage).select("clu", "a", "b", "sample", "n").groupBy("clu").applyInPandas(fit, CELLS)
 

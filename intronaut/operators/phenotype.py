@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from intronaut.functions.products import column_products
 from intronaut.functions.stats import qqnorm
 from intronaut.operators.clustering import KEY
 
@@ -50,11 +51,13 @@ def summary(table: DataFrame) -> DataFrame:
 
 def components(table: DataFrame, value: str, samples: list[str], k: int) -> DataFrame:
     """Principal components over introns as rows: (pc, sample, loading); signs are arbitrary."""
-    from pyspark.ml.feature import PCA, VectorAssembler
+    import numpy as np
 
     k = min(k, len(samples))
-    rows = table.groupBy(*INTRON).pivot("sample", samples).agg(F.first(value)).na.drop()
-    model = PCA(k=k, inputCol="v", outputCol="pc").fit(VectorAssembler(inputCols=samples, outputCol="v").transform(rows))
-    loadings = model.pc.toArray()
+    wide = table.groupBy(*INTRON).pivot("sample", samples).agg(F.first(value))
+    rows = wide.select(F.array(*(F.col(f"`{s}`") for s in samples)).alias("x")).where(~F.exists("x", lambda v: v.isNull()))
+    n, sums, products = column_products(rows, "x", len(samples))
+    covariance = (products - np.outer(sums, sums) / max(n, 1)) / max(n - 1, 1)
+    loadings = np.linalg.eigh(covariance)[1][:, ::-1]
     data = [(c + 1, s, float(loadings[i, c])) for i, s in enumerate(samples) for c in range(k)]
     return table.sparkSession.createDataFrame(data, "pc int, sample string, loading double")

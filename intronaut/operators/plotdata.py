@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from intronaut.functions.products import column_products
+
 
 def plot_coords(introns: DataFrame, *by: str) -> DataFrame:
     """(by, position, coord): sorted distinct ends of introns, drawn at the running sum of log(distance + 1)."""
@@ -31,13 +33,16 @@ def invert_mapping(points: DataFrame, knots: DataFrame, *by: str) -> DataFrame:
 
 
 def exons_near(exons: DataFrame, introns: DataFrame, longest: int = 500) -> DataFrame:
-    """Exons of each cluster's stretch that touch one of its splice sites; longer ones only at its outer edges."""
-    span = introns.groupBy("clu").agg(F.first("chrom").alias("chrom"), F.min("a").alias("low"), F.max("b").alias("high"), F.collect_set("a").alias("starts"), F.collect_set("b").alias("ends"))
-    met = exons.join(span, (F.col("chr") == F.col("chrom")) & (F.col("end_pos") >= F.col("low")) & (F.col("start_pos") <= F.col("high")))
+    """Exons of each cluster's stretch that touch one of its splice sites, each once; longer ones only at its outer edges."""
+    columns = ("chr", "start_pos", "end_pos", "strand", "gene_name")
+    span = introns.groupBy("clu").agg(F.min("a").alias("low"), F.max("b").alias("high"))
+    # an exon touches a cluster by an equal coordinate
+    sides = (("start_pos", "b"), ("end_pos", "a"))
+    touching = [exons.join(introns.select("clu", "chrom", c).distinct(), (F.col("chr") == F.col("chrom")) & (F.col(e) == F.col(c))).select("clu", *columns) for e, c in sides]
+    met = touching[0].union(touching[1]).distinct().join(span, "clu")
     near = F.col("start_pos").between(F.col("low"), F.col("high")) | F.col("end_pos").between(F.col("low"), F.col("high"))
-    touches = F.array_contains("ends", F.col("start_pos")) | F.array_contains("starts", F.col("end_pos"))
     short = (F.col("end_pos") - F.col("start_pos") <= longest) | (F.col("end_pos") == F.col("low")) | (F.col("start_pos") == F.col("high"))
-    return met.where(near & touches & short).select("clu", "chr", "start_pos", "end_pos", "strand", "gene_name")
+    return met.where(near & short).select("clu", *columns)
 
 
 def gene_exons(exons: DataFrame, longest: int = 1000) -> DataFrame:
@@ -100,7 +105,7 @@ def pca_samples(psi: DataFrame, samples: list[str], max_missing: float = 0.4) ->
     """Scores of the samples on the components of scaled usage and the components' share of variance in per cent.
 
     Introns with few missing shares and some spread are scaled; their samples x samples products are summed
-    in the cluster, and only that small matrix is decomposed on the driver.
+    in the tasks, and only that small matrix is decomposed on the driver.
     """
     import numpy as np
 
@@ -111,9 +116,7 @@ def pca_samples(psi: DataFrame, samples: list[str], max_missing: float = 0.4) ->
     mean = F.aggregate(known, F.lit(0.0), lambda s, v: s + v) / F.size(known)
     rows = wide.select(x.alias("x"), F.size(known).alias("k"), F.when(F.size(known) > 0, mean).alias("m")).where(F.col("k") >= n * (1 - max_missing)).select(F.transform("x", lambda v: F.coalesce(v, F.col("m")) - F.col("m")).alias("x"))
     rows = rows.withColumn("sd", F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v) / (n - 1))).where("sd > 0").select(F.transform("x", lambda v: v / F.col("sd")).alias("x"))
-    products = [F.sum(F.get("x", F.lit(i)) * F.get("x", F.lit(j))).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]
-    got = rows.agg(*products).first()
-    gram = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
+    _, _, gram = column_products(rows, "x", n)
     gram = gram - gram.mean(axis=0) - gram.mean(axis=1)[:, None] + gram.mean()
     values, vectors = np.linalg.eigh(gram)
     values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]

@@ -37,12 +37,14 @@ def cigar_blocks(rows: DataFrame) -> DataFrame:
     gap moves on without ending that. Other operations are a problem and give no blocks.
     """
     body = F.when(F.col("cigar").rlike(r"^\d+S"), F.regexp_replace("cigar", r"^\d+S", "")).otherwise(F.regexp_replace("cigar", r"\d+S$", ""))
-    ops = F.regexp_extract_all(F.col("body"), F.lit(r"(\d+[MIDN])"), F.lit(1))
+    # sizes and letters are cut out once, the fold sees numbers
+    sizes, letters = F.split("body", "[MIDN]"), F.split(F.regexp_replace("body", r"\d+", ""), "")
+    ops = F.zip_with(F.filter(sizes, lambda x: x != ""), F.filter(letters, lambda x: x != ""), lambda n, c: F.struct(n.cast("long").alias("size"), c.alias("letter")))
     kind = "struct<shift:bigint,at:bigint,extend:boolean,sizes:array<bigint>,starts:array<bigint>>"
     start = F.from_json(F.lit('{"shift":0,"at":0,"extend":false,"sizes":[],"starts":[]}'), kind)
 
     def step(s: Column, op: Column) -> Column:
-        size, letter = F.regexp_extract(op, r"(\d+)", 1).cast("long"), F.right(op, F.lit(1))
+        size, letter = op["size"], op["letter"]
         n = F.size(s["sizes"])
         longer = F.concat(F.slice(s["sizes"], F.lit(1), n - 1), F.array(F.element_at(s["sizes"], F.lit(-1)) + size))
         into = s["extend"] & (n > 0)
@@ -55,7 +57,7 @@ def cigar_blocks(rows: DataFrame) -> DataFrame:
             F.when((letter == "M") & ~into, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"]).alias("starts"),
         )
 
-    folded = rows.withColumn("body", body).withColumn("problem", ~F.col("body").rlike(r"^(\d+[MIDN])+$")).withColumn("f", F.aggregate(ops, start, step))
+    folded = rows.withColumn("body", body).withColumn("problem", ~F.col("body").rlike(r"^(\d+[MIDN])+$")).withColumn("f", F.when(~F.col("problem"), F.aggregate(ops, start, step)))
     good = lambda c: F.when(~F.col("problem"), c)
     return folded.withColumn("chrom_start", good(F.col("pos") - 1 + F.col("f.shift"))).withColumn("block_sizes", good(F.col("f.sizes"))).withColumn("block_starts", good(F.col("f.starts"))).drop("body", "f")
 

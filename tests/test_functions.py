@@ -69,8 +69,10 @@ def test_two_categories_agree_with_beta_binomial():
 
 
 def test_tails_sum_to_one():
-    right, left = models.bb_tails(4, 10, 2.0, 5.0)
-    assert right + models.bb_tails(3, 10, 2.0, 5.0)[1] == pytest.approx(1.0)
+    alpha = np.array([2.0, 5.0])
+    (right, _), (left, _) = models.bb_tails(np.array([4, 6]), alpha)
+    assert right + models.bb_tails(np.array([3, 7]), alpha)[1][0] == pytest.approx(1.0)
+    assert np.allclose(models.bb_tails(np.array([4, 6]), alpha, 3), models.bb_tails(np.array([4, 6]), alpha))
     assert 0 < left < 1
 
 
