@@ -82,7 +82,10 @@ def places(docs: DataFrame, keys: DataFrame, reach: int) -> DataFrame:
 
 
 def contaminated_rows(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """As :func:`contaminated_words`, with the ``row`` of ``docs`` (row long, unique and lasting; doc_id; text) as a further column."""
+    """As :func:`contaminated_words`, with the ``row`` of ``docs`` (row, doc_id, text) as a further column.
+
+    ``row`` is a lasting key of any type; rows that share one have the same text.
+    """
     windows, owners = item_windows(items, window)
     sought = prefixes(docs, windows)
     keys = materialize(sought.select("key").distinct(), "prefix_words")

@@ -14,16 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intronaut.llm.toxicity import remainder
 from intronaut.llm.words import LOWER, strings
+from intronaut.scratch import materialize
 
 STRETCH, HIDDEN = 64, 8
 DOCUMENTS, STRETCHES = 400, 12
-#: Languages that are learned at most, the most frequent ones.
-LANGUAGES = 1000
+#: Largest number of languages whose counts are broadcast; more are joined by shuffle.
+BROADCAST_LANGUAGES = 10_000
 BATCH, EPOCHS, RATE = 256, 4, 0.02
 #: Stretches computed at once when predicting: their states stay in the caches.
 WIDE = 1024
@@ -172,12 +173,20 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, folds: int = 3, held: int = 1, documents: int = DOCUMENTS) -> tuple[list[str], Params]:
-    """Languages and network, from documents with id, text and lang outside fold ``held`` of the id's crc32."""
+    """Languages and network, from documents with id, text and lang outside fold ``held`` of the id's crc32.
+
+    All languages are learned, each from ``documents`` different documents at most: the sample is what the driver holds.
+    """
     known = docs.where("doc_id is not null and lang is not null and text <> ''").where(remainder(F.col("doc_id"), folds) != held)
-    # at most LANGUAGES rows, so the texts need not be dealt by language to meet them
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    chosen = known.join(F.broadcast(counts), "lang").where(draw * F.col("n") < documents).select("doc_id", "lang", "text")
+    counts = materialize(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    # few rows need no dealing of the texts by language to meet them
+    counts = F.broadcast(counts) if counts.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES else counts
+    code = F.xxhash64("doc_id", "text", F.lit(23))
+    drawn = known.withColumn("code", code).join(counts, "lang").where(F.pmod("code", F.lit(1 << 30)) / float(1 << 30) * F.col("n") < documents)
+    # a repeated row is one document, and no language has more than it may
+    once = drawn.groupBy("lang", "doc_id", "code").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("code", F.lit(1 << 30)), "doc_id"))
+    chosen = once.withColumn("place", place).where(F.col("place") <= documents).select("doc_id", "lang", "text")
     found = chosen.mapInArrow(_pick, "doc_id long, lang string, data binary, length int").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("data", "ascending")])
     names = sorted(set(found.column("lang").to_pylist()))
     if not names:

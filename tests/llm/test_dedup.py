@@ -138,6 +138,25 @@ def test_calibration_reaches_recall(largest):
     assert groups < 400 and bits <= 40
 
 
+def test_planted_links_are_found(spark):
+    """Recall over thousands of vectors of one label, pairs planted just above the threshold."""
+    rng, n, d = np.random.default_rng(11), 4000, 48
+    base = rng.normal(size=(n, d))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=(n, d))
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9301, 0.95, n)[:, None]
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side])
+    linked = x @ x.T >= 0.93
+    np.fill_diagonal(linked, False)
+    rows = [(i, v.tolist(), 7) for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=0.93).collect()}
+    want = linked.sum(axis=1)
+    assert want.sum() >= 2 * n and all(got[i] <= want[i] for i in range(2 * n))
+    assert sum(got.values()) >= 0.999 * want.sum()
+
+
 def removed(rows, width):
     split = [(t or "").encode().split() for _, t in rows]
     seen = Counter(tuple(w[j : j + width]) for w in split for j in range(len(w) - width + 1))

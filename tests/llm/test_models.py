@@ -70,7 +70,8 @@ def test_languages_on_held_out_rows(spark):
 
 def test_language_edge_cases(spark):
     rows = [(i, "the cat and the dog " * 3 if i % 2 else "le chat est une bête " * 3, "en" if i % 2 else "fr", "x") for i in range(60)]
-    rows += [(100, None, "en", "x"), (101, "", "en", "x"), (102, "123 ?! --", "en", "x"), (103, "the dog", None, "x"), (None, "the dog", "en", "x"), (3, "the dog", "en", "x"), (104, "the dog " * 20_000, "en", "x")]
+    rows += [(3, "the cat and the dog " * 3, "en", "x")] * 900  # one document, however often it comes
+    rows += [(200, "zzyzx qqxq vvjk " * 4, "rare", "x"), (100, None, "en", "x"), (101, "", "en", "x"), (102, "123 ?! --", "en", "x"), (103, "the dog", None, "x"), (None, "the dog", "en", "x"), (3, "the dog", "en", "x"), (104, "the dog " * 20_000, "en", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
     got = language_id.identify(docs).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
