@@ -72,14 +72,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text is contaminated by ``benchmark`` go, whatever their doc_id; null and empty texts stay.
 
-    Rows are judged one by one under a key of their own, repeated rows alike.
+    Rows are known by 128 bits of a hash of their text: equal texts are judged alike.
     """
-    row = unused("row", docs)
-    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
-    rows = keyed.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    rows = docs.select(key.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     found = contaminated_rows(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ITEM_WORDS, ITEM_SHARE)
-    bad = found.where("contaminated").select(F.col("row").alias("bad"))
-    return keyed.join(bad, keyed[row] == bad["bad"], "left_anti").select(*docs.columns)
+    bad = found.where("contaminated").select(F.col("row").alias(unused("bad", docs))).distinct()
+    return docs.join(bad, key == F.col(unused("bad", docs)), "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

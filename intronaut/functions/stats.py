@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,8 +94,8 @@ def fisher_combined(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
 
 
 def cluster_p(least: Column, n: Column) -> Column:
-    """1 - (1 - p)^n without loss for small p."""
-    return -F.expm1(n * F.log1p(-least))
+    """1 - (1 - p)^n without loss for small p; 1 for a p of 1, which has no logarithm."""
+    return F.when(least < 1, -F.expm1(n * F.log1p(-least))).when(least >= 1, 1.0)
 
 
 def average_rank(value: str, *by: str) -> Column:
@@ -127,6 +128,21 @@ def softmax_over(x: Column, *by: str) -> Column:
     return e / F.sum(e).over(w)
 
 
+def beta_real(raw: Column, scale: Column, *by: str) -> Column:
+    """Coefficients on the real scale from shares of a simplex: (raw - 1/K) * scale, K the rows of ``by``."""
+    return (raw - 1 / F.count("*").over(Window.partitionBy(*by))) * scale
+
+
+def chi_square_p(x: Column, df: Column) -> Column:
+    """P(chi-square with integer ``df`` > x) of columns; null for a null."""
+
+    @F.pandas_udf("double")
+    def survival(xs: pd.Series, dfs: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or pd.isna(b) else chi_square_survival(float(a), int(b)) for a, b in zip(xs, dfs, strict=True)], dtype="float64")
+
+    return survival(x, df)
+
+
 def chi_square_survival(x: float, df: int) -> float:
     """P(chi-square with integer ``df`` > x) by its finite sums."""
     if x <= 0:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intronaut.functions.models import dm_anova, to_psi
+from intronaut.functions.models import dm_anova, dm_negative, to_psi
 from intronaut.functions.stats import adjusted_fdr
 
 TOO_MANY, ONE_JUNCTION = "Too many introns in cluster", "<=1 junction in cluster"
@@ -59,7 +59,7 @@ def design(groups: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def differential_usage(counts: DataFrame, groups: pd.DataFrame, max_size: int | None = 10, min_samples_per_intron: int = 5, min_samples_per_group: int = 4, min_coverage: int = 20, robust: bool = False) -> DataFrame:
+def differential_usage(counts: DataFrame, groups: pd.DataFrame, max_size: int | None = 10, min_samples_per_intron: int = 5, min_samples_per_group: int = 4, min_coverage: int = 20, robust: bool = False, multi: bool = True) -> DataFrame:
     """Fit every testable cluster, one grouped call each; untestable ones keep their status. Errors become a status."""
     spark = counts.sparkSession
     table = design(groups)
@@ -76,10 +76,10 @@ def differential_usage(counts: DataFrame, groups: pd.DataFrame, max_size: int |
         one = np.ones((len(x), 1))
         null, full = np.hstack([one, x[:, keep[1:]]]), np.hstack([one, x[:, keep[1:]], x[:, :1]])
         try:
-            loglr, df, p, _, best = dm_anova(full, null, y, robust=robust)
+            loglr, df, p, _, best = dm_anova(full, null, y, robust=robust, multi=multi)
         except (np.linalg.LinAlgError, FloatingPointError, ValueError) as error:
             return pd.DataFrame({"clu": [pdf.clu.iloc[0]], "status": [str(error).replace("\n", " ")], "loglr": [None], "df": [None], "p": [None], "introns": [None]})
-        before, after = to_psi(best.beta[0], best.conc), to_psi(best.beta[0] + best.beta[-1], best.conc)
+        before, after = to_psi(best.beta[0], best.conc), to_psi(best.beta[0] + best.beta[-1], best.conc)  # one concentration cancels out
         introns = [dict(a=int(a), b=int(b), logef=float(e), baseline=float(s), perturbed=float(t), deltapsi=float(t - s)) for (a, b), e, s, t in zip(wide.columns[cols], best.beta[-1], before, after, strict=True)]
         return pd.DataFrame({"clu": [pdf.clu.iloc[0]], "status": ["Success"], "loglr": [loglr], "df": [df], "p": [p], "introns": [introns]})
 
@@ -98,5 +98,26 @@ def effect_sizes(results: DataFrame) -> DataFrame:
     return results.where("introns is not null").select("clu", F.inline("introns"))
 
 
+def cluster_sizes(introns: DataFrame) -> DataFrame:
+    """Introns of each cluster."""
+    return introns.groupBy("clu").agg(F.count("*").alias("size"))
+
+
+def group_sizes(groups: DataFrame) -> DataFrame:
+    """Samples of each group."""
+    return groups.groupBy("grp").agg(F.count("*").alias("samples"))
+
+
+def loglik_at(counts: DataFrame, conc: float) -> DataFrame:
+    """(clu, loglik): Dirichlet-multinomial log likelihood of each cluster's samples at equal shares and one concentration."""
+
+    def value(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.pivot_table(index="sample", columns=["a", "b"], values="n", fill_value=0, aggfunc="sum").to_numpy(float)
+        theta = np.append(np.zeros(y.shape[1]), np.log(conc))
+        return pd.DataFrame({"clu": [pdf.clu.iloc[0]], "loglik": [-dm_negative(theta, np.ones((len(y), 1)), y, False, False, 1.0, 0.0, (1.0, 1.0))[0]]})
+
+    return counts.select("clu", "a", "b", "sample", "n").groupBy("clu").applyInPandas(value, "clu long, loglik double")
+
+
 def status_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("status").agg(F.count("*").alias("n"))

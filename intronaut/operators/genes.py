@@ -23,9 +23,9 @@ def attribute_map(column: str = "attributes") -> Column:
     return F.when(bad, F.raise_error(F.concat(F.lit("a GTF attribute repeats: "), F.col(column)))).otherwise(F.map_from_arrays(keys, values))
 
 
-def gtf_exons(gtf: DataFrame) -> DataFrame:
-    """Distinct (chr, start_pos, end_pos, strand, gene_name) of exon rows; the gene's id where it has no name."""
-    rows = gtf.where(F.col("feature") == "exon")
+def gtf_exons(gtf: DataFrame, feature: str = "exon") -> DataFrame:
+    """Distinct (chr, start_pos, end_pos, strand, gene_name) of rows of a feature; the gene's id where it has no name."""
+    rows = gtf.where(F.col("feature") == feature)
     return rows.select("chr", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"), "strand", F.coalesce(attribute("gene_name"), attribute("gene_id")).alias("gene_name")).distinct()
 
 
@@ -81,8 +81,9 @@ def clusters_to_genes(introns: DataFrame, exons: DataFrame) -> DataFrame:
 
 
 def site_genes(exons: DataFrame) -> DataFrame:
-    """(chr, site) -> gene from both ends of every exon; the last exon in (start, end, name) order wins."""
-    ends = exons.select("chr", F.explode(F.array("start_pos", "end_pos")).alias("site"), F.struct("start_pos", "end_pos", "gene_name").alias("exon"))
+    """(chr, site) -> gene from both ends of every exon: the last one by ``line``, where exons have it, else by (start, end, name), wins."""
+    order = ("line", "gene_name") if "line" in exons.columns else ("start_pos", "end_pos", "gene_name")
+    ends = exons.select("chr", F.explode(F.array("start_pos", "end_pos")).alias("site"), F.struct(*order).alias("exon"))
     return ends.groupBy("chr", "site").agg(F.max("exon")["gene_name"].alias("gene"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from intronaut.functions.models import bb_tails, dm_concentration
 from intronaut.functions.stats import cluster_p
 
-CELLS = "clu long, a long, b long, sample string, p double, effect double, mean_share double"
+CELLS = "clu long, a long, b long, sample string, p double, effect double, share double, mean_share double"
 
 
 def testable(counts: DataFrame, max_size: int = 10, min_coverage: int = 20) -> DataFrame:
@@ -21,18 +23,21 @@ def testable(counts: DataFrame, max_size: int = 10, min_coverage: int = 20) -> D
     return counts.join(good, "clu", "left_semi")
 
 
-def outliers(counts: DataFrame, max_size: int = 10, min_coverage: int = 20) -> DataFrame:
-    """Two-sided p-value and effect (share minus expected share) of every intron and sample, on counts plus one."""
+def outliers(counts: DataFrame, max_size: int = 10, min_coverage: int = 20, estimate: Callable[[np.ndarray], np.ndarray] = dm_concentration) -> DataFrame:
+    """Two-sided p-value and effect (share minus expected share) of every intron and sample, on counts plus one.
+
+    ``estimate`` gives the parameters of a cluster from its samples x introns counts, by maximum likelihood unless another is given.
+    """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="sample", columns=["a", "b"], values="n", fill_value=0, aggfunc="sum")
         y = wide.to_numpy(float) + 1
-        alpha = dm_concentration(y)
+        alpha = estimate(y)
         share = alpha / alpha.sum()
         out = []
         for sample, row in zip(wide.index, y, strict=True):
             right, left = bb_tails(row, alpha)
-            out.append(pd.DataFrame({"clu": pdf.clu.iloc[0], "a": [a for a, _ in wide.columns], "b": [b for _, b in wide.columns], "sample": sample, "p": np.minimum(1.0, 2 * np.minimum(right, left)), "effect": row / row.sum() - share, "mean_share": share}))
+            out.append(pd.DataFrame({"clu": pdf.clu.iloc[0], "a": [a for a, _ in wide.columns], "b": [b for _, b in wide.columns], "sample": sample, "p": np.minimum(1.0, 2 * np.minimum(right, left)), "effect": row / row.sum() - share, "share": row / row.sum(), "mean_share": share}))
         return pd.concat(out)
 
     return testable(counts, max_size, min_coverage).select("clu", "a", "b", "sample", "n").groupBy("clu").applyInPandas(fit, CELLS)

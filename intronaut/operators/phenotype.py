@@ -50,7 +50,7 @@ def summary(table: DataFrame) -> DataFrame:
 
 
 def components(table: DataFrame, value: str, samples: list[str], k: int) -> DataFrame:
-    """Principal components over introns as rows: (pc, sample, loading); signs are arbitrary."""
+    """Principal components over introns as rows: (pc, sample, loading, variance); signs are arbitrary."""
     import numpy as np
 
     k = min(k, len(samples))
@@ -58,6 +58,6 @@ def components(table: DataFrame, value: str, samples: list[str], k: int) -> Data
     rows = wide.select(F.array(*(F.col(f"`{s}`") for s in samples)).alias("x")).where(~F.exists("x", lambda v: v.isNull()))
     n, sums, products = column_products(rows, "x", len(samples))
     covariance = (products - np.outer(sums, sums) / max(n, 1)) / max(n - 1, 1)
-    loadings = np.linalg.eigh(covariance)[1][:, ::-1]
-    data = [(c + 1, s, float(loadings[i, c])) for i, s in enumerate(samples) for c in range(k)]
-    return table.sparkSession.createDataFrame(data, "pc int, sample string, loading double")
+    values, vectors = (x[..., ::-1] for x in np.linalg.eigh(covariance))
+    data = [(c + 1, s, float(vectors[i, c]), float(values[c])) for i, s in enumerate(samples) for c in range(k)]
+    return table.sparkSession.createDataFrame(data, "pc int, sample string, loading double, variance double")

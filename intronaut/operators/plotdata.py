@@ -89,9 +89,15 @@ def parity(rows: DataFrame, order: str, *by: str) -> DataFrame:
     return rows.withColumn("side", F.when(n % 2 == 1, "up").otherwise("down"))
 
 
-def ucsc_url(chrom: Column, first: Column, last: Column, db: str = "hg38", margin: int = 100) -> Column:
-    """Genome-browser link with a margin on both sides."""
-    return F.concat(F.lit(f"https://genome.ucsc.edu/cgi-bin/hgTracks?db={db}&position="), chrom, F.lit(":"), (first - margin).cast("string"), F.lit("-"), (last + margin).cast("string"))
+def annotation_db(path: Column) -> Column:
+    """The genome build in the name of an annotation, ``<anything>_<build>_...``; null if there is none."""
+    return F.get(F.split(F.substring_index(path, "/", -1), "_"), F.lit(1))
+
+
+def browser_url(chrom: Column, first: Column, last: Column, db: Column, margin: int = 100) -> Column:
+    """Genome-browser link with a margin on both sides; the organism is told for human and mouse builds."""
+    org = F.when(db.contains("mm"), "&org=mouse").when(db.contains("hg"), "&org=human").otherwise("")
+    return F.concat(F.lit("http://genome.ucsc.edu/cgi-bin/hgTracks?"), org, F.lit("&db="), db, F.lit("&position="), chrom, F.lit(":"), (first - margin).cast("string"), F.lit("-"), (last + margin).cast("string"))
 
 
 def edge_labels(edges: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -126,6 +132,11 @@ def pca_samples(psi: DataFrame, samples: list[str], max_missing: float = 0.4) ->
     return psi.sparkSession.createDataFrame(data, "sample string, pc int, score double"), [float(f"{100 * v / total:.2g}") for v in values]
 
 
+def scores_with_meta(scores: DataFrame, meta: DataFrame) -> DataFrame:
+    """Scores of the samples that ``meta`` (a row per sample) knows, with its columns."""
+    return scores.join(F.broadcast(meta), "sample")
+
+
 def qq_points(table: DataFrame, p: str, *by: str) -> DataFrame:
     """Observed against expected -log10 p-values, ``(i - 0.5) / n`` for the i-th."""
     w = Window.partitionBy(*by)

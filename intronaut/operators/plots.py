@@ -105,7 +105,7 @@ def outer_exons(exons: DataFrame, coords: DataFrame, *by: str) -> DataFrame:
         width = F.log1p((F.col("k1") - F.col("k0")).cast("double"))
         left = -width if at else F.col("end")
         place = lambda c: left + (F.col(c) - F.col("k0")) / (F.col("k1") - F.col("k0")) * width  # noqa: E731, B023
-        out.append(mine.join(knots, list(by)).select(*by, "gene_name", "start_pos", "end_pos", F.lit(side).alias("side"), place("start_pos").alias("x"), place("end_pos").alias("xend")))
+        out.append(mine.join(knots, list(by)).select(*dict.fromkeys((*by, "gene_name", "start_pos", "end_pos")), F.lit(side).alias("side"), place("start_pos").alias("x"), place("end_pos").alias("xend")))
     return out[0].union(out[1])
 
 

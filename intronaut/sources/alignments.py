@@ -91,6 +91,12 @@ def select_reads(rows: DataFrame, unique: bool = False) -> DataFrame:
     return mapped.where("unique") if unique else mapped
 
 
+def split_mates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """First and second reads of pairs; a single-end read has no mate and is an error here."""
+    paired = rows.where(F.when(flag("paired"), F.lit(True)).otherwise(F.raise_error(F.lit("reads of pairs are split, but a read is single")).cast("boolean")))
+    return paired.where(flag("first_read")), paired.where(~flag("first_read"))
+
+
 def bed_lines(rows: DataFrame) -> DataFrame:
     """BED12 lines, half-open."""
     end = F.col("chrom_start") + F.element_at("block_starts", -1) + F.element_at("block_sizes", -1)

@@ -32,6 +32,19 @@ select distinct concat('chr', cast(1 + s_suppkey % 5 as varchar(9))) as chr,
        concat('G', cast(1 + s_suppkey % 5 as varchar(9)), '_', cast(p_partkey % 20 as varchar(9))) as gene_name
 from {sites}
 """
+SCATTERED = """
+select chrom, strand, sample, a + far as a, b + far as b, n * 10 as n
+from (select j.*, cast(a % 97 * 1000000 + n * 100000 as bigint) as far from ({junctions}) j) t
+"""
+CASSETTES = """
+select l_orderkey as clu,
+       cast(case when l_linenumber = 3 then 300 + 10 * (l_orderkey % 2) else 100 end as bigint) as a,
+       cast(case when l_linenumber = 1 then 200 else 400 + 10 * (l_orderkey % 2) end as bigint) as b,
+       case when l_linenumber = 2 then (l_orderkey // 2 % 3 - 1) / -10.0 else (l_orderkey // 2 % 3 - 1) / 10.0 end as deltapsi,
+       case when l_orderkey % 5 = 0 then 'annotated' when l_linenumber = 2 and l_orderkey % 5 = 1 then 'annotated' when l_linenumber = 2 then 'novel annotated pair'
+            when l_orderkey % 5 = 1 then 'cryptic_fiveprime' else 'annotated' end as verdict
+from {lineitem} where l_linenumber <= 3 or l_orderkey % 11 = 0
+"""
 #: Fixed values of the driver's sample names.
 SAMPLES = [f"S{i}" for i in range(8)]
 
@@ -45,6 +58,16 @@ def junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(JUNCTIONS, lineitem=table(spark, sf_dir, "lineitem"))
 
 
+def scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Junctions moved far apart, ten reads for one."""
+    return spark.sql(SCATTERED.format(junctions=JUNCTIONS), lineitem=table(spark, sf_dir, "lineitem"))
+
+
+def cassettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clu, a, b, deltapsi, verdict): the first three lines of an order as introns of a cluster, a few orders with all lines."""
+    return spark.sql(CASSETTES.replace("//", "div"), lineitem=table(spark, sf_dir, "lineitem"))
+
+
 def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chr, start_pos, end_pos, strand, gene_name): both tables enter by their few distinct residues."""
     supplier, part = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")

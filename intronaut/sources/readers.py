@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from intronaut.functions.ordering import numbered
 from intronaut.operators.clustering import known_chromosomes
 from intronaut.operators.genes import GTF_COLUMNS
+from intronaut.operators.phenotype import BLACKLIST
 
 JUNCTION = ("chrom", "strand", "sample", "a", "b", "n")
 
 
 def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines with their sample, the file's name up to ``.junc``; gzip is transparent, a missing path is an error."""
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return spark.read.text(paths).select("value", F.split_part(name, F.lit(".junc"), F.lit(1)).alias("sample"))
+    """Lines with their sample: the name up to ``.junc`` of the file or of the folder that it is in, else the file's name.
+
+    A folder may be a partition, as in ``file=S0.junc``. Gzip is transparent, a missing path is an error.
+    """
+    path = F.col("_metadata.file_path")
+    name = F.coalesce(F.nullif(F.regexp_extract(path, r"(?:^|[/=])([^/=]+?)\.junc", 1), F.lit("")), F.element_at(F.split(path, "/"), -1))
+    return spark.read.text(paths).select("value", name.alias("sample"))
 
 
 def _part(i: int) -> Column:
@@ -22,7 +28,7 @@ def _part(i: int) -> Column:
 
 
 def read_bed12(spark: SparkSession, paths: str | list[str], check_chromosomes: bool = True) -> DataFrame:
-    """Junctions from BED12 rows of two blocks; rows with fewer than 6 fields or more than 2 blocks are skipped."""
+    """Junctions from BED12 rows of two blocks; rows with fewer than 12 fields or more than 2 blocks are skipped."""
     rows = _lines(spark, paths).withColumn("p", F.split(F.trim("value"), r"\s+")).where(F.size("p") >= 12).where(_part(9).cast("int") <= 2)
     sizes = F.split(_part(10), ",")
     a = _part(1).cast("long") + F.get(sizes, F.lit(0)).cast("long")
@@ -46,8 +52,9 @@ def read_manifest(spark: SparkSession, path: str) -> list[str]:
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """Refined clusters (clu, chrom, strand, a, b, n) from lines ``chrom:strand a:b:n ...``, numbered in the order of the file."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where(F.trim("value") != "").withColumn("p", F.split(F.trim("value"), r"\s+"))
-    ordered = lines.withColumn("clu", F.row_number().over(Window.orderBy("line")).cast("long"))
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", *place).where(F.trim("value") != "")
+    ordered = numbered(lines, "clu", "file", "block", "line").withColumn("p", F.split(F.trim("value"), r"\s+"))
     introns = ordered.select("clu", F.split(_part(0), ":").alias("h"), F.explode(F.slice("p", F.lit(2), F.size("p"))).alias("x")).withColumn("x", F.split("x", ":"))
     number = lambda i: F.get("x", F.lit(i)).cast("long")
     return introns.select("clu", F.get("h", F.lit(0)).alias("chrom"), F.get("h", F.lit(1)).alias("strand"), number(0).alias("a"), number(1).alias("b"), number(2).alias("n"))
@@ -70,6 +77,19 @@ def read_matrix(spark: SparkSession, path: str, skip: str = "#") -> DataFrame:
     return rows.select(_part(0).alias("id"), cell.alias("i", "value")).select("id", F.get(listed, F.col("i")).alias("sample"), "value")
 
 
+def read_rows(spark: SparkSession, path: str, skip: str = "#") -> DataFrame:
+    """A table of text cells as (id, cells): a map from column to cell for each row; short rows lack the last columns."""
+    cells = read_matrix(spark, path, skip)
+    return cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("sample", "value"))).alias("cells"))
+
+
+def read_chromosomes(spark: SparkSession, path: str | None = None) -> list[str]:
+    """Chromosome names, one per line, as many as a genome has; the default blacklist without a path."""
+    if path is None:
+        return list(BLACKLIST)
+    return [r.value.strip() for r in spark.read.text(path).where(F.trim("value") != "").collect()]
+
+
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
     """(clu, chrom, a, b, sample, n, tot) from a matrix of counts or of ``n/tot`` cells; ``clu`` is the name in the id."""
     cells = read_matrix(spark, path)
