@@ -74,7 +74,7 @@ def full_texts() -> list[tuple[str, str]]:
 
 def _vectors(column: list[str]) -> list[Counter]:
     out = []
-    for words in split_words(pa.array(column, pa.string()), lower=True, separators=NOT_ALNUM):
+    for words in split_words(pa.array(column, pa.string()), lower=True, separators=NOT_ALNUM, whole=True):
         out += [Counter(words.codes[a:b].tolist()) for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
     return out
 
@@ -118,7 +118,7 @@ class Scanner:
         """Licence and cosine of each text by its lines, and by all of it where ``whole``."""
         names: list[str | None] = [None] * len(column)
         cosines: list[float | None] = [None] * len(column)
-        for words in split_words(column, lower=True, separators=NOT_ALNUM):
+        for words in split_words(column, lower=True, separators=NOT_ALNUM, whole=True):
             row = np.repeat(np.arange(len(words.counts)), words.counts)
             line = np.cumsum(words.data == 10)[words.starts] if len(words.starts) else np.zeros(0, np.int64)
             new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (line[1:] != line[:-1])])) if len(row) else np.zeros(0, np.int64)
@@ -155,7 +155,7 @@ class Scanner:
         lengths = [0] * len(column)
         names: list[str | None] = [None] * len(column)
         cosines: list[float | None] = [None] * len(column)
-        for words in split_words(column, lower=True, separators=NOT_ALNUM):
+        for words in split_words(column, lower=True, separators=NOT_ALNUM, whole=True):
             n = len(words.codes)
             if not n or not len(self.vocabulary):
                 continue
@@ -185,7 +185,7 @@ def _counter(vocabulary: np.ndarray):
         files, total = 0, np.zeros(len(vocabulary), np.int64)
         for batch in batches:
             files += len(batch)
-            for words in split_words(batch.column("text"), lower=True, separators=NOT_ALNUM):
+            for words in split_words(batch.column("text"), lower=True, separators=NOT_ALNUM, whole=True):
                 row = np.repeat(np.arange(len(words.counts)), words.counts)
                 at = np.minimum(np.searchsorted(vocabulary, words.codes), len(vocabulary) - 1)
                 hit = vocabulary[at] == words.codes

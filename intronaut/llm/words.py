@@ -86,18 +86,19 @@ def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8), borders
 
 
-def split_words(column: pa.Array | pa.ChunkedArray, lower: bool = False, chunk: int = CHUNK_BYTES, separators: np.ndarray = SPACE, overlap: int = 0) -> Iterator[Words]:
+def split_words(column: pa.Array | pa.ChunkedArray, lower: bool = False, chunk: int = CHUNK_BYTES, separators: np.ndarray = SPACE, overlap: int = 0, whole: bool = False) -> Iterator[Words]:
     """Words ``[^\\x20\\x09-\\x0D]+`` (or between other separators) of whole texts with fingerprints, a chunk of rows at a time.
 
     A row longer than ``chunk`` is cut between words into pieces that begin with the last ``overlap`` words of the
     piece before, so memory stays with the chunk; only a single word longer than a chunk is handled as it is.
+    With ``whole``, rows are never cut.
     """
     data, borders = strings(column)
     rows, i = len(borders) - 1, 0
     while i < rows:
         j = max(i + 1, min(rows, int(np.searchsorted(borders, borders[i] + chunk, "right")) - 1))
         part = data[borders[i] : borders[j]]
-        if len(part) > chunk:
+        if len(part) > chunk and not whole:
             yield from _pieces(part, i, lower, chunk, separators, overlap)
         else:
             yield _words(part, borders[i : j + 1] - borders[i], i, j, lower, separators)
