@@ -76,3 +76,27 @@ def test_one_pass_equals_recursion(spark):
         mine.setdefault(r.clu, set()).add((r.chrom, r.a, r.b))
     want = {frozenset((c, a, b) for a, b, _ in s) for c in {r[0] for r in rows} for s in recursive([r[3:] for r in rows if r[0] == c], 5, 0.02)}
     assert {frozenset(x) for x in mine.values()} == want
+
+
+def test_large_islands_link_as_small_ones(spark, monkeypatch):
+    rnd, rows = random.Random(5), []
+    for c in range(6):
+        sites = sorted(rnd.sample(range(100, 1500, 10), 14))
+        rows += [(f"c{c}", "+", *sorted(rnd.sample(sites, 2)), 5) for _ in range(16)]
+    found = clustering.overlap_islands(spark.createDataFrame(sorted(set(rows)), "chrom string, strand string, a long, b long, n long"))
+    want = sorted(map(tuple, clustering.linked_components(found).collect()))
+    monkeypatch.setattr(clustering, "FOLDED", 3)
+    assert sorted(map(tuple, clustering.linked_components(found).collect())) == want and len(want) > 20
+
+
+def test_nulls_empty_tables_and_further_columns(spark):
+    rows = [("chr1", "+", "S0", 100, 200, 40, "x"), ("chr1", "+", "S0", 100, 300, 40, "x"), ("chr1", "+", "S1", 100, 300, 40, "x"), (None, "+", "S0", 100, 200, 9, "x"), ("chr1", None, "S0", 100, 200, 9, "x"), ("chr1", "+", "S0", None, 200, 9, "x"), ("chr1", "+", "S0", 100, 200, None, "x"), ("chr1", "?", "S0", 100, 200, 9, "x")]
+    j = spark.createDataFrame(rows, J + ", clu string")
+    pooled = {(r.a, r.b): r.n for r in clustering.pool_introns(j).collect()}
+    assert pooled == {(100, 200): 40, (100, 300): 80}
+    clusters = clustering.cluster_introns(j, min_reads=5)
+    assert {(r.clu, r.a, r.b, r.n) for r in clusters.collect()} == {(1, 100, 200, 40), (1, 100, 300, 80)}
+    table = counts.perind_counts(clusters, j.drop("clu"))
+    assert {(r["sample"], r.b): (r.n, r.tot) for r in table.collect()} == {("S0", 200): (40, 80), ("S0", 300): (40, 80), ("S1", 200): (0, 40), ("S1", 300): (40, 40)}
+    empty = clustering.cluster_introns(j.limit(0))
+    assert empty.count() == 0 and counts.perind_counts(empty, j.limit(0).drop("clu")).count() == 0

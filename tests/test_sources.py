@@ -51,6 +51,54 @@ def test_count_files(spark, tmp_path):
     assert {r["sample"]: (r.n, r.tot) for r in readers.read_counts(spark, str(tmp_path / "c")).collect()} == {"S0": (4, 10), "S1": (6, 10)}
 
 
+def test_dotted_sample_names(spark, tmp_path):
+    names = ["RNA.NA06986_CEU.chr1.bam", "RNA.NA06994_CEU.chr1.bam"]
+    rows = [(1, "chr1", "+", 100, b, s, 4 + i + b % 3, 20) for b in (200, 300, 400) for i, s in enumerate(names)]
+    table = spark.createDataFrame(rows, "clu long, chrom string, strand string, a long, b long, sample string, n long, tot long")
+    writers.write_counts(table, names, str(tmp_path / "c"))
+    assert {(r.b, r["sample"]): r.n for r in readers.read_counts(spark, str(tmp_path / "c")).collect()} == {(r[4], r[5]): r[6] for r in rows}
+    out = pipelines.phenotype_tables(table, names, pcs=5)
+    assert out["pcs"].count() == 4
+    writers.write_phenotypes(out["phen"], "value", names, str(tmp_path / "p"))
+    assert spark.read.csv(str(tmp_path / "p"), sep="\t", header=True).columns == ["#Chr", "start", "end", "ID", *names, "chrom"]
+
+
+def test_sample_files_are_in_the_order_of_text(spark, tmp_path):
+    rows = [(1, "chr1", "+", a, a + 50, "S0", a, 500) for a in (90, 100, 1000)]
+    writers.write_sample_files(spark.createDataFrame(rows, "clu long, chrom string, strand string, a long, b long, sample string, n long, tot long"), str(tmp_path / "s"))
+    (path,) = [r.value for r in spark.read.text(str(tmp_path / "s" / "list")).collect()]
+    assert [r.value for r in spark.read.text(path).collect()] == ["chrom S0", "chr1:100:150:clu_1_+ 100/500", "chr1:1000:1050:clu_1_+ 1000/500", "chr1:90:140:clu_1_+ 90/500"]
+
+
+def test_samples_by_folder(spark, tmp_path):
+    for name in ("file=S.1.junc", "T.junc"):
+        (tmp_path / name).mkdir()
+        write(tmp_path / name / "part-0", "chr1\t110\t380\t.\t7\t+")
+    assert {r["sample"] for r in readers.read_junctions(spark, [str(tmp_path / "file=S.1.junc"), str(tmp_path / "T.junc")]).collect()} == {"S.1", "T"}
+
+
+def test_mates_are_split(spark):
+    from intronaut.sources import alignments
+
+    reads = spark.createDataFrame([("a", 1 + 64), ("b", 1 + 128)], "qname string, flag int")
+    first, second = alignments.split_mates(reads)
+    assert [r.qname for r in first.collect()] == ["a"] and [r.qname for r in second.collect()] == ["b"]
+    with pytest.raises(Exception, match="single"):
+        alignments.split_mates(spark.createDataFrame([("a", 0)], "qname string, flag int"))[0].collect()
+
+
+def test_scratch_tables_can_be_dropped(spark, tmp_path):
+    from pathlib import Path
+
+    from intronaut import scratch
+
+    with scratch.temporary_tables(spark):
+        kept = scratch.materialize(spark.range(3), "some")
+        (folder,) = {str(Path(f.removeprefix("file://")).parent) for f in kept.inputFiles()}
+        assert Path(folder).exists() and spark.sparkContext.applicationId in folder
+    assert not Path(folder).exists()
+
+
 def test_alignments_to_junctions(spark):
     lines = [("r1\t0\tchr1\t101\t60\t10M100N20M\t*\t0\t0\tA\tI",), ("r2\t0\tchr1\t101\t60\t10M100N20M\t*\t0\t0\tA\tI",), ("r3\t4\tchr1\t101\t60\t10M100N20M\t*\t0\t0\tA\tI",)]
     got = pipelines.alignments_to_junctions(spark.createDataFrame(lines, "value string")).collect()
