@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from intronaut.functions.ordering import placed
 from intronaut.scratch import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -34,18 +35,19 @@ def targets(sources: DataFrame) -> DataFrame:
     """(source, source_size) -> (source, source_size, target): shares by weight with caps, in closed form.
 
     A capped source has a low cap per weight. In ascending order of cap / weight, a source
-    is capped iff its cap is below its share of what the capped ones before it left.
-    Rows are sources, not documents, so one sorted window over them is small.
+    is capped iff its cap is below its share of what the capped ones before it left. Sources may be as many as hosts,
+    so places and running sums go by range partitions, and the level of the first free source is a scalar.
     """
-    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
-    weighted = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (place % len(WEIGHTS) + 1).cast("int")))
-    ranked = weighted.withColumn("cap", F.col("source_size") * float(MOST))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.asc_nulls_last("source"))
-    before, after, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    level = ranked.withColumn("level", left / F.sum("weight").over(after)).withColumn("free", F.col("cap") > F.col("level") * F.col("weight"))
-    level = level.withColumn("final", F.min(F.when(F.col("free"), F.struct((F.col("cap") / F.col("weight")).alias("k"), F.col("source").alias("s"), F.col("level").alias("level")))).over(every)["level"])
-    return level.select("source", "source_size", F.when(F.col("free") & F.col("final").isNotNull(), F.col("weight") * F.col("final")).otherwise(F.col("cap")).alias("target"))
+    turn = placed(sources, F.asc_nulls_last("source"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), ((F.col("_number") - 1) % len(WEIGHTS) + 1).cast("int"))
+    weighted = turn.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(MOST)).alias("cap"))
+    ordered = placed(weighted.withColumn("k", F.col("cap") / F.col("weight")), F.asc("k"), F.asc_nulls_last("source"), sums=("cap", "weight"))
+    whole = lambda c: ordered.agg(F.sum(c)).scalar()
+    level = (whole("source_size") - F.col("_before_cap")) / (whole("weight") - F.col("_before_weight"))
+    levels = materialize(ordered.withColumn("level", level).withColumn("free", F.col("cap") > F.col("level") * F.col("weight")), "levels")
+    final = levels.where("free").agg(F.min(F.struct("_number", "level"))["level"]).scalar()
+    target = F.when(F.col("free"), F.col("weight") * final).otherwise(F.col("cap"))
+    return levels.select("source", "source_size", target.alias("target"))
 
 
 def offset_of(source: Column) -> Column:
@@ -75,15 +77,16 @@ def _with_copies(sized: DataFrame, *ties: str, wide: bool = False) -> DataFrame:
     """
     order = [F.asc_nulls_last("source"), F.asc("size"), F.asc_nulls_last("doc_id"), *(F.asc(c) for c in ties)]
     ordered = sized.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = materialize(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
+    rows = materialize(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("at", 33)
-    pieces = placed.groupBy("source", part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("first"), F.sum("size").alias("words"))
+    pieces = rows.groupBy("source", part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("first"), F.sum("size").alias("words"))
+    # a source has as many rows here as range partitions that it reaches
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pieces = pieces.select("source", "part", "first", before.alias("before"))
-    goal = targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")))
+    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     pieces = pieces.alias("p").join(goal.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.*", "source_size", "target", offset_of(F.col("p.source")).alias("offset"))
     pieces = F.broadcast(pieces) if wide else pieces
-    ranked = placed.withColumn("part", part).alias("d").join(pieces.alias("p"), (F.col("d.part") == F.col("p.part")) & F.col("d.source").eqNullSafe(F.col("p.source")))
+    ranked = rows.withColumn("part", part).alias("d").join(pieces.alias("p"), (F.col("d.part") == F.col("p.part")) & F.col("d.source").eqNullSafe(F.col("p.source")))
     rank = F.col("before") + F.col("at") - F.col("first")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor(F.col("offset") + rate * (rank + 1)) - F.floor(F.col("offset") + rate * rank)
