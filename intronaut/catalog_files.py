@@ -150,6 +150,7 @@ def _gtf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def gtf_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exons of a GTF file, with the gene's id where it has no name."""
     return genes.gtf_exons(_gtf(spark, sf_dir))
 
 
@@ -188,11 +189,13 @@ def _annotation(spark: SparkSession, sf_dir: str) -> str:
 
 @_query
 def annotation_introns_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotated introns read back; chromosomes get their prefix."""
     return readers.read_splice_sites(spark, f"{_annotation(spark, sf_dir)}_all_introns")
 
 
 @_query
 def annotation_sites_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splice sites of both kinds read back."""
     path = _annotation(spark, sf_dir)
     five, three = (readers.read_splice_sites(spark, f"{path}_{n}").select(F.lit(n).alias("side"), "chr", "a", "b", "gene", "transcript", "intron_number") for n in ("fiveprime", "threeprime"))
     return five.union(three)

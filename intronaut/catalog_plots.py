@@ -43,6 +43,7 @@ def _cluster_plot(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 @_query
 def cluster_plot_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arcs of each cluster with the mean share in each group."""
     return _rounded(_cluster_plot(spark, sf_dir)["edges"], 9, "height", "mean_psi").select("clu", "a", "b", "grp", "i", "height", "mean_psi")
 
 
@@ -107,11 +108,13 @@ def gene_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of each group."""
     return differential.group_sizes(derived.groups(spark))
 
 
 @_query
 def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Introns of each cluster."""
     return differential.cluster_sizes(_clusters(spark, sf_dir))
 
 

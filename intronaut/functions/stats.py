@@ -72,8 +72,8 @@ def adjusted_fdr(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
 
 
 def bonferroni_min(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
-    """Smallest p-value of a group times the number of its p-values, 1 at most."""
-    return df.groupBy(*by).agg(F.least(F.lit(1.0), F.min(p) * F.count(p)).alias(out))
+    """Smallest p-value of a group times the number of its p-values, 1 at most; null for a group without p-values."""
+    return df.groupBy(*by).agg(F.when(F.count(p) > 0, F.least(F.lit(1.0), F.min(p) * F.count(p))).alias(out))
 
 
 def fisher_combined(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
