@@ -72,13 +72,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text is contaminated by ``benchmark`` go, whatever their doc_id; null and empty texts stay.
 
-    Rows are known by 128 bits of a hash of their text: equal texts are judged alike.
+    Rows are known by 128 bits of a hash of doc_id and text: repeated rows are judged alike.
     """
-    text = F.col("text").cast("string")
-    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    text, content = F.col("text").cast("string"), (F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    key = F.struct(F.xxhash64(*content).alias("a"), F.xxhash64(F.lit(1), *content).alias("b"))
     rows = docs.select(key.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     found = contaminated_rows(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ITEM_WORDS, ITEM_SHARE)
-    bad = found.where("contaminated").select(F.col("row").alias(unused("bad", docs))).distinct()
+    # written, so that the join is between two exchanges and Spark may split the copies of a row
+    bad = materialize(found.where("contaminated").select(F.col("row").alias(unused("bad", docs))).distinct(), "contaminated")
     return docs.join(bad, key == F.col(unused("bad", docs)), "left_anti").select(*docs.columns)
 
 
