@@ -19,7 +19,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["refined_clusters", "perind_counts", "library_qc", "phen_qqnorm", "bh_fdr", "clusters_to_genes", "junction_verdict", "bed_junctions", "bed12_file", "count_file", "gtf_transcripts", "annotation_introns_file", "outlier_files", "phenotype_files", "sam_tags", "gene_plot_labels", "cluster_plot_exons", "outlier_tails", "dm_loglik", "pca_products", "cassette_shapes", "fisher_combined"])
+@pytest.mark.parametrize("name", ["refined_clusters", "perind_counts", "library_qc", "phen_qqnorm", "bh_fdr", "clusters_to_genes", "junction_verdict", "bed_junctions", "bed12_file", "count_file", "gtf_transcripts", "annotation_introns_file", "sam_tags", "gene_plot_labels", "dm_loglik", "pca_products", "cassette_shapes", "fisher_combined"])
 def test_query_equals_sql(spark, duck, name):
     mine = entry.queries()[name](spark, SF).toPandas()
     other = duck.sql(entry.oracle_sql()[name]).df()
