@@ -145,3 +145,93 @@ links(u, v) as (select distinct u, v from shared join sizes p on p.r = x join si
 select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, coalesce(component, doc_id) as component_id, coalesce(component, doc_id) = doc_id as kept
 from d left join sizes using (r) left join least on node = doc_id
 """
+
+OP11 = rf"""
+with crc as (
+  select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), n)) as bits),
+words as (
+  select r, doc_id, unnest(w) as word
+  from (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents)),
+aims as (
+  select unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) as word from benchmark),
+hashed as (
+  select word, xor(list_reduce(list_transform(range(1, cast(length(h) as bigint), 2), lambda i: cast('0x' || h[i:i + 1] as bigint)), lambda c, b: xor(c >> 8, bits[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 10000 as bucket
+  from (select word, hex(encode(word)) as h from (select word from words union select word from aims)), crc),
+s as (select bucket, count(*) as s from words join hashed using (word) group by bucket),
+t as (select bucket, count(*) as t from aims join hashed using (word) group by bucket),
+gain as (
+  select bucket, cast(floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from words) + 10000)::double / ((coalesce(s, 0) + 1)::double * ((select count(*) from aims) + 10000)::double))) as bigint) as gain
+  from (select distinct bucket from hashed) left join s using (bucket) left join t using (bucket)),
+sums as (select r, count(*) as n_features, sum(gain) as weight from words join hashed using (word) join gain using (bucket) group by r),
+scored as (
+  select d.r, d.doc_id, coalesce(n_features, 0) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+         cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || cast(d.doc_id as varchar)), 1, 8) as bigint) + 0.5::double) / 4294967296.0::double))) as bigint) as score
+  from (select row_number() over () as r, doc_id from documents) d left join sums using (r)),
+ranked as (
+  select r, row_number() over (order by score desc, doc_id, n_features desc, weight) as k, count(*) over () as n
+  from scored where n_features >= 20 and score is not null)
+select doc_id, cast(n_features as bigint) as n_features, weight, score, case when k <= 10 * n // 100 then cast(k as bigint) end as rank
+from scored left join ranked using (r)
+"""
+
+
+def _op12() -> str:
+    from intronaut.llm.secret_scan import ALLOW, BEFORE, CLASSES, PATTERNS
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = [*((p.kind, p.pattern, p.group, p.least) for p in PATTERNS), *((c.kind, c.pattern, 0, c.window) for c in CLASSES)]
+    spots = " union all ".join(
+        f"select r, {k} as kind, unnest(regexp_extract_all(text, {quoted(p)})) as m, unnest(list_slice(string_split_regex(text, {quoted(p)}), 1, -2)) as g, generate_subscripts(regexp_extract_all(text, {quoted(p)}), 1) as i from d where regexp_matches(text, {quoted(p)})"
+        for k, (_, p, _, _) in enumerate(kinds)
+    )
+    base = " or ".join(f"(kind = {k} and length(regexp_extract(m, {quoted(p)}, {g})) >= {n})" for k, (_, p, g, n) in enumerate(kinds[: len(PATTERNS)]))
+    allowed = " or ".join(f"regexp_matches(right(g, {BEFORE}) || m, {quoted(p)})" for p in ALLOW)
+    windows = " union all ".join(
+        f"select r, kind, start, i, list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: {c.terms}[1 + length(w) - length(replace(w, c, ''))])) <= {c.limit} as hot, {c.window} as width"
+        f" from (select r, kind, start, i, substr(m, i + 1, {c.window}) as w from (select r, kind, start, m, unnest(range(0, length(m) - {c.window} + 1)) as i from candidates where kind = {len(PATTERNS) + k}))"
+        for k, c in enumerate(CLASSES)
+    )
+    name = "[" + ", ".join(quoted(k) for k, *_ in kinds) + "]"
+    return rf"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+spots as ({spots}),
+placed as (select *, cast(sum(length(g) + length(m)) over (partition by r, kind order by i) as bigint) - length(m) as start from spots),
+candidates as (select * from placed where kind >= {len(PATTERNS)} and not ({allowed})),
+hot as (select r, kind, start, start + i as low, start + i + width as high from ({windows}) where hot),
+islands as (select *, sum(fresh) over (partition by r, kind, start order by low) as island from (
+  select *, case when low > lag(high) over (partition by r, kind, start order by low) then 1 else 0 end as fresh from hot)),
+spans as (
+  select r, kind, start as low, start + length(m) as high from placed where {base}
+  union all select r, kind, min(low), max(high) from islands group by r, kind, start, island),
+named as (select *, {name}[1 + kind] || ':' || low || ':' || high as label from spans),
+per as (
+  select r, count_if(kind = 0) as n_assign, count_if(kind = 1) as n_access, count_if(kind = 2) as n_hex,
+         string_agg(label, ',' order by low, kind, high) as spans, string_agg(label, ',' order by low, kind, high) filter (kind < {len(PATTERNS)}) as base
+  from named group by r)
+select doc_id, cast(coalesce(n_assign, 0) as bigint) as n_assign, cast(coalesce(n_access, 0) as bigint) as n_access, cast(coalesce(n_hex, 0) as bigint) as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join per using (r)
+"""
+
+
+OP12 = _op12()
+
+OP13 = """
+with typed as (
+  select row_number() over () as r, vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label, cast(embedding as double[]) as x from embeddings),
+good as (
+  select r, vec_id, label, list_transform(x, lambda v: cast(floor(256 * v) as bigint)) as q from typed
+  where vec_id is not null and label is not null and x is not null and len(list_filter(x, lambda v: v is null or isnan(v) or isinf(v))) = 0),
+scores as (
+  select a.r as anchor, a.vec_id as anchor_id, b.r as other, b.vec_id as other_id, a.label = b.label as same,
+         coalesce(cast(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) as bigint), 0) as score
+  from good a join good b on a.vec_id % 50 = 0 and a.r <> b.r and len(a.q) = len(b.q)),
+positives as (
+  select anchor, anchor_id, other as positive, other_id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor order by score desc, other_id, other) <= 5),
+found as (
+  select anchor_id, positive_id, other_id as negative_id, positive_score, score as negative_score,
+         row_number() over (partition by anchor, positive order by score desc, other_id, other) as rank
+  from positives join scores using (anchor, anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from found where rank <= 3
+"""
