@@ -231,7 +231,7 @@ def outlier_cluster_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def ds_testability_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a cluster isn't tested."""
-    return differential.testability(_counts(spark, sf_dir), derived.groups(spark), max_size=10)
+    return differential.testability(_counts(spark, sf_dir), derived.groups(spark, sf_dir), max_size=10)
 
 
 @_query
@@ -285,7 +285,7 @@ def exons_near_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def group_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean share and reads of each intron and group."""
-    return _rounded(plotdata.group_usage(counts.psi(_counts(spark, sf_dir)), derived.groups(spark)), 9, "mean_psi")
+    return _rounded(plotdata.group_usage(counts.psi(_counts(spark, sf_dir)), derived.groups(spark, sf_dir)), 9, "mean_psi")
 
 
 @_query
@@ -322,21 +322,28 @@ def _some_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def ds_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirichlet-multinomial tests of every testable cluster, adjusted."""
-    results = differential.differential_usage(_some_clusters(spark, sf_dir), derived.groups(spark).toPandas(), min_samples_per_group=3)
+    results = differential.differential_usage(_some_clusters(spark, sf_dir), derived.groups(spark, sf_dir), min_samples_per_group=3)
     return differential.cluster_table(results)
 
 
 @_query
 def ds_effect_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Effect sizes of the introns of tested clusters."""
-    results = differential.differential_usage(_some_clusters(spark, sf_dir), derived.groups(spark).toPandas()[["sample", "grp"]], min_samples_per_group=3)
+    results = differential.differential_usage(_some_clusters(spark, sf_dir), derived.groups(spark, sf_dir).select("sample", "grp"), min_samples_per_group=3)
     return differential.effect_sizes(results)
 
 
 @_query
 def outlier_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-sided p-values and effects of every intron and sample."""
-    return outlier.outliers(_some_clusters(spark, sf_dir))
+    """Two-sided p-values and effects of every intron and sample under the fitted shares of its cluster."""
+    return _rounded(_rounded(outlier.outliers(_some_clusters(spark, sf_dir)), 4, "p", "effect", "mean_share"), 9, "share")
+
+
+@_query
+def outlier_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log likelihood at the fitted parameters of each cluster, and whether the fit converged."""
+    found = outlier.share_parameters(outlier.cluster_counts(_some_clusters(spark, sf_dir)))
+    return _rounded(found, 4, "loglik").select("clu", "loglik", "status")
 
 
 @_query

@@ -127,7 +127,7 @@ def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def groups_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples, groups and covariates from a file without header."""
     value = F.concat_ws(" ", "sample", "grp", F.col("age").cast("string"), "batch")
-    return readers.read_groups(spark, _text(derived.groups(spark).select(value.alias("value")), "groups"))
+    return readers.read_groups(spark, _text(derived.groups(spark, sf_dir).select(value.alias("value")), "groups"))
 
 
 @_query

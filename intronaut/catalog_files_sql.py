@@ -35,7 +35,7 @@ SQL: dict[str, str] = {
     "count_file": _with(ALL, f"select concat('clu_', clu, '_', strand) as clu, chrom, a, b, {DOT} as sample, n, tot from counts"),
     "numers_file": _with(ALL, f"select {ID} as id, max(n) filter (sample = 'S0') as S0, max(n) filter (sample = 'S7') as S7 from counts group by all"),
     "sample_files": _with(ALL, f"select sample, concat({ID}, ' ', n, '/', tot) as value from counts union all select distinct sample, concat('chrom ', sample) from j"),
-    "groups_file": "select concat('S', i) as sample, case when i < 4 then 'A' else 'B' end as grp, concat(i % 3, '.0') as x1, concat('b', i % 2) as x2 from range(8) t(i)",
+    "groups_file": f"with {GROUPS} select sample, grp, cast(age as varchar) as x1, batch as x2 from groups",
     "exons_file": _with(E, "select * from exons", False),
     "gtf_exons": _with(GTF, "select distinct chr, start_pos, end_pos, strand, coalesce(name, gene_id) as gene_name from gtf where feature = 'exon'", False),
     "gtf_features": _with(GTF, "select distinct chr, start_pos, end_pos, strand, coalesce(name, gene_id) as gene_name from gtf where feature = 'CDS'", False),

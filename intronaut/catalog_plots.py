@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intronaut.catalog import Query, _clusters, _counts, _known, _pvalues, _rounded, _some_clusters
 from intronaut.catalog_files import _ratio_table, _tested
-from intronaut.functions import models, stats, text
+from intronaut.functions import special, stats, text
 from intronaut.operators import annotate, clustering, counts, differential, genes, outlier, phenotype, plotdata, plots
 from intronaut.plans import pipelines
 from intronaut.sources import derived, writers
@@ -25,20 +25,20 @@ def _query(f: Query) -> Query:
 @_query
 def differential_plot_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arcs of the introns of every cluster and group."""
-    found = plots.differential_plot(_counts(spark, sf_dir), derived.groups(spark))["edges"]
+    found = plots.differential_plot(_counts(spark, sf_dir), derived.groups(spark, sf_dir))["edges"]
     return _rounded(found, 6, "x0", "x1", "height", "mean_n").select("clu", "a", "b", "grp", "i", "x0", "x1", "height", "mean_n")
 
 
 @_query
 def differential_plot_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of their curves, five each."""
-    found = plots.differential_plot(_counts(spark, sf_dir), derived.groups(spark), points=5)["curves"]
+    found = plots.differential_plot(_counts(spark, sf_dir), derived.groups(spark, sf_dir), points=5)["curves"]
     return found.select("clu", "a", "b", "grp", "t", *((F.round(c, 6) + 0.0).alias(c) for c in ("x", "y", "weight")))
 
 
 def _cluster_plot(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     near = plotdata.exons_near(derived.exons(spark, sf_dir), _clusters(spark, sf_dir).drop("strand"))
-    return plots.cluster_plot(counts.psi(_counts(spark, sf_dir)), derived.groups(spark), near)
+    return plots.cluster_plot(counts.psi(_counts(spark, sf_dir)), derived.groups(spark, sf_dir), near)
 
 
 @_query
@@ -109,7 +109,7 @@ def gene_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of each group."""
-    return differential.group_sizes(derived.groups(spark))
+    return differential.group_sizes(derived.groups(spark, sf_dir))
 
 
 @_query
@@ -121,7 +121,7 @@ def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters by the reason not to test them."""
-    found = differential.testability(_counts(spark, sf_dir), derived.groups(spark), max_size=4, min_samples_per_intron=7, min_coverage=40)
+    found = differential.testability(_counts(spark, sf_dir), derived.groups(spark, sf_dir), max_size=4, min_samples_per_intron=7, min_coverage=40)
     return differential.status_summary(found)
 
 
@@ -142,28 +142,32 @@ def first_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def outlier_testable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters that the outlier analysis takes."""
-    return outlier.testable(_some_clusters(spark, sf_dir), max_size=4, min_coverage=50).select("clu").distinct()
+    return outlier.testable(_some_clusters(spark, sf_dir), max_size=6, min_coverage=50).select("clu").distinct()
+
+
+def _tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters = outlier.cluster_counts(_some_clusters(spark, sf_dir))
+    sums = "transform(sequence(0, k - 1), j -> aggregate(rows, 0D, (s, r) -> s + get(r.y, j)))"
+    return outlier.outlier_cells(clusters, clusters.selectExpr("clu", f"{sums} as sums").selectExpr("clu", "transform(sums, c -> 20 * c / aggregate(sums, 0D, (s, d) -> s + d)) as alpha"))
 
 
 @_query
 def outlier_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-values and effects at parameters of 20 times the mean shares."""
-    found = outlier.outliers(_some_clusters(spark, sf_dir), max_size=4, estimate=lambda y: 20 * y.sum(axis=0) / y.sum())
-    return _rounded(found, 6, "p", "effect").select("clu", "a", "b", "sample", "p", "effect")
+    found = _tails(spark, sf_dir)
+    return _rounded(_rounded(found, 6, "p"), 9, "effect").select("clu", "a", "b", "sample", "p", "effect")
 
 
 @_query
 def outlier_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-values of clusters and samples from those of their introns."""
-    found = outlier.outliers(_some_clusters(spark, sf_dir), max_size=4, estimate=lambda y: 20 * y.sum(axis=0) / y.sum())
-    return _rounded(outlier.cluster_outliers(found), 5, "p")
+    return _rounded(outlier.cluster_outliers(_tails(spark, sf_dir)), 5, "p")
 
 
 @_query
 def design_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model matrix of the samples: group, standardised number, one column for the second batch."""
-    table = differential.design(derived.groups(spark).toPandas()).reset_index(names="sample")
-    return _rounded(spark.createDataFrame(table), 9, "age")
+    return _rounded(differential.design(derived.groups(spark, sf_dir)), 9, "age")
 
 
 @_query
@@ -175,40 +179,29 @@ def dm_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def bb_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beta-binomial log likelihood of each intron's counts out of its cluster's at share 0.4 and concentration 7."""
-
-    def value(pdf: pd.DataFrame) -> pd.DataFrame:
-        theta = np.array([np.log(0.4 / 0.6)])
-        ll = -models.bb_negative(theta, np.ones((len(pdf), 1)), pdf.n.to_numpy(float), pdf.tot.to_numpy(float), 1.0, 0.0, float(np.log(7.0)))[0]
-        return pd.DataFrame({"clu": [pdf.clu.iloc[0]], "a": [pdf.a.iloc[0]], "b": [pdf.b.iloc[0]], "loglik": [ll]})
-
-    return _rounded(_some_clusters(spark, sf_dir).groupBy("clu", "a", "b").applyInPandas(value, "clu long, a long, b long, loglik double"), 5, "loglik")
+    gain = lambda n, a: f"{special.lgamma(f'({a} + {n})')} - {math.lgamma(a)!r}D"
+    value = f"sum({gain('n', 7 * 0.4)} + {gain('(tot - n)', 7 * 0.6)} - ({gain('tot', 7.0)}))"
+    return _rounded(_some_clusters(spark, sf_dir).groupBy("clu", "a", "b").agg(F.expr(value).alias("loglik")), 5, "loglik")
 
 
 @_query
-def bb_equals_dm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Testable clusters of two introns: the beta-binomial test and the Dirichlet-multinomial test of one concentration agree."""
-    table, found = differential.design(derived.groups(spark).toPandas()[["sample", "grp"]]), _some_clusters(spark, sf_dir)
-    status = differential.testability(found, derived.groups(spark), max_size=2, min_samples_per_group=3)
-    two = found.join(status.where("status is null").select("clu"), "clu", "left_semi")
-
-    def both(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="sample", columns=["a", "b"], values="n", fill_value=0, aggfunc="sum").reindex(table.index, fill_value=0)
-        y = wide.to_numpy(float)
-        full = np.c_[np.ones(len(y)), table.group.to_numpy()]
-        dm = models.dm_anova(full, full[:, :1], y, multi=False)
-        bb = models.bb_test(y[:, 0], y.sum(axis=1), full, full[:, :1])
-        return pd.DataFrame({"clu": [pdf.clu.iloc[0]], "agree": [bool(abs(dm[0] - bb.loglr) < 0.05)]})
-
-    return two.select("clu", "a", "b", "sample", "n").groupBy("clu").applyInPandas(both, "clu long, agree boolean")
+def bb_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beta-binomial tests of the first intron of every testable cluster against its others: one concentration, two categories."""
+    found = _some_clusters(spark, sf_dir)
+    first = found.groupBy("clu").agg(F.min("a").alias("first"))
+    two = found.join(first, "clu").select("clu", F.when(F.col("a") == F.col("first"), 1).otherwise(2).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "sample", "n", "tot").groupBy("clu", "a", "b", "sample").agg(F.sum("n").alias("n"), F.first("tot").alias("tot"))
+    fits = differential.differential_usage(two, derived.groups(spark, sf_dir).select("sample", "grp"), max_size=2, min_samples_per_group=3, multi=False)
+    return fits.where("introns is not null").select("clu", "df", F.size("introns").cast("long").alias("introns"), (F.col("loglr") > -1e-6).alias("better"))
 
 
 @_query
 def ds_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every fitted cluster must satisfy: degrees of freedom, the p-value of its statistic, shares that sum to one, effects to zero."""
-    groups = derived.groups(spark).toPandas()[["sample", "grp"]]
+    groups = derived.groups(spark, sf_dir).select("sample", "grp")
     found = differential.differential_usage(_some_clusters(spark, sf_dir), groups, min_samples_per_group=3).where("status = 'Success'")
     total = lambda c: F.aggregate("introns", F.lit(0.0), lambda s, x: s + x[c])
-    p = stats.chi_square_p(2 * F.greatest(F.col("loglr"), F.lit(0.0)), F.col("df"))
+    found = found.withColumn("statistic", 2 * F.greatest(F.col("loglr"), F.lit(0.0)))
+    p = stats.chi_square_p("statistic", "df")
     sums = (F.abs(total("baseline") - 1) < 1e-9) & (F.abs(total("perturbed") - 1) < 1e-9) & (F.abs(total("logef")) < 1e-6) & (F.abs(total("deltapsi")) < 1e-9)
     return found.select("clu", "df", F.size("introns").cast("long").alias("introns"), (F.abs(F.col("p") - p) < 1e-9).alias("p_fits"), sums.alias("sums"), (F.col("loglr") > -1e-3).alias("better"))
 
@@ -216,16 +209,16 @@ def ds_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def ds_single_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests with one concentration for all introns: status and degrees of freedom."""
-    groups = derived.groups(spark).toPandas()[["sample", "grp"]]
-    found = differential.differential_usage(_some_clusters(spark, sf_dir), groups, max_size=3, min_samples_per_group=3, multi=False)
+    groups = derived.groups(spark, sf_dir).select("sample", "grp")
+    found = differential.differential_usage(_some_clusters(spark, sf_dir), groups, min_samples_per_group=3, multi=False)
     return found.where("status = 'Success'").select("clu", "df")
 
 
 @_query
 def chi_square_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Survival at every quantity and twice the line number degrees of freedom."""
-    rows = derived.table(spark, sf_dir, "lineitem").selectExpr("l_quantity as x", "2 * l_linenumber as df").distinct()
-    return rows.select("x", "df", F.round(stats.chi_square_p(F.col("x"), F.col("df")), 9).alias("p"))
+    """Survival at every quantity, at twice the line number degrees of freedom and at one less."""
+    rows = derived.table(spark, sf_dir, "lineitem").selectExpr("l_quantity as x", "explode(array(2 * l_linenumber, 2 * l_linenumber - 1)) as df").distinct()
+    return rows.select("x", "df", F.round(stats.chi_square_p("x", "df"), 9).alias("p"))
 
 
 @_query
@@ -240,7 +233,7 @@ def pca_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pca_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores with the samples' groups: squares summed by group."""
     scores = plotdata.pca_samples(counts.psi(_counts(spark, sf_dir)), derived.SAMPLES)[0]
-    return plotdata.scores_with_meta(scores, derived.groups(spark)).groupBy("grp").agg(F.round(F.sum(F.col("score") * F.col("score")), 4).alias("g"))
+    return plotdata.scores_with_meta(scores, derived.groups(spark, sf_dir)).groupBy("grp").agg(F.round(F.sum(F.col("score") * F.col("score")), 4).alias("g"))
 
 
 @_query

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from intronaut.catalog_files_sql import FILLED, TESTED
 from intronaut.catalog_sql import ALL, ANNOTATED, CLUSTERS, GROUPS, MATCHED, PVALUES, TRANSCRIPTS, E, J, _with
+from intronaut.functions.special import digamma, trigamma
 from intronaut.sources.derived import CASSETTES, JUNCTIONS, SCATTERED
 
 
@@ -63,7 +66,7 @@ labels as (select *, ("start" + "end") / 2 as middle, row_number() over (partiti
 SMOOTH = """
 wide as (select clu, a, b, sample, n + 1 as y from counts),
 shares as (select clu, a, b, sum(y) / sum(sum(y)) over (partition by clu) as share from wide group by clu, a, b),
-taken as (select clu from (select clu, count(distinct (a, b)) as size from counts group by clu) join (select clu, count(*) filter (t >= 20) as covered from (select clu, sample, sum(n) as t from counts group by all) group by clu) using (clu) where size between 2 and 4 and covered >= 2),
+taken as (select clu from (select clu, count(distinct (a, b)) as size from counts group by clu) join (select clu, count(*) filter (t >= 20) as covered from (select clu, sample, sum(n) as t from counts group by all) group by clu) using (clu) where size between 2 and 10 and covered >= 2),
 cells as (select w.clu, w.a, w.b, sample, y, share, sum(y) over (partition by w.clu, sample) as total, 20 * share as al, 20 - 20 * share as be from wide w join shares using (clu, a, b) join taken on taken.clu = w.clu),
 kinds as (select distinct y, total, al, be from cells),
 pmf as (select y, total, al, be, k, exp(lgamma(total + 1) - lgamma(k + 1) - lgamma(total - k + 1) + lgamma(k + al) + lgamma(total - k + be) - lgamma(total + al + be) + lgamma(al + be) - lgamma(al) - lgamma(be)) as q from (select *, unnest(range(cast(y as bigint) + 1)) as k from kinds)),
@@ -74,12 +77,60 @@ shown as (select clu, a, b, sample, n / nullif(tot, 0) as psi from counts),
 centred as (select *, coalesce(psi, m) - m as x from (select *, avg(psi) over w as m, count(psi) over w as k from shown window w as (partition by clu, a, b)) where k >= 8 * 0.6),
 usage as (select * from (select *, sqrt(sum(x * x) over (partition by clu, a, b) / 7) as sd from centred) where sd > 0),
 z as (select clu, a, b, sample, x / sd as z from usage)"""
-FIT = ", ".join([ALL, GROUPS]) + """,
+TESTABLE = """,
 status as (select clu from (
     select clu, count(*) as size, count(*) filter (used >= 5) as usable from (select clu, a, b, count(*) filter (n > 0) as used from counts group by all) group by clu)
   join (select clu, sum(covered) as covered, count(*) filter (covered >= 3) as g from (select clu, grp, count(*) filter (t >= 20) as covered from (select clu, sample, grp, sum(n) as t from counts join groups using (sample) group by all) group by all) group by clu) using (clu)
   where size between 2 and {size} and covered > 1 and usable >= 2 and g >= 2),
 used as (select clu, count(*) as k from (select clu, a, b from counts join status using (clu) group by clu, a, b having count(*) filter (n > 0) >= 5) group by clu)"""
+FIT = ", ".join([ALL, GROUPS]) + TESTABLE
+TWO = """,
+two as (
+  select clu, a, 0 as b, sample, sum(n) as n
+  from (select clu, sample, n, case when a = min(a) over (partition by clu) then 1 else 2 end as a from counts) group by clu, a, sample)"""
+
+
+def _series(f: str) -> str:
+    return re.sub(r"(?<![\w.])(\d[\d.]*(?:e-?\d+)?)D", r"\1::double", f)
+
+
+def _fitted() -> str:
+    """CTE ``fit``: parameters of each cluster by damped Newton steps, the system solved as a diagonal less one product of vectors."""
+    change = lambda f: f"list_transform(range(1, k + 1), lambda j: list_sum(list_transform(rows, lambda r: {_series(f('(a[j] + r[j])'))} - {_series(f('a[j]'))})))"
+    overall = lambda f: f"list_sum(list_transform(totals, lambda n: {_series(f('s'))} - {_series(f('(s + n)'))}))"
+    each = lambda e: f"list_transform(range(1, k + 1), lambda j: {e})"
+    lg = lambda x: f"lgamma({x})"
+    return SMOOTH.split("cells as")[0] + f"""
+obs as (select clu, any_value(k) as k, list(y order by sample) as rows, list(n order by sample) as totals from (
+  select clu, sample, count(*) as k, list(y::double order by a, b) as y, sum(y)::double as n from wide join taken using (clu) group by clu, sample) group by clu),
+means as (select *, {each("list_sum(list_transform(rows, lambda r: r[j])) / len(rows) + 0.5::double")} as m from obs),
+fit as (
+  select clu, 0 as i, {each("ln(m[j] / list_sum(m) * 10)")} as trial, {each("0.0::double")} as t, '-inf'::double as v, 0.01::double as damping, false as done, cast(null as double[]) as g, cast(null as double[]) as q, cast(null as double) as z from means
+  union all
+  select clu, i, case when good then {each("least(greatest(t[j] + least(greatest(u[j] + w[j] * z * list_dot_product(av, u) / (1 - z * list_dot_product(av, w)), -3.0::double), 3.0::double), -20 - ln(k)), 20 - ln(k))")} else t end,
+         t, v, case when good or done then damping else greatest(damping * 20, 0.001::double) end, done, g, q, z
+  from (
+    select *, not done and len(list_filter(e, lambda x: x <= 0)) = 0 and 1 - z * list_dot_product(av, w) > 0 as good
+    from (select *, {each("g[j] / e[j]")} as u, {each("av[j] / e[j]")} as w
+    from (select *, {each("q[j] + damping * (abs(q[j] - z * av[j] * av[j]) + 1e-6::double) + 1e-9::double")} as e
+    from (select *, {each("exp(t[j])")} as av
+    from (
+      select clu, k, i, better, case when better then trial else t end as t, case when better then nv else v end as v, case when better then ng else g end as g, case when better then nq else q end as q, case when better then nz else z end as z,
+             (better and nv - v < 1e-7::double and damping < 0.001::double) or (not better and damping > 1e9) as done,
+             case when better then greatest(damping / 5, 1e-7::double) else greatest(damping * 4, 0.001::double) end as damping
+      from (select *, coalesce(nv >= v - 1e-9::double and not isnan(nv), false) as better
+      from (select *, {each("- a[j] * a[j] * d2[j] - ng[j]")} as nq
+      from (select *, {each("a[j] * (d + d1[j])")} as ng
+      from (select *, {overall(lg)} + list_sum({change(lg)}) as nv, {overall(digamma)} as d, {overall(trigamma)} as nz, {change(digamma)} as d1, {change(trigamma)} as d2
+      from (select *, list_sum(a) as s from (select fit.* exclude (i), i + 1 as i, k, rows, totals, {each("exp(trial[j])")} as a from fit join obs using (clu) where not done and i < 60)))))))))))),
+ends as (select clu, arg_max(t, i) as t, arg_max(v, i) as v, bool_or(done) as converged from fit group by clu)"""
+
+
+# the shares of the smoothed twin, at fitted parameters
+AT_FIT = """,
+named as (select clu, a, b, row_number() over (partition by clu order by a, b) as j from (select distinct clu, a, b from wide)),
+alphas as (select clu, a, b, exp(t[j]) as al, list_sum(list_transform(t, lambda x: exp(x))) as s from named join ends using (clu)),
+cells as (select w.clu, w.a, w.b, sample, y, sum(y) over (partition by w.clu, sample) as total, al, s - al as be from wide w join alphas using (clu, a, b)),""" + SMOOTH[SMOOTH.index("\nkinds as"):].replace("y / total - share as effect", "y / total - al / (al + be) as effect, y / total as share, al / (al + be) as mean_share")
 SIGNIFICANT = ", ".join([TESTED, E, TRANSCRIPTS]) + MATCHED + ", chosen as (select * from tested where p_adjust <= 0.1)"
 CASES = f"cass as ({CASSETTES.format(lineitem='lineitem')})"
 FAR = f"far as ({SCATTERED.format(junctions=JUNCTIONS.format(lineitem='lineitem'))})"
@@ -115,17 +166,21 @@ valid as (select clu, sum(seen) as seen, sum(covered) as covered, count(*) filte
 shared as (select distinct c.clu, c.chrom, c.a, c.b, c.strand, s.transcript from clu c join known s on s.chr = c.chrom and s.a = c.a join known t on t.chr = c.chrom and t.b = c.b and t.transcript = s.transcript)""",
         "select c.clu, c.chrom, c.a, c.b, round(case when total > 0 then own / total else 0 end, 9) as constitutive from (select c.clu, c.chrom, c.a, c.b, (select count(distinct transcript) from shared where shared.clu = c.clu) as total, (select count(distinct transcript) from shared where shared.clu = c.clu and shared.a = c.a and shared.b = c.b) as own from clu c) c"),
     "first_exons": _with(E, "select gene_name, arg_min(chr, start_pos) as chr, min(start_pos) as start_pos from exons group by gene_name", False),
-    "outlier_testable": _with(ALL, "select clu from (select clu, count(distinct (a, b)) as size from counts group by clu) join (select clu, count(*) filter (t >= 50) as covered from (select clu, sample, sum(n) as t from counts group by all) group by clu) using (clu) where size between 2 and 4 and covered >= 2"),
-    "outlier_tails": _with(ALL + "," + SMOOTH, "select clu, a, b, sample, round(p, 6) as p, round(effect, 6) as effect from tails"),
+    "outlier_testable": _with(ALL, "select clu from (select clu, count(distinct (a, b)) as size from counts group by clu) join (select clu, count(*) filter (t >= 50) as covered from (select clu, sample, sum(n) as t from counts group by all) group by clu) using (clu) where size between 2 and 6 and covered >= 2"),
+    "outlier_fit": _with(ALL + "," + _fitted() + AT_FIT, "select clu, a, b, sample, round(p, 4) as p, round(effect, 4) as effect, round(share, 9) as share, round(mean_share, 4) as mean_share from tails"),
+    "outlier_parameters": _with(ALL + "," + _fitted(), "select clu, round(v, 4) as loglik, case when converged then 'Success' else 'timeout' end as status from ends"),
+    "outlier_tails": _with(ALL + "," + SMOOTH, "select clu, a, b, sample, round(p, 6) as p, round(effect, 9) as effect from tails"),
     "outlier_clusters": _with(ALL + "," + SMOOTH, "select clu, sample, round(1 - pow(1 - min(p), count(*)), 5) as p from tails group by clu, sample"),
-    "design_matrix": "select concat('S', i) as sample, case when i < 4 then 0.0::double else 1.0 end as \"group\", round((i % 3 - avg(i % 3) over ()) / stddev_samp(i % 3) over (), 9) as age, (i % 2)::double as batchb1 from range(8) t(i)",
+    "design_matrix": _with(GROUPS, "select sample, case when grp = 'A' then 0.0::double else 1.0 end as \"group\", round((age - avg(age) over ()) / stddev_samp(age) over (), 9) as age, (batch = 'b1')::int::double as batchb1 from groups", False),
     "dm_loglik": _with(ALL, """select clu, round(sum(ll), 5) as loglik from (
       select clu, sample, lgamma(12) - lgamma(12 + sum(n)) + sum(lgamma(12.0::double / k + n) - lgamma(12.0::double / k)) as ll from (select *, count(*) over (partition by clu, sample) as k from counts) group by clu, sample) group by clu"""),
     "bb_loglik": _with(ALL, "select clu, a, b, round(sum(lgamma(7 * 0.4::double + n) - lgamma(7 * 0.4::double) + lgamma(7 * 0.6::double + tot - n) - lgamma(7 * 0.6::double) + lgamma(7) - lgamma(7 + tot)), 5) as loglik from counts group by clu, a, b"),
-    "bb_equals_dm": _with(FIT.format(size=2), "select clu, true as agree from status"),
+    "bb_fit": _with(", ".join([ALL, GROUPS]) + TWO + TESTABLE.format(size=2).replace("counts", "two"), "select clu, 1 as df, 2 as introns, true as better from status"),
     "ds_identities": _with(FIT.format(size=10), "select clu, k - 1 as df, k as introns, true as p_fits, true as sums, true as better from used"),
-    "ds_single_concentration": _with(FIT.format(size=3), "select clu, k - 1 as df from used"),
-    "chi_square_p": "select x, cast(df as int) as df, round(sum(exp(-x / 2 + i * ln(x / 2) - lgamma(i + 1))), 9) as p from (select x, df, unnest(range(df // 2)) as i from (select distinct l_quantity as x, 2 * l_linenumber as df from lineitem)) group by x, df",
+    "ds_single_concentration": _with(FIT.format(size=10), "select clu, k - 1 as df from used"),
+    # even degrees by a finite sum of Poisson terms, odd ones by the complement of a series of the incomplete gamma function
+    "chi_square_p": """select x, cast(df as int) as df, round(case when df % 2 = 0 then sum(case when i < df // 2 then exp(-x / 2 + i * ln(x / 2) - lgamma(i + 1)) else 0 end) else 1 - sum(exp(-x / 2 + (i + df / 2.0::double) * ln(x / 2) - lgamma(i + df / 2.0::double + 1))) end, 9) as p
+      from (select x, df, unnest(range(200)) as i from (select distinct l_quantity as x, unnest([2 * l_linenumber, 2 * l_linenumber - 1]) as df from lineitem)) group by x, df""",
     "pca_products": _with(SCALED, "select s.sample, t.sample as other, round(sum(s.z * t.z), 4) + 0.0::double as g from z s join z t using (clu, a, b) group by all"),
     "pca_by_group": _with(", ".join([SCALED, GROUPS]), "select grp, round(sum(z * z), 4) as g from z join groups using (sample) group by grp"),
     "phen_covariance": _with(FILLED, "select s.sample, t.sample as other, round(covar_samp(s.value, t.value), 8) + 0.0::double as covariance from ready s join ready t using (clu, chrom, strand, a, b) group by all"),

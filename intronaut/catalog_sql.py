@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from intronaut.sources.derived import EXONS, JUNCTIONS
+from intronaut.sources.derived import GROUPS as DERIVED_GROUPS
 
 
 def _linked(source: str, name: str, extra: str = "") -> str:
@@ -46,7 +47,7 @@ ratio as (select clu, chrom, strand, a, b, sample, case when tot >= 1 then (n +
 filled as (select *, coalesce(ratio, avg(ratio) over w) as value from (select *, count(*) over w as m, count(ratio) over w as k from ratio window w as (partition by clu, chrom, strand, a, b)) where m - k <= 0.4 * m window w as (partition by clu, chrom, strand, a, b)),
 imputed as (select clu, chrom, strand, a, b, sample, ratio, value from (select *, stddev_pop(value) over (partition by clu, chrom, strand, a, b) as sd from filled) where sd >= 0.005),
 scaled as (select *, (value - avg(value) over w) / stddev_pop(value) over w as z from imputed window w as (partition by clu, chrom, strand, a, b))"""
-GROUPS = "groups as (select unnest(['S0','S1','S2','S3','S4','S5','S6','S7']) as sample, unnest(['A','A','A','A','B','B','B','B']) as grp)"
+GROUPS = f"groups as ({DERIVED_GROUPS.format(supplier='supplier')})"
 TRANSCRIPTS = """transcripts as (
   select chr, start_pos, end_pos, strand, gene_name as gene, gene_name as gene_id, concat('T', gene_name) as transcript, 'protein_coding' as biotype from exons),
 known as (

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from intronaut.functions.special import chi_square_survival
 from intronaut.scratch import materialize
 
 # Coefficients of algorithm AS 241 (PPND16), numerators and denominators by power.
@@ -48,7 +46,7 @@ def normal_quantile(p: Column) -> Column:
 def adjusted_fdr(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
     """Benjamini-Hochberg over the rows of ``by`` (default all) with a p-value; null stays null.
 
-    Without ``by`` no single task sees all rows: they are range-partitioned by p-value and written once, a row's rank is
+    Without ``by`` no single task sees all rows: they are written once (a range exchange looks at its input twice), range-partitioned by p-value and written again, a row's rank is
     its place in its partition after the partitions before, and the running minimum from the largest
     p-value down is one within the partition and one over the partitions' minima.
     """
@@ -58,7 +56,7 @@ def adjusted_fdr(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
         scaled = df.withColumn("_scaled", F.col(p) * n / rank)
         least = F.min("_scaled").over(w.orderBy(F.desc_nulls_first(p)).rangeBetween(Window.unboundedPreceding, 0))
         return scaled.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), least))).drop("_scaled")
-    ordered = materialize(df.repartitionByRange(F.asc_nulls_last(p)).sortWithinPartitions(F.asc_nulls_last(p)).withColumn("_at", F.monotonically_increasing_id()), "p_values")
+    ordered = materialize(materialize(df, "adjusted").repartitionByRange(F.asc_nulls_last(p)).sortWithinPartitions(F.asc_nulls_last(p)).withColumn("_at", F.monotonically_increasing_id()), "p_values")
     part = F.shiftright("_at", 33)
     pieces = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"), F.count(p).alias("_known"), F.min("_at").alias("_first"))
     # one row per partition of the range exchange from here on
@@ -133,29 +131,6 @@ def beta_real(raw: Column, scale: Column, *by: str) -> Column:
     return (raw - 1 / F.count("*").over(Window.partitionBy(*by))) * scale
 
 
-def chi_square_p(x: Column, df: Column) -> Column:
-    """P(chi-square with integer ``df`` > x) of columns; null for a null."""
-
-    @F.pandas_udf("double")
-    def survival(xs: pd.Series, dfs: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(a) or pd.isna(b) else chi_square_survival(float(a), int(b)) for a, b in zip(xs, dfs, strict=True)], dtype="float64")
-
-    return survival(x, df)
-
-
-def chi_square_survival(x: float, df: int) -> float:
-    """P(chi-square with integer ``df`` > x) by its finite sums."""
-    if x <= 0:
-        return 1.0
-    h = x / 2
-    if df % 2 == 0:
-        term = total = math.exp(-h)
-        for i in range(1, df // 2):
-            term *= h / i
-            total += term
-        return min(1.0, total)
-    total, term = math.erfc(math.sqrt(h)), math.exp(-h) * math.sqrt(h) / math.gamma(1.5)
-    for i in range(1, (df + 1) // 2):
-        total += term
-        term *= h / (i + 0.5)
-    return min(1.0, total)
+def chi_square_p(x: str, df: str) -> Column:
+    """P(chi-square with integer ``df`` > x) of two named columns; null for a null."""
+    return F.expr(chi_square_survival(x, df))

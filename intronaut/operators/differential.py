@@ -1,20 +1,23 @@
-"""Differential usage between two groups: testability, fits per cluster, result tables."""
+"""Differential usage between two groups: testability, fits of all clusters by rounds, result tables."""
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from intronaut.functions.models import dm_anova, dm_negative, to_psi
+from intronaut.functions.rounds import Model, fitted
+from intronaut.functions.special import backward, chi_square_survival, cholesky, forward, lgamma, total
 from intronaut.functions.stats import adjusted_fdr
+from intronaut.scratch import materialize
 
+# What a result table says of a cluster.
 TOO_MANY, ONE_JUNCTION = "Too many introns in cluster", "<=1 junction in cluster"
 NO_COVERAGE, LOW_COVERAGE = "<=1 sample with coverage>0", "<=1 sample with coverage>min_coverage"
 FEW_INTRONS, FEW_SAMPLES = "<2 introns used in >=min_samples_per_intron samples", "Not enough valid samples"
-FIT = "clu long, status string, loglr double, df long, p double, introns array<struct<a:long,b:long,logef:double,baseline:double,perturbed:double,deltapsi:double>>"
+SUCCESS, TIMEOUT = "Success", "timeout"
+#: Ridge of the regression of log shares that fits start from, and the concentration they start with.
+RIDGE, START_CONC = 0.001, 10.0
 
 
 def testability(counts: DataFrame, groups: DataFrame, max_size: int | None = None, min_samples_per_intron: int = 5, min_samples_per_group: int = 4, min_coverage: int = 20) -> DataFrame:
@@ -40,52 +43,93 @@ def testability(counts: DataFrame, groups: DataFrame, max_size: int | None = Non
     return introns.join(valid, "clu").select("clu", status.alias("status"))
 
 
-def design(groups: pd.DataFrame) -> pd.DataFrame:
-    """Samples x columns: group as 0/1 with the first level of the order seen (or the smaller number) as 0, numeric
-    covariates standardised by the sample deviation, others one-hot without their first level.
+def design(groups: DataFrame) -> DataFrame:
+    """Samples with their columns of the model matrix: group as 0/1 with the smaller level as 0, numeric
+    covariates standardised by the sample deviation, others one column for each level but the smallest.
+
+    ``groups`` has sample, grp and covariates, one row per sample; the driver looks at the levels alone.
     """
-    levels = sorted(groups.grp.unique()) if np.issubdtype(groups.grp.dtype, np.number) else list(dict.fromkeys(groups.grp))
+    levels = [r.grp for r in groups.select("grp").distinct().orderBy("grp").collect()]
     if len(levels) != 2:
         raise ValueError("two groups are compared")
-    out = pd.DataFrame({"group": (groups.grp == levels[1]).astype(float).to_numpy()}, index=groups["sample"].tolist())
-    for c in groups.columns.drop(["sample", "grp"]):
-        col = groups[c]
-        if np.issubdtype(col.dtype, np.number):
-            spread = col.std(ddof=1)
-            out[c] = ((col - col.mean()) / spread if spread > 0 else col * 0.0).to_numpy()
+    columns, numeric = [F.when(F.col("grp") == levels[1], 1.0).otherwise(0.0).alias("group")], {f.name for f in groups.schema if isinstance(f.dataType, NumericType)}
+    for c in groups.columns:
+        if c in ("sample", "grp"):
+            continue
+        if c in numeric:
+            mean, spread = groups.agg(F.avg(c), F.stddev(c)).first()
+            columns.append(((F.col(c) - F.lit(mean)) / F.lit(spread) if spread else F.lit(0.0)).alias(c))
         else:
-            for level in sorted(col.unique())[1:]:
-                out[f"{c}{level}"] = (col == level).astype(float).to_numpy()
-    return out
+            found = [r[0] for r in groups.select(c).distinct().orderBy(c).collect()]
+            columns += [F.when(F.col(c) == level, 1.0).otherwise(0.0).alias(f"{c}{level}") for level in found[1:]]
+    return groups.select("sample", *columns)
 
 
-def differential_usage(counts: DataFrame, groups: pd.DataFrame, max_size: int | None = 10, min_samples_per_intron: int = 5, min_samples_per_group: int = 4, min_coverage: int = 20, robust: bool = False, multi: bool = True) -> DataFrame:
-    """Fit every testable cluster, one grouped call each; untestable ones keep their status. Errors become a status."""
-    spark = counts.sparkSession
+def observations(counts: DataFrame, samples: DataFrame, min_samples_per_intron: int = 0) -> DataFrame:
+    """A row per cluster: clu, k, introns (a, b; ordered) and obs, its samples with reads as structs of ``x`` and counts ``y``.
+
+    ``samples`` has sample and x (array of double), one row per sample. Introns with reads in fewer than ``min_samples_per_intron``
+    samples are left out. A covariate that is the same in all samples of a cluster counts as 0, but for the first (the intercept) and the last one.
+    """
+    cells = counts.groupBy("clu", "a", "b", "sample").agg(F.sum("n").cast("double").alias("n")).join(F.broadcast(samples), "sample")
+    per_sample = cells.groupBy("clu", "sample").agg(F.first("x").alias("x"), F.map_from_entries(F.collect_list(F.struct(F.struct("a", "b"), "n"))).alias("cells"), F.sum("n").alias("tot")).where("tot > 0")
+    used = cells.groupBy("clu", "a", "b").agg(F.count_if(F.col("n") > 0).alias("used")).where(F.col("used") >= min_samples_per_intron)
+    introns = used.groupBy("clu").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("introns"))
+    met = per_sample.join(introns, "clu").withColumn("y", F.expr("transform(introns, i -> coalesce(element_at(cells, i), 0D))"))
+    collected = met.groupBy("clu").agg(F.first("introns").alias("introns"), F.expr("array_sort(collect_list(struct(sample, x, y)))").alias("rows"))
+    fixed = "i > 0 and i < size(get(rows, 0).x) - 1 and array_min(transform(rows, r -> get(r.x, i))) = array_max(transform(rows, r -> get(r.x, i)))"
+    flagged = collected.withColumn("fixed", F.expr(f"transform(get(rows, 0).x, (v, i) -> {fixed})"))
+    # exploded and put together again, so that the flags are made once
+    rows = flagged.select("clu", "introns", "fixed", F.posexplode("rows").alias("at", "r")).selectExpr("clu", "introns", "at", "zip_with(r.x, fixed, (v, f) -> if(f, 0D, v)) as x", "r.y as y")
+    return rows.groupBy("clu").agg(F.first("introns").alias("introns"), F.expr("transform(array_sort(collect_list(struct(at, x, y))), r -> struct(r.x as x, r.y as y))").alias("obs")).selectExpr("clu", "size(introns) as k", "introns", "obs")
+
+
+def _starts(rows: DataFrame, p: int, multi: bool) -> DataFrame:
+    """``rows`` with ``start``: coefficients of a ridge regression of log shares on the covariates."""
+    gram = f"transform(sequence(0, {p - 1}), i -> transform(sequence(0, i), l -> aggregate(obs, 0D, (s, o) -> s + get(o.x, i) * get(o.x, l)) + if(i = l, {RIDGE!r}D, 0D)))"
+    share = f"ln((get(o.y, j) + 1) / ({total('o.y')} + k))"
+    right = f"transform(sequence(0, k - 1), j -> transform(sequence(0, {p - 1}), i -> aggregate(obs, 0D, (s, o) -> s + get(o.x, i) * {share})))"
+    found = rows.withColumn("factor", F.expr(cholesky(gram))).withColumn("betas", F.expr(f"transform({right}, b -> {backward('factor', forward('factor', 'b'))})"))
+    conc = f"array_repeat(ln({START_CONC!r}D), {'k' if multi else '1'})"
+    return found.withColumn("start", F.expr(f"concat(flatten(transform(sequence(0, {p - 1}), i -> transform(betas, b -> get(b, i)))), {conc})")).drop("factor", "betas")
+
+
+def differential_usage(counts: DataFrame, groups: DataFrame, max_size: int | None = 10, min_samples_per_intron: int = 5, min_samples_per_group: int = 4, min_coverage: int = 20, robust: bool = False, multi: bool = True, rounds: int = 60) -> DataFrame:
+    """Likelihood-ratio test of every testable cluster, all of them fitted together; untestable ones keep their status.
+
+    Both models start from a regression of log shares; then each starts once more from where the other one ended,
+    and the better of its two ends counts. A cluster with an end that still moved after ``rounds`` rounds has the
+    status ``timeout`` beside what was reached. Returns clu, status, loglr, df, p and introns (a, b, logef, baseline, perturbed, deltapsi).
+    """
     table = design(groups)
-    status = testability(counts, spark.createDataFrame(groups[["sample", "grp"]]), max_size, min_samples_per_intron, min_samples_per_group, min_coverage)
-    testable = counts.join(status.where("status is null").select("clu"), "clu").select("clu", "a", "b", "sample", "n")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="sample", columns=["a", "b"], values="n", fill_value=0, aggfunc="sum").reindex(table.index, fill_value=0)
-        y = wide.to_numpy(float)
-        rows = y.sum(axis=1) > 0
-        cols = (y[rows] > 0).sum(axis=0) >= min_samples_per_intron
-        y, x = y[rows][:, cols], table.to_numpy()[rows]
-        keep = [0] + [j for j in range(1, x.shape[1]) if x[:, j].std() > 0]
-        one = np.ones((len(x), 1))
-        null, full = np.hstack([one, x[:, keep[1:]]]), np.hstack([one, x[:, keep[1:]], x[:, :1]])
-        try:
-            loglr, df, p, _, best = dm_anova(full, null, y, robust=robust, multi=multi)
-        except (np.linalg.LinAlgError, FloatingPointError, ValueError) as error:
-            return pd.DataFrame({"clu": [pdf.clu.iloc[0]], "status": [str(error).replace("\n", " ")], "loglr": [None], "df": [None], "p": [None], "introns": [None]})
-        before, after = to_psi(best.beta[0], best.conc), to_psi(best.beta[0] + best.beta[-1], best.conc)  # one concentration cancels out
-        introns = [dict(a=int(a), b=int(b), logef=float(e), baseline=float(s), perturbed=float(t), deltapsi=float(t - s)) for (a, b), e, s, t in zip(wide.columns[cols], best.beta[-1], before, after, strict=True)]
-        return pd.DataFrame({"clu": [pdf.clu.iloc[0]], "status": ["Success"], "loglr": [loglr], "df": [df], "p": [p], "introns": [introns]})
-
-    fitted = testable.groupBy("clu").applyInPandas(fit, FIT)
-    rest = status.where("status is not null").select("clu", "status", *[F.lit(None).cast(t).alias(c) for c, t in (("loglr", "double"), ("df", "long"), ("p", "double"))], F.lit(None).cast(fitted.schema["introns"].dataType).alias("introns"))
-    return fitted.union(rest)
+    names = [c for c in table.columns if c not in ("sample", "group")]
+    status = materialize(testability(counts, groups, max_size, min_samples_per_intron, min_samples_per_group, min_coverage), "status")
+    samples = table.select("sample", F.array(F.lit(1.0), *(F.col(c).cast("double") for c in names), "group").alias("x"))
+    testable = counts.join(status.where("status is null").select("clu"), "clu", "left_semi")
+    clusters = materialize(observations(testable, samples, min_samples_per_intron), "clusters")
+    p, model = len(names) + 2, Model(len(names) + 2, multi=multi, robust=robust)
+    # the smaller model is the larger one without the last covariate; clu tells them apart by its last bit
+    less = f"transform(obs, o -> struct(transform(o.x, (v, i) -> if(i = {p - 1}, 0D, v)) as x, o.y as y))"
+    both = clusters.select("clu", "k", "obs", F.explode(F.array(F.lit(0), F.lit(1))).alias("full")).selectExpr("clu * 2 + full as clu", "k", f"if(full = 1, obs, {less}) as obs")
+    both = materialize(both, "models")
+    first = fitted(_starts(both, p, multi), model, rounds)
+    other = first.selectExpr("clu ^ 1 as clu", "theta", "share")
+    swapped = both.join(other, "clu").selectExpr("clu", "k", "obs", f"transform(theta, (c, i) -> if(i div k = {p - 1} and i < {p} * k, 0D, c)) as start", "greatest(share, 1e-6D) as share")
+    second = fitted(swapped, model, rounds)
+    best = first.union(second).groupBy("clu").agg(F.max_by(F.struct("theta", "value", "share", "converged"), "value").alias("best"))
+    ends = best.groupBy(F.expr("shiftright(clu, 1)").alias("clu")).agg(F.max_by("best", "clu").alias("large"), F.min_by("best", "clu").alias("small"))
+    tested = ends.join(clusters.select("clu", "k", "introns"), "clu").selectExpr("clu", "k", "introns", "large.theta as theta", "large.converged and small.converged as converged", "large.value - small.value as loglr", "cast(k - 1 as bigint) as df")
+    conc = f"get(theta, {p} * k + {'j' if multi else '0'})"
+    mean = f"aggregate(slice(theta, {p - 1} * k + 1, k), 0D, (s, c) -> s + c) / k"
+    parts = f"transform(introns, (i, j) -> struct(get(theta, {p - 1} * k + j) - {mean} as logef, get(theta, j) + {conc} as before, get(theta, j) + get(theta, {p - 1} * k + j) + {conc} as after))"
+    shares = tested.withColumn("parts", F.expr(parts))
+    for new, old in (("baseline", "before"), ("perturbed", "after")):
+        e = f"exp(c.{old} - array_max(transform(parts, d -> d.{old})))"
+        shares = shares.withColumn(new, F.expr(f"transform(transform(parts, c -> {e}), (v, j) -> v / aggregate(transform(parts, c -> {e}), 0D, (s, d) -> s + d))"))
+    introns = "transform(introns, (i, j) -> struct(i.a as a, i.b as b, get(parts, j).logef as logef, get(baseline, j) as baseline, get(perturbed, j) as perturbed, get(perturbed, j) - get(baseline, j) as deltapsi))"
+    done = shares.withColumn("statistic", F.expr("2 * loglr")).selectExpr("clu", f"if(converged, '{SUCCESS}', '{TIMEOUT}') as status", "loglr", "df", f"{chi_square_survival('statistic', 'df')} as p", f"{introns} as introns")
+    rest = status.where("status is not null").select("clu", "status", *[F.lit(None).cast(t).alias(c) for c, t in (("loglr", "double"), ("df", "long"), ("p", "double"))], F.lit(None).cast(done.schema["introns"].dataType).alias("introns"))
+    return materialize(done.union(rest), "tested")
 
 
 def cluster_table(results: DataFrame) -> DataFrame:
@@ -110,13 +154,10 @@ def group_sizes(groups: DataFrame) -> DataFrame:
 
 def loglik_at(counts: DataFrame, conc: float) -> DataFrame:
     """(clu, loglik): Dirichlet-multinomial log likelihood of each cluster's samples at equal shares and one concentration."""
-
-    def value(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.pivot_table(index="sample", columns=["a", "b"], values="n", fill_value=0, aggfunc="sum").to_numpy(float)
-        theta = np.append(np.zeros(y.shape[1]), np.log(conc))
-        return pd.DataFrame({"clu": [pdf.clu.iloc[0]], "loglik": [-dm_negative(theta, np.ones((len(y), 1)), y, False, False, 1.0, 0.0, (1.0, 1.0))[0]]})
-
-    return counts.select("clu", "a", "b", "sample", "n").groupBy("clu").applyInPandas(value, "clu long, loglik double")
+    sizes = counts.groupBy("clu").agg(F.count_distinct("a", "b").alias("k"))
+    cells = counts.groupBy("clu", "a", "b", "sample").agg(F.sum("n").cast("double").alias("n")).join(sizes, "clu").withColumn("c", F.lit(conc) / F.col("k"))
+    samples = cells.groupBy("clu", "sample").agg(F.sum("n").alias("tot"), F.expr(f"sum({lgamma('(c + n)')} - {lgamma('c')})").alias("parts"))
+    return samples.withColumn("c", F.lit(conc)).groupBy("clu").agg(F.expr(f"sum(parts + {lgamma('c')} - {lgamma('(c + tot)')})").alias("loglik"))
 
 
 def status_summary(results: DataFrame) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intronaut.functions.models import bb_tails, dm_concentration
+from intronaut.functions.rounds import Model, fitted
+from intronaut.functions.special import lgamma, total
 from intronaut.functions.stats import cluster_p
+from intronaut.operators.differential import SUCCESS, TIMEOUT
+from intronaut.scratch import materialize
 
-CELLS = "clu long, a long, b long, sample string, p double, effect double, share double, mean_share double"
+#: Parameters are the concentrations alone, without a prior.
+SHARES = Model(covariates=0, shape=1.0, rate=0.0)
+#: Sum of the parameters that a fit starts from.
+START_TOTAL = 10.0
+EPS = 2.0**-52
 
 
 def testable(counts: DataFrame, max_size: int = 10, min_coverage: int = 20) -> DataFrame:
@@ -23,35 +26,62 @@ def testable(counts: DataFrame, max_size: int = 10, min_coverage: int = 20) -> D
     return counts.join(good, "clu", "left_semi")
 
 
-def outliers(counts: DataFrame, max_size: int = 10, min_coverage: int = 20, estimate: Callable[[np.ndarray], np.ndarray] = dm_concentration) -> DataFrame:
-    """Two-sided p-value and effect (share minus expected share) of every intron and sample, on counts plus one.
+def cluster_counts(counts: DataFrame, max_size: int = 10, min_coverage: int = 20) -> DataFrame:
+    """A row per testable cluster: clu, k, introns (a, b) and rows, the samples with their counts plus one, both ordered."""
+    cells = testable(counts, max_size, min_coverage).groupBy("clu", "a", "b", "sample").agg((F.sum("n") + 1).cast("double").alias("n"))
+    samples = cells.groupBy("clu", "sample").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("a", "b"), "n"))).alias("cells"))
+    introns = cells.groupBy("clu").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("introns"))
+    met = samples.join(introns, "clu").withColumn("y", F.expr("transform(introns, i -> coalesce(element_at(cells, i), 1D))"))
+    return met.groupBy("clu").agg(F.first("introns").alias("introns"), F.sort_array(F.collect_list(F.struct("sample", "y"))).alias("rows")).selectExpr("clu", "size(introns) as k", "introns", "rows")
+
+
+def share_parameters(clusters: DataFrame, rounds: int = 60) -> DataFrame:
+    """(clu, alpha, loglik, status): parameters of one Dirichlet-multinomial for all samples of each cluster, by maximum likelihood.
 
-    ``estimate`` gives the parameters of a cluster from its samples x introns counts, by maximum likelihood unless another is given.
+    ``clusters`` are rows of :func:`cluster_counts`. The status is ``timeout`` where the likelihood still rose after ``rounds`` steps; parameters
+    are held below e^20, which samples without any variation beyond chance would exceed.
     """
+    total_y = "aggregate(rows, 0D, (s, r) -> s + get(r.y, j))"
+    sums = f"transform(sequence(0, k - 1), j -> {total_y} / size(rows) + 0.5D)"
+    begun = clusters.selectExpr("clu", "k", "transform(rows, r -> struct(cast(array() as array<double>) as x, r.y as y)) as obs", f"{sums} as mean")
+    # a parameter is its concentration times the uniform share 1 / k
+    start = f"transform(mean, m -> ln(m / {total('mean')} * {START_TOTAL!r}D * k))"
+    found = fitted(begun.selectExpr("clu", "k", "obs", f"{start} as start"), SHARES, rounds)
+    return found.selectExpr("clu", "transform(theta, c -> exp(c) / size(theta)) as alpha", "value as loglik", f"if(converged, '{SUCCESS}', '{TIMEOUT}') as status")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="sample", columns=["a", "b"], values="n", fill_value=0, aggfunc="sum")
-        y = wide.to_numpy(float) + 1
-        alpha = estimate(y)
-        share = alpha / alpha.sum()
-        out = []
-        for sample, row in zip(wide.index, y, strict=True):
-            right, left = bb_tails(row, alpha)
-            out.append(pd.DataFrame({"clu": pdf.clu.iloc[0], "a": [a for a, _ in wide.columns], "b": [b for _, b in wide.columns], "sample": sample, "p": np.minimum(1.0, 2 * np.minimum(right, left)), "effect": row / row.sum() - share, "share": row / row.sum(), "mean_share": share}))
-        return pd.concat(out)
 
-    return testable(counts, max_size, min_coverage).select("clu", "a", "b", "sample", "n").groupBy("clu").applyInPandas(fit, CELLS)
+def tails(cells: DataFrame) -> DataFrame:
+    """``cells`` (n, tot: a count and the reads of its sample and cluster; alpha, rest: its parameter and the sum of the others) with ``p``, two-sided.
 
+    The smaller tail is summed from the count outwards, term by term from the ratio of neighbours; the other one is what is left. Both
+    include the count and lie within [eps, 1 - eps].
+    """
+    log_pmf = f"{lgamma('(tot + 1)')} - {lgamma('(n + 1)')} - {lgamma('(tot - n + 1)')} + {lgamma('(n + alpha)')} + {lgamma('(tot - n + rest)')} - {lgamma('(tot + alpha + rest)')} + {lgamma('(alpha + rest)')} - {lgamma('alpha')} - {lgamma('rest')}"
+    known = cells.selectExpr("*", f"exp({log_pmf}) as pmf", "n * (alpha + rest) > alpha * tot as high")
+    # from c to c + 1, and from c to c - 1
+    up = "(tot - c) * (c + alpha) / ((c + 1) * (tot - c - 1 + rest))"
+    down = "c * (tot - c + rest) / ((tot - c + 1) * (c - 1 + alpha))"
+    fold = lambda first, last, by, ratio: f"aggregate(if({first} {'<' if by > 0 else '>'} {last}, sequence(bigint({first}), bigint({last} - {by}), {by}L), cast(array() as array<bigint>)), struct(1D as term, 1D as sum), (s, c) -> struct(s.term * {ratio} as term, s.sum + s.term * {ratio} as sum), s -> s.sum)"
+    outward = f"if(high, {fold('n', 'tot', 1, up)}, {fold('n', '0', -1, down)})"
+    near = known.selectExpr("*", f"least(pmf * {outward}, 1D) as outer").selectExpr("*", "least(greatest(1 - outer + pmf, 0D), 1D) as inner")
+    within = lambda c: f"least(greatest({c}, {EPS!r}D), 1 - {EPS!r}D)"
+    return near.selectExpr("*", f"least(1D, 2 * least({within('outer')}, {within('inner')})) as p").drop("pmf", "high", "outer", "inner")
 
-def cluster_outliers(cells: DataFrame) -> DataFrame:
-    """p-value of each cluster and sample from the smallest of its introns."""
-    return cells.groupBy("clu", "sample").agg(cluster_p(F.min("p"), F.count("*")).alias("p"))
+
+def outlier_cells(clusters: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Two-sided p-value and effect of every intron and sample of ``clusters`` at given parameters (clu, alpha)."""
+    met = clusters.join(parameters.select("clu", "alpha"), "clu").select("clu", "introns", "alpha", F.explode("rows").alias("r"))
+    cells = met.selectExpr("clu", "r.sample as sample", f"{total('r.y')} as tot", f"{total('alpha')} as all_alpha", "explode(arrays_zip(introns, r.y, alpha)) as c")
+    named = cells.selectExpr("clu", "c.introns.a as a", "c.introns.b as b", "sample", "c.y as n", "tot", "c.alpha as alpha", "all_alpha - c.alpha as rest")
+    return tails(named).selectExpr("clu", "a", "b", "sample", "p", "n / tot - alpha / (alpha + rest) as effect", "n / tot as share", "alpha / (alpha + rest) as mean_share")
 
 
-def two_sided(right: Column, left: Column) -> Column:
-    return F.least(F.lit(1.0), 2 * F.least(right, left))
+def outliers(counts: DataFrame, max_size: int = 10, min_coverage: int = 20, rounds: int = 60) -> DataFrame:
+    """Two-sided p-value and effect (share minus expected share) of every intron and sample, on counts plus one."""
+    clusters = materialize(cluster_counts(counts, max_size, min_coverage), "clusters")
+    return outlier_cells(clusters, share_parameters(clusters, rounds))
 
 
-def to_wide(cells: DataFrame, value: str, samples: list[str]) -> DataFrame:
-    """A row per intron, a column per sample."""
-    return cells.groupBy("clu", "a", "b").pivot("sample", samples).agg(F.first(value))
+def cluster_outliers(cells: DataFrame) -> DataFrame:
+    """p-value of each cluster and sample from the smallest of its introns."""
+    return cells.groupBy("clu", "sample").agg(cluster_p(F.min("p"), F.count("*")).alias("p"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intronaut.functions.stats import adjusted_fdr
 from intronaut.operators import annotate, clustering, counts, differential, genes, outlier, phenotype
+from intronaut.scratch import materialize
 from intronaut.sources import alignments
 
 
@@ -26,7 +26,7 @@ def junctions_to_counts(junctions: DataFrame, max_length: int = 100_000, min_clu
     return found, counts.perind_counts(found, junctions)
 
 
-def differential_splicing(table: DataFrame, groups: pd.DataFrame, exons: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+def differential_splicing(table: DataFrame, groups: DataFrame, exons: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(clusters with adjusted p-values and genes, effect sizes of introns)."""
     results = differential.differential_usage(table, groups, **options)
     tested = differential.cluster_table(results)
@@ -38,7 +38,7 @@ def differential_splicing(table: DataFrame, groups: pd.DataFrame, exons: DataFra
 
 def outlier_splicing(table: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """(cells with p-value and effect, p-values of clusters and samples)."""
-    cells = outlier.outliers(table, **options)
+    cells = materialize(outlier.outliers(table, **options), "outlier_cells")
     return cells, outlier.cluster_outliers(cells)
 
 

@@ -77,7 +77,13 @@ def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(EXONS, sites=sites)
 
 
-def groups(spark: SparkSession) -> DataFrame:
-    """Samples with their group and a numeric and a categorical covariate."""
-    rows = [(s, "A" if i < 4 else "B", float(i % 3), f"b{i % 2}") for i, s in enumerate(SAMPLES)]
-    return spark.createDataFrame(rows, "sample string, grp string, age double, batch string")
+GROUPS = """
+select concat('S', cast(i as varchar(9))) as sample, case when i < 4 then 'A' else 'B' end as grp,
+       cast(i % 3 as double) as age, concat('b', cast(i % 2 as varchar(9))) as batch
+from (select distinct s_suppkey % 8 as i from {supplier}) t
+"""
+
+
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with their group and a numeric and a categorical covariate, from the suppliers' numbers."""
+    return spark.sql(GROUPS, supplier=table(spark, sf_dir, "supplier"))

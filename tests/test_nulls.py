@@ -40,13 +40,11 @@ def test_p_values(spark):
 
 
 def test_tests_of_nothing(spark, cells):
-    import pandas as pd
-
     groups = spark.createDataFrame([("S0", "A"), ("S1", "A"), ("S2", "B"), (None, "B")], "sample string, grp string")
     status = {r.clu: r.status for r in differential.testability(cells, groups).collect()}
     assert status[2] == differential.NO_COVERAGE and differential.testability(cells.limit(0), groups).count() == 0
-    pdf = pd.DataFrame({"sample": ["S0", "S1", "S2", "S3"], "grp": ["A", "A", "B", "B"]})
-    assert differential.differential_usage(cells.where("clu is not null").limit(0), pdf).count() == 0
+    two = spark.createDataFrame([("S0", "A"), ("S1", "A"), ("S2", "B"), ("S3", "B")], "sample string, grp string")
+    assert differential.differential_usage(cells.where("clu is not null").limit(0), two).count() == 0
     assert outlier.outliers(cells.limit(0)).count() == 0 and outlier.cluster_outliers(outlier.outliers(cells.limit(0))).count() == 0
 
 
