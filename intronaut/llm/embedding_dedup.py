@@ -60,7 +60,7 @@ def _dense(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _projector(bits: int, groups: int, width: float):
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels = (batch.column(c).to_numpy() for c in ("rep", "label"))
+            ids, labels = (batch.column(c).to_numpy() for c in ("key", "label"))
             for rows, x in _dense(batch.column("embedding")):
                 rng = np.random.default_rng([SEED, x.shape[1]])
                 for g in range(groups):
@@ -68,7 +68,7 @@ def _projector(bits: int, groups: int, width: float):
                     y = x @ lines
                     code = (y[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
                     cell = mix(mix(code.astype(U) ^ (U(g) << U(48))) ^ mix(labels[rows].astype(np.int64).view(U)) ^ U(x.shape[1]))
-                    yield pa.record_batch([pa.array(ids[rows]), pa.array(signed(cell)), pa.array(y[:, bits])], ["rep", "cell", "place"])
+                    yield pa.record_batch([pa.array(ids[rows]), pa.array(signed(cell)), pa.array(y[:, bits])], ["key", "cell", "place"])
 
     return project
 
@@ -96,30 +96,35 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     nothing, neither does a null label. Returns one row per input row: vec_id, n_links
     (other rows linked directly), component_id, kept. Equal vectors of a label are one
     class: every pair of them is a link, counted but not made. Rows that repeat a vec_id
-    count as rows; a null vec_id is in no component and its row gets the null back.
+    are vectors of their own, linked with each other by their cosine alone; a null vec_id is in no component and its row gets the null back.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     valid = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = rows.where(valid)
-    classes = materialize(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
+    # a class has a key of its own, since classes may share a vec_id
+    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    classes = materialize(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, groups, width = calibrate(largest, threshold)
-    lines = materialize(classes.select("rep", "label", "embedding").mapInArrow(_projector(bits, groups, width), "rep long, cell long, place double"), "projections")
+    lines = materialize(classes.select("key", "label", "embedding").mapInArrow(_projector(bits, groups, width), "key long, cell long, place double"), "projections")
     strip = F.floor(F.col("place") / width)
-    left = lines.select("cell", strip.alias("strip"), F.col("rep").alias("a"), F.col("place").alias("pa"))
-    right = lines.select("cell", F.explode(F.array(strip, strip - 1)).alias("strip"), F.col("rep").alias("b"), F.col("place").alias("pb"))
+    left = lines.select("cell", strip.alias("strip"), F.col("key").alias("a"), F.col("place").alias("pa"))
+    right = lines.select("cell", F.explode(F.array(strip, strip - 1)).alias("strip"), F.col("key").alias("b"), F.col("place").alias("pb"))
     inside = ((F.col("pa") < F.col("pb")) | ((F.col("pa") == F.col("pb")) & (F.col("a") < F.col("b")))) & (F.col("pb") - F.col("pa") <= width)
     pairs = left.join(right.hint("merge"), ["cell", "strip"]).where(inside)
     counted = pairs.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).count().where(F.col("count") >= COUNT).select("u", "v")
-    x, y = (classes.select(F.col("rep").alias(k), F.col("label").alias(f"label_{k}"), F.col("embedding").alias(c)) for k, c in ("ux", "vy"))
+    x, y = (classes.select(F.col("key").alias(k), F.col("label").alias(f"label_{k}"), F.col("embedding").alias(c)) for k, c in ("ux", "vy"))
     compared = counted.join(x, "u").join(y, "v").where("label_u = label_v and size(x) = size(y)").select("u", "v", "x", "y")
     links = materialize(compared.mapInArrow(_cosine(threshold), "u long, v long"), "links")
-    sizes = classes.select("rep", "n")
+    sizes = classes.select("key", "n", "rep")
     both = links.union(links.select("v", "u"))
-    outward = both.join(sizes.withColumnRenamed("rep", "v"), "v").groupBy("u").agg(F.sum("n").alias("others"))
+    outward = both.join(sizes.withColumnRenamed("key", "v"), "v").groupBy("u").agg(F.sum("n").alias("others"))
     node = components(links)
-    per_class = classes.join(outward.withColumnRenamed("u", "rep"), "rep", "left").join(node.withColumnRenamed("node", "rep"), "rep", "left").select("label", "embedding", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    least = node.join(sizes, F.col("node") == F.col("key")).groupBy("component").agg(F.min("rep").alias("least"))
+    reached = node.join(least, "component").select(F.col("node").alias("key"), "least")
+    met = classes.join(outward.withColumnRenamed("u", "key"), "key", "left").join(reached, "key", "left")
+    per_class = met.select("label", "embedding", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     placed = good.join(per_class, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return placed.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -104,17 +104,19 @@ _COMPONENTS = """
 reach(node, other) as (select u, v from links union select r.node, l.v from reach r join links l on l.u = r.other),
 least as (select node, least(node, min(other)) as component from reach group by node)"""
 
-OP1 = f"""
-with recursive typed as (select vec_id, label, cast(embedding as double[]) as v from embeddings),
+OP1 = """
+with recursive typed as (select row_number() over () as r, vec_id, label, cast(embedding as double[]) as v from embeddings),
 good as (
   select * from typed where vec_id is not null and label is not null and len(v) > 0
     and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
 links(u, v) as (
-  select a.vec_id, b.vec_id from good a join good b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
-  where list_cosine_similarity(a.v, b.v) >= 0.93),{_COMPONENTS},
+  select a.r, b.r from good a join good b on a.label = b.label and len(a.v) = len(b.v) and a.r <> b.r
+  where list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(node, other) as (select u, v from links union select q.node, l.v from reach q join links l on l.u = q.other),
+least as (select node, least(min(own.vec_id), min(far.vec_id)) as component from reach join typed own on own.r = node join typed far on far.r = other group by node),
 degree as (select u, count(*) as n from links group by u)
 select vec_id, cast(coalesce(n, 0) as bigint) as n_links, coalesce(component, vec_id) as component_id, vec_id = coalesce(component, vec_id) as kept
-from typed left join degree on u = vec_id left join least on node = vec_id
+from typed left join degree on u = r left join least on node = r
 """
 
 OP3 = r"""

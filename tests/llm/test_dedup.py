@@ -119,21 +119,24 @@ def vectors():
 
 def test_similar_vectors_equal_brute_force(spark):
     rows = vectors()
-    good = [(k, np.array(v, float), c) for k, v, c in rows if k is not None and c is not None and v and None not in v and np.isfinite(v).all() and any(v)]
-    unit = [(k, v / np.abs(v).max(), c) for k, v, c in good]
+    # ids that repeat, with the same vector, with others near it and with others far from it
+    rows += [(9001, [1.0, 0.0, 0.0], 40), (9001, [0.99, 0.1, 0.0], 40), (9002, [0.98, 0.12, 0.0], 40), (9003, [0.0, 0.0, 1.0], 40), (9001, [0.0, 0.02, 1.0], 40), (9001, [1.0, 0.0, 0.0], 40), (9000, [0.0, 1.0, 0.0], 40), (9000, [0.0, 0.1, 1.0], 40)]
+    good = [(n, np.array(v, float), c) for n, (k, v, c) in enumerate(rows) if k is not None and c is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    unit = [(n, v / np.abs(v).max(), c) for n, v, c in good]
     pairs = [(a, b) for k, (a, x, c) in enumerate(unit) for b, y, d in unit[:k] if c == d and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.93]
-    degree, want = Counter(x for p in pairs for x in p), least({k for k, _, _ in rows if k is not None}, pairs)
-    df = spark.createDataFrame([(*r, "c") for r in rows], "vec_id long, embedding array<double>, label int, cell string")
-    got = similar_vectors(df).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        if r.vec_id is not None:
-            assert (r.n_links, r.component_id, r.kept) == (degree[r.vec_id], want[r.vec_id], want[r.vec_id] == r.vec_id)
-    assert similar_vectors(df.limit(0)).count() == 0
+    degree, group = Counter(x for p in pairs for x in p), least(set(range(len(rows))), pairs)
+    first = {}
+    for n, root in group.items():
+        if rows[n][0] is not None:
+            first[root] = min(first.get(root, rows[n][0]), rows[n][0])
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "vec_id long, embedding array<double>, label int, cell string, key int")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in similar_vectors(df).collect() if r.vec_id is not None)
+    assert got == Counter((r[0], degree[n], first[group[n]], first[group[n]] == r[0]) for n, r in enumerate(rows) if r[0] is not None)
+    assert similar_vectors(df).count() == len(rows) and similar_vectors(df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("largest", [1, 100, 10_000, 10**8])
-def test_calibration_reaches_recall(largest):
+def test_calibration_stays_small(largest):
     bits, groups, _ = calibrate(largest, 0.93)
     assert groups < 400 and bits <= 40
 
