@@ -53,7 +53,9 @@ def item_windows(items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
 
 
 def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(key, offset, window, words, size): the rarest word of each window in the corpus, by lower case, and its place in the window.
+    """(key, offset, window, words, size, before, after): the rarest word of each window in the corpus, by lower case, and its place in the window.
+
+    ``before`` and ``after`` are the most words that any window of the key has before and after it.
 
     Windows with a word that no document has occur nowhere and are left out.
     """
@@ -64,21 +66,25 @@ def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
     seen = materialize(words.join(F.broadcast(vocabulary) if small else vocabulary, "key").groupBy("key").agg(F.count("*").alias("n")), "word_counts")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "offset")).alias("rarest")
     ranked = spread.join(seen, "key", "left").groupBy("window").agg(rarest).where("rarest.n > 0")
-    return materialize(ranked.select("window", "rarest.key", "rarest.offset").join(windows, "window"), "prefixes")
+    met = ranked.select("window", "rarest.key", "rarest.offset").join(windows, "window")
+    reach = met.groupBy("key").agg(F.max("offset").alias("before"), F.max(F.col("size") - F.col("offset") - 1).alias("after"))
+    return materialize(met.join(reach, "key"), "prefixes")
 
 
-def places(docs: DataFrame, keys: DataFrame, reach: int) -> DataFrame:
-    """One row per row of ``docs`` (key ``""``) and one per place of a key, with up to ``reach`` words on either side.
+def places(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row per row of ``docs`` (key ``""``) and one per place of a key, with as many words on either side as the key's windows reach.
 
-    ``docs`` has row, doc_id and text. Returns row, doc_id, n_words, place, key, context. The words of a text
+    ``docs`` has row, doc_id and text, ``keys`` key, before and after. Returns row, doc_id, n_words, place, key, context and first, the
+    place that the context begins with. The words of a text
     are led by an empty one, which is no word and so marks the row itself.
     """
-    wanted = F.broadcast(keys.select("key").union(keys.sparkSession.range(1).select(F.lit("").alias("key"))))
+    wanted = F.broadcast(keys.select("key", "before", "after").union(keys.sparkSession.range(1).select(F.lit("").alias("key"), F.lit(0), F.lit(0))))
     words = docs.select("row", "doc_id", parts_of(F.col("text")).alias("w"))
     spread = words.select("row", "doc_id", "w", F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("at", "word"))
     place = F.col("at") - 1
-    context = F.when(F.col("at") > 0, F.slice("w", F.greatest(place - reach, F.lit(0)) + 1, 2 * reach + 1))
-    return spread.withColumn("key", F.lower("word")).join(wanted, "key").select("row", "doc_id", F.size("w").alias("n_words"), place.alias("place"), "key", context.alias("context"))
+    first = F.greatest(place - F.col("before"), F.lit(0))
+    context = F.when(F.col("at") > 0, F.slice("w", first + 1, place - first + F.col("after") + 1))
+    return spread.withColumn("key", F.lower("word")).join(wanted, "key").select("row", "doc_id", F.size("w").alias("n_words"), place.alias("place"), "key", context.alias("context"), first.alias("first"))
 
 
 def contaminated_rows(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
@@ -88,17 +94,16 @@ def contaminated_rows(docs: DataFrame, items: DataFrame, window: int = 13, share
     """
     windows, owners = item_windows(items, window)
     sought = prefixes(docs, windows)
-    keys = materialize(sought.select("key").distinct(), "prefix_words")
+    keys = materialize(sought.select("key", "before", "after").distinct(), "prefix_words")
     n_blocks = max(1, -(-keys.count() // BLOCK_WORDS))
     if n_blocks > 1:  # the passes must agree on the numbers of rows
         docs = materialize(docs.select("row", "doc_id", "text"), "numbered")
-    reach = window - 1
     own = lambda df, block: df.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == block)
-    found = materialize(reduce(DataFrame.union, (places(docs, own(keys, block), reach) for block in range(n_blocks))), "places")
+    found = materialize(reduce(DataFrame.union, (places(docs, own(keys, block)) for block in range(n_blocks))), "places")
     start = F.col("place") - F.col("offset")
     fits = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
-    equal = folded(F.slice("context", start - F.greatest(F.col("place") - reach, F.lit(0)) + 1, F.col("size"))) == F.col("words")
-    hit = found.where("place >= 0").join(sought, "key").where(fits).where(equal)
+    equal = folded(F.slice("context", start - F.col("first") + 1, F.col("size"))) == F.col("words")
+    hit = found.where("place >= 0").join(sought.drop("before", "after"), "key").where(fits).where(equal)
     hits = materialize(hit.select("row", start.alias("low"), (start + F.col("size")).alias("high"), "window").distinct(), "hits")
     merged = F.aggregate(
         F.array_sort("ranges"),

@@ -50,20 +50,36 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
+#: Notices that several licences begin with: any other template that is reached goes before them.
+SHARED_NOTICES = ("Redistribution and use in source and binary forms, with or without modification, are permitted",)
+# The standard header of the GNU licences, with the kind and version of each.
 _GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
 _GNU_REST = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details."
 _GNU_NAMES = [("AGPL-3.0", "Affero ", "3"), ("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3")]
-#: Standard headers and titles, found by windows only.
+# Standard headers, titles and telling passages, found by windows only.
 HEADERS: list[tuple[str, str]] = [
     *((name, _GNU.format(kind, version)) for name, kind, version in _GNU_NAMES),
     *((name, (_GNU + _GNU_REST).format(kind, version)) for name, kind, version in _GNU_NAMES),
     *((name, f"GNU {kind}General Public License Version {version}") for name, kind, version in _GNU_NAMES),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("AGPL-3.0", "if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International Public License"),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("ISC", "Licensed under the ISC License"),
     ("MIT", "The MIT License (MIT)"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 ]
 #: Base names, in lower case and without extension, of files that hold the licence of their directory.
 LICENCE_FILES = ("license", "licence", "copying", "unlicense", "notice")
+#: A licence file with so many of these beginnings of words is a licence, known or not.
+LICENCE_WORDS, LICENCE_WORDS_LEAST = r"\b(licen[sc]e|permi(?:ssion|tted)|warrant|liab|copyright|redistribut|disclaim)", 3
 THRESHOLD = 0.8
 
 
@@ -85,6 +101,7 @@ class Scanner:
     def __init__(self, templates: list[tuple[str, str]], n: int, df: dict[int, int], threshold: float, texts: list[tuple[str, str]] | None = None):
         self.n, self.df, self.threshold = n, df, threshold
         self.names = [name for name, _ in templates]
+        self.shared_names = {name for name, text in templates if text in SHARED_NOTICES}
         self.templates = [self.unit(v) for v in _vectors([text for _, text in templates])]
         heavy: set[int] = set()
         for t in self.templates:
@@ -97,6 +114,7 @@ class Scanner:
         self.heavy = np.array(sorted(heavy), np.uint64)
         counts = _vectors([text for _, text in [*templates, *(texts or [])]])
         self.sliding = [(name, v.total(), self.unit(v)) for (name, _), v in zip([*templates, *(texts or [])], counts, strict=True)]
+        self.shared = [text in SHARED_NOTICES for _, text in [*templates, *(texts or [])]]
         self.vocabulary = np.array(sorted({w for v in counts for w in v}), np.uint64)
         # squared weights by place in the vocabulary, 0 for any other word
         self.masses = [np.array([*(t.get(w, 0.0) ** 2 for w in self.vocabulary.tolist()), 0.0]) for _, _, t in self.sliding]
@@ -151,8 +169,11 @@ class Scanner:
         return best
 
     def scan_windows(self, column: pa.Array) -> tuple[list[str | None], list[float | None]]:
-        """Licence and cosine of each text by windows of each template's length; ties go to the longest template, then the first name."""
-        lengths = [0] * len(column)
+        """Licence and cosine of each text by windows of each template's length; ties go to the longest template, then the first name.
+
+        Notices that several licences share count only where nothing else does.
+        """
+        lengths, weak = [0] * len(column), [True] * len(column)
         names: list[str | None] = [None] * len(column)
         cosines: list[float | None] = [None] * len(column)
         for words in split_words(column, lower=True, separators=NOT_ALNUM, whole=True):
@@ -164,7 +185,7 @@ class Scanner:
             row = np.repeat(np.arange(len(words.counts)), words.counts)
             start = np.arange(n)
             first, last = words.offsets[:-1][row], words.offsets[1:][row]
-            for (name, m, template), mass in zip(self.sliding, self.masses, strict=True):
+            for (name, m, template), mass, shared in zip(self.sliding, self.masses, self.shared, strict=True):
                 total = np.concatenate([[0.0], np.cumsum(mass[at])])
                 end = np.minimum(start + m, last)
                 able = np.flatnonzero((total[end] - total[start] >= self.threshold**2 - 1e-9) & ((start + m <= last) | (start == first)))
@@ -175,8 +196,8 @@ class Scanner:
                     cosine = self.slide(words.codes[a : end[b]].tolist(), m, template)
                     i = words.first + int(row[a])
                     cosine = round(min(1.0, cosine), 9)
-                    if cosine >= self.threshold and (cosines[i] is None or (-cosine, -m, name) < (-cosines[i], -lengths[i], names[i])):
-                        names[i], cosines[i], lengths[i] = name, cosine, m
+                    if cosine >= self.threshold and (cosines[i] is None or (shared, -cosine, -m, name) < (weak[i], -cosines[i], -lengths[i], names[i])):
+                        names[i], cosines[i], lengths[i], weak[i] = name, cosine, m, shared
         return names, cosines
 
 
@@ -200,7 +221,9 @@ def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] | None = No
     """Licence of each file, its own or inherited.
 
     ``files`` has file_id, path and text; other columns are not read. Returns one row per input row: file_id,
-    path, license, cosine, origin (``own``, ``inherited``, ``none``) and inherited_from (directory).
+    path, license, cosine, origin (``own``, ``inherited``, ``unrecognised``, ``none``) and inherited_from (directory).
+    A licence file in whose text no template is found but several words of licences is ``unrecognised``: it inherits nothing, and
+    what is below it inherits nothing from further up.
     Null and empty texts have no licence of their own; a null path is in no directory. Of several
     licence files of a directory the one with the larger cosine counts, then the first name. Repeated
     rows get the same answer each.
@@ -217,25 +240,33 @@ def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] | None = No
         for batch in batches:
             names, cosines = scanner.scan(batch.column("text"), batch.column("licence_file").to_numpy(zero_copy_only=False))
             for i, (name, cosine) in enumerate(zip(*scanner.scan_windows(batch.column("text")), strict=True)):
-                if cosine is not None and (cosines[i] is None or cosine >= round(cosines[i], 9)):
+                # a line is a window too, but for lines and whole files that are shorter or longer than their template
+                if cosine is not None and (cosines[i] is None or cosine >= round(cosines[i], 9) or names[i] in scanner.shared_names):
                     names[i], cosines[i] = name, cosine
-            yield pa.record_batch([batch.column(c) for c in ("file_id", "path", "licence_file")] + [pa.array(names, pa.string()), pa.array(cosines, pa.float64())], ["file_id", "path", "licence_file", "license", "cosine"])
+            yield pa.record_batch([batch.column(c) for c in ("file_id", "path", "licence_file", "unknown")] + [pa.array(names, pa.string()), pa.array(cosines, pa.float64())], ["file_id", "path", "licence_file", "unknown", "license", "cosine"])
 
     base = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", ""))
     marked = files.select("file_id", "path", "text", F.coalesce(base.isin(*LICENCE_FILES), F.lit(False)).alias("licence_file"))
-    own = materialize(marked.mapInArrow(scan, "file_id long, path string, licence_file boolean, license string, cosine double"), "licences")
+    worded = F.size(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LICENCE_WORDS), F.lit(1)))) >= LICENCE_WORDS_LEAST
+    marked = marked.withColumn("unknown", F.when(F.col("licence_file"), F.coalesce(worded, F.lit(False))).otherwise(False))
+    scanned = materialize(marked.mapInArrow(scan, "file_id long, path string, licence_file boolean, unknown boolean, license string, cosine double"), "licences")
+    own = scanned.withColumn("unknown", F.col("unknown") & F.col("license").isNull())
     steps = F.split("path", "/")
     parent = F.array_join(F.slice(steps, 1, F.size(steps) - 1), "/")
-    holders = own.where("licence_file and license is not null").select(parent.alias("directory"), "license", "cosine")
-    holders = holders.groupBy("directory").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("h")).select("directory", F.col("h.license").alias("license"), (-F.col("h.c")).alias("cosine"))
+    holders = own.where("licence_file and (license is not null or unknown)").select(parent.alias("directory"), "license", "cosine")
+    holders = holders.groupBy("directory").agg(F.min(F.struct(F.col("license").isNull().alias("without"), (-F.col("cosine")).alias("c"), "license")).alias("h")).select("directory", F.col("h.license").alias("license"), (-F.col("h.c")).alias("cosine"))
     # nearest directory above: by distinct directories, so a crowded one costs one row
-    homes = own.where("license is null and path is not null").select(parent.alias("home")).distinct()
+    homes = own.where("license is null and path is not null and not unknown").select(parent.alias("home")).distinct()
     up = F.split("home", "/")
     above = homes.withColumn("depth", F.explode(F.sequence(F.lit(0), F.size(up)))).withColumn("directory", F.array_join(F.slice(up, F.lit(1), F.col("depth")), "/"))
     nearest = above.join(holders, "directory").groupBy("home").agg(F.max(F.struct("depth", "directory", "license", "cosine")).alias("n")).select("home", "n.directory", F.col("n.license").alias("given"), F.col("n.cosine").alias("given_cosine"))
-    found = own.withColumn("home", F.when(F.col("license").isNull(), parent)).join(nearest, "home", "left")
-    origin = F.when(F.col("license").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited").otherwise("none")
-    return found.select("file_id", "path", F.coalesce("license", "given").alias("license"), F.coalesce("cosine", "given_cosine").alias("cosine"), origin.alias("origin"), F.col("directory").alias("inherited_from"))
+    # written, so that Spark can split a directory with many files; files that need no directory go round the join
+    nearest = materialize(nearest.where("given is not null"), "nearest")
+    asks = F.col("license").isNull() & F.col("path").isNotNull() & ~F.col("unknown")
+    found = own.where(asks).withColumn("home", parent).join(nearest, "home", "left")
+    given = found.select("file_id", "path", F.col("given").alias("license"), F.col("given_cosine").alias("cosine"), F.when(F.col("given").isNotNull(), "inherited").otherwise("none").alias("origin"), F.col("directory").alias("inherited_from"))
+    origin = F.when(F.col("license").isNotNull(), "own").when(F.col("unknown"), "unrecognised").otherwise("none")
+    return given.union(own.where(~asks).select("file_id", "path", "license", "cosine", origin.alias("origin"), F.lit(None).cast("string").alias("inherited_from")))
 
 
 def demonstration_paths(docs: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ intervals as (
 keys as (
   select r, fetched_at, unnest(list_concat(
     list_transform(range(1, len(labels) + 1), lambda i: array_to_string(list_slice(labels, i, len(labels)), '.')),
-    list_transform(range(1, len(segments) + 1), lambda i: host || '/' || array_to_string(list_slice(segments, 1, i), '/')))) as key
+    case when len(labels) > 0 then list_transform(range(1, len(segments) + 1), lambda i: array_to_string(labels, '.') || '/' || array_to_string(list_slice(segments, 1, i), '/')) else [] end)) as key
   from (select *, list_filter(string_split(host, '.'), lambda x: x <> '') as labels from parsed)),
 best as (
   select r, arg_max(struct_pack(pattern := key, since := since), struct_pack(n := length(key), pattern := key)) as b

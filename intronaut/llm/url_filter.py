@@ -32,9 +32,9 @@ def host_of(url: Column) -> Column:
 
 
 def keys_of(url: Column) -> Column:
-    """Host suffixes of whole labels and host/path prefixes of whole segments."""
-    host = host_of(url)
-    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
+    """Host suffixes of whole labels and host/path prefixes of whole segments; empty labels (a last dot) don't count."""
+    labels = F.filter(F.split(host_of(url), r"\."), lambda x: x != "")
+    host = F.array_join(labels, ".")
     segments = F.filter(F.split(F.coalesce(F.regexp_extract(url, PATH, 1), F.lit("")), "/"), lambda x: x != "")
     empty = F.array().cast("array<string>")
     suffixes = F.when(F.size(labels) > 0, F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(empty)
@@ -86,7 +86,11 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
         keys = _passing(keys, active)
     met = keys.join(active, F.col("key") == F.col("pattern")).where("asked_at >= since and (until is null or asked_at < until)")
     best = met.groupBy("asked_url", "asked_at").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "since")).alias("best"))
-    joined = captures.select("page_id", "url", "fetched_at").join(best, (F.col("url") == F.col("asked_url")) & (F.col("fetched_at") == F.col("asked_at")), "left")
+    # written, so that Spark can split a URL with many captures; captures without a URL or time go round the join
+    best = materialize(best, "blocked")
+    rows, asks = captures.select("page_id", "url", "fetched_at"), F.col("url").isNotNull() & F.col("fetched_at").isNotNull()
+    joined = rows.where(asks).join(best, (F.col("url") == F.col("asked_url")) & (F.col("fetched_at") == F.col("asked_at")), "left")
+    joined = joined.unionByName(rows.where(~asks), allowMissingColumns=True)
     return joined.select("page_id", "url", "fetched_at", F.col("best").isNotNull().alias("blocked"), F.col("best.pattern").alias("pattern"), F.col("best.since").alias("since"))
 
 

@@ -90,3 +90,19 @@ def test_weights_and_inheritance_equal_brute_force(spark):
         above = ["/".join(p.split("/")[:k]) for k in range(len(p.split("/")) - 1, -1, -1)] if p is not None else []
         home = next((d for d in above if d in holders), None)
         assert (got[i].license, got[i].inherited_from) == ((holders[home][1], home) if home is not None else (None, None))
+
+
+def test_near_texts_and_unknown_licences(spark):
+    """The nearer of two texts decides over the notice that both begin with; an unknown licence isn't covered by one further up."""
+    full = dict(licenses.full_texts())
+    varied = full["BSD-2-Clause"].replace("COPYRIGHT HOLDERS", "AUTHOR").replace("COPYRIGHT HOLDER", "AUTHOR")
+    strange = "Foo License. Copyright holders give permission to look at this, without warranty, and to redistribute nothing."
+    rows = [
+        ("COPYING", full["Unlicense"], "Unlicense", "own"), ("a/LICENSE", full["BSD-2-Clause"], "BSD-2-Clause", "own"), ("b/LICENSE", varied, "BSD-2-Clause", "own"), ("c/LICENSE", full["BSD-3-Clause"], "BSD-3-Clause", "own"),
+        ("d/LICENSE", f"Copyright 2020 Foo\n\n{full['ISC']}", "ISC", "own"), ("e/LICENSE", strange, None, "unrecognised"), ("e/x.py", "pass", None, "none"), ("e/f/LICENSE", "todo", None, "none"), ("a/b/x.py", "pass", "BSD-2-Clause", "inherited"),
+        ("g/x.py", "Redistribution and use in source and binary forms, with or without modification, are permitted", "BSD-3-Clause", "own"), ("h/y.py", None, "Unlicense", "inherited"), (None, None, None, "none"), ("h/y.py", None, "Unlicense", "inherited"),
+        ("i/LICENSE", full["GPL-3.0"].replace("GNU GENERAL PUBLIC LICENSE\n", "GNU AFFERO GENERAL PUBLIC LICENSE\n", 1).replace("GNU General Public License", "GNU Affero General Public License") + " Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version", "AGPL-3.0", "own"),
+    ]
+    files = spark.createDataFrame([(i, p, t, "x") for i, (p, t, _, _) in enumerate(rows)], "file_id long, path string, text string, unknown string")
+    got = {r.file_id: (r.license, r.origin) for r in licenses.scan_licenses(files).collect()}
+    assert got == {i: (name, origin) for i, (_, _, name, origin) in enumerate(rows)}

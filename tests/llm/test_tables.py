@@ -11,6 +11,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from intronaut.scratch import materialize
 from intronaut.llm import decontaminate, licenses, mixing, queries, url_filter, warc
 
 SF = "/root/testdata/sf0.001"
@@ -134,7 +135,7 @@ def test_ranges_are_coalesced():
 def test_url_filters_follow_the_list_in_time(spark, broadcast, monkeypatch):
     monkeypatch.setattr(url_filter, "BROADCAST_ROWS", broadcast)
     entries = [("bad.org", "add", date(2024, 1, 10)), ("bad.org", "remove", date(2024, 2, 1)), ("BAD.org", "add", date(2024, 3, 1)), ("x.ok.org/p/q", "add", date(2024, 1, 1)), ("bad.org", "add", date(2024, 1, 12)), ("late.org", "remove", date(2024, 1, 5)), (None, "add", date(2024, 1, 1)), ("null.org", "add", None), ("tie.org", "add", date(2024, 1, 1)), ("tie.org", "remove", date(2024, 1, 1)), ("a.bad.org", "add", date(2024, 1, 1)), ("Case.org/Foo", "add", date(2024, 1, 1))]
-    asks = [(1, "http://www.BAD.org/x", date(2024, 1, 9), False), (2, "http://www.bad.org:80/x", date(2024, 1, 10), True), (3, "http://bad.org", date(2024, 2, 1), False), (4, "https://u@bad.org/#f", date(2024, 3, 5), True), (5, "http://notbad.org/", date(2024, 1, 15), False), (6, "http://x.ok.org/p/q/r?z", date(2024, 1, 2), True), (7, "http://x.ok.org/p/qq", date(2024, 1, 2), False), (8, None, date(2024, 1, 15), False), (9, "no url", date(2024, 1, 15), False), (10, "http://bad.org/", None, False), (11, "http://tie.org/", date(2024, 5, 1), False), (12, "http://a.bad.org/", date(2024, 1, 15), True), (2, "http://www.bad.org:80/x", date(2024, 1, 10), True), (13, "http://case.ORG/Foo/a", date(2024, 1, 2), True), (14, "http://case.org/foo/a", date(2024, 1, 2), False)]
+    asks = [(1, "http://www.BAD.org/x", date(2024, 1, 9), False), (2, "http://www.bad.org:80/x", date(2024, 1, 10), True), (3, "http://bad.org", date(2024, 2, 1), False), (4, "https://u@bad.org/#f", date(2024, 3, 5), True), (5, "http://notbad.org/", date(2024, 1, 15), False), (6, "http://x.ok.org/p/q/r?z", date(2024, 1, 2), True), (7, "http://x.ok.org/p/qq", date(2024, 1, 2), False), (8, None, date(2024, 1, 15), False), (9, "no url", date(2024, 1, 15), False), (10, "http://bad.org/", None, False), (11, "http://tie.org/", date(2024, 5, 1), False), (12, "http://a.bad.org/", date(2024, 1, 15), True), (2, "http://www.bad.org:80/x", date(2024, 1, 10), True), (13, "http://case.ORG/Foo/a", date(2024, 1, 2), True), (14, "http://case.org/foo/a", date(2024, 1, 2), False), (15, "http://bad.org./y", date(2024, 1, 15), True), (16, "http://case.org./Foo", date(2024, 1, 2), True), (17, "http://./Foo", date(2024, 1, 2), False)]
     captures = spark.createDataFrame([(*a, "k") for a in asks], "page_id long, url string, fetched_at date, want boolean, key string")
     listed = spark.createDataFrame([(*e, "s") for e in entries], "pattern string, action string, dated date, since string")
     got = url_filter.filter_urls(captures, listed).collect()
@@ -144,6 +145,29 @@ def test_url_filters_follow_the_list_in_time(spark, broadcast, monkeypatch):
     assert url_filter.filter_urls(captures, listed.limit(0)).where("blocked").count() == 0
 
 
+def test_captures_without_a_url_are_not_joined(spark):
+    """One URL and no URL, a third of the rows each: rows without one stay out of the shuffle, the others come out once each."""
+    rows = spark.range(60_000).selectExpr("id as page_id", "case when id % 3 = 0 then null when id % 3 = 1 then 'http://bad.org/' else concat('http://h', id, '.org/') end as url", "date'2024-01-15' as fetched_at")
+    rows = materialize(rows, "captures")
+    listed = spark.createDataFrame([("bad.org", "add", date(2024, 1, 10))], "pattern string, action string, dated date")
+    got = url_filter.filter_urls(rows, listed)
+    assert got.groupBy("blocked").count().orderBy("blocked").collect() == [(False, 40_000), (True, 20_000)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedFilters: [IsNotNull(url), IsNotNull(fetched_at)]") == 1 and "PushedFilters: [Or(IsNull(url),IsNull(fetched_at))]" in plan
+
+
+def test_short_items_write_no_context(spark):
+    """An item of one word is settled by the word itself, one of two by the word beside it."""
+    docs = spark.createDataFrame([(1, "a b c d e f g " * 50), (2, "x a y"), (3, "e f")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a"), (2, "e f")], "item_id long, text string")
+    windows, _ = decontaminate.item_windows(items, 13)
+    keys = decontaminate.prefixes(docs, windows).select("key", "before", "after").distinct()
+    found = decontaminate.places(docs.withColumn("row", docs.doc_id), keys).where("place >= 0").collect()
+    assert len(found) == 102 and max(len(r.context) for r in found) == 2 and {len(r.context) for r in found if r.key == "a"} == {1}
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contaminated_words(docs, items).collect()}
+    assert got == {1: (150, ["1", "2"]), 2: (1, ["1"]), 3: (2, ["2"])}
+
+
 def test_licences_are_found_and_inherited(spark):
     filler = " ".join(f"w{i}" for i in range(3000))
     rows = [(1, "r/LICENSE", "Released under the MIT License."), (2, "r/a/x.py", filler), (3, "r/a/b/LICENSE.txt", f"{filler}\nLicensed under the Apache License, Version 2.0."), (4, "r/a/b/y.py", "text"), (5, "r/a/b/c/z.py", None), (6, "r/a/own.py", f"# Licensed under CC BY-NC 4.0\n{filler}"), (7, "s/x.py", "a license of some kind"), (8, None, "text"), (9, "top.py", ""), (4, "r/a/b/y.py", "text"), (10, "r/a/COPYING", "nothing")]
