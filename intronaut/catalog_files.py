@@ -107,11 +107,20 @@ def count_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def numers_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix of ``n`` with dotted sample names, read back as a map per row: its first and last cell."""
+    """The matrix of ``n`` with dotted sample names, read back as a map per row."""
     path = scratch_path(spark, "numers")
     writers.write_counts(_dotted(_counts(spark, sf_dir)), list(DOTTED.values()), path, "numers")
     cell = lambda s: F.col("cells")[DOTTED[s]].cast("long").alias(s)
-    return readers.read_rows(spark, path).select("id", cell("S0"), cell("S7"))
+    return readers.read_rows(spark, path).select("id", *map(cell, derived.SAMPLES))
+
+
+@_query
+def matrices_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrices whose headers differ, read as one: even clusters with all samples backwards, odd ones with every other sample."""
+    found, path = _counts(spark, sf_dir), scratch_path(spark, "matrices")
+    writers.write_counts(found.where("clu % 2 = 0"), derived.SAMPLES[::-1], f"{path}/even", "numers")
+    writers.write_counts(found.where("clu % 2 = 1 and sample in ('S0', 'S2', 'S4', 'S6')"), derived.SAMPLES[::2], f"{path}/odd")
+    return readers.read_matrix(spark, [f"{path}/even", f"{path}/odd"])
 
 
 @_query

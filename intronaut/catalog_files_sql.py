@@ -33,7 +33,8 @@ SQL: dict[str, str] = {
     "quantified_clusters": _with(ALL, "select clu, sample, count(*) as introns, cast(sum(n) as bigint) as n, max(tot) as tot from counts group by clu, sample"),
     "pooled_file": _with(", ".join([J, POOL, ISLANDS]), "select concat(chrom, ':', strand, ' ', string_agg(concat(a, ':', b, ':', n), ' ' order by a, b)) as value from islands group by chrom, strand, island having count(*) > 1"),
     "count_file": _with(ALL, f"select concat('clu_', clu, '_', strand) as clu, chrom, a, b, {DOT} as sample, n, tot from counts"),
-    "numers_file": _with(ALL, f"select {ID} as id, max(n) filter (sample = 'S0') as S0, max(n) filter (sample = 'S7') as S7 from counts group by all"),
+    "numers_file": _with(ALL, f"select {ID} as id, {', '.join(f"max(n) filter (sample = 'S{i}') as S{i}" for i in range(8))} from counts group by all"),
+    "matrices_file": _with(ALL, f"select {ID} as id, sample, case when clu % 2 = 0 then cast(n as varchar) else concat(n, '/', tot) end as value from counts where clu % 2 = 0 or sample in ('S0', 'S2', 'S4', 'S6')"),
     "sample_files": _with(ALL, f"select sample, concat({ID}, ' ', n, '/', tot) as value from counts union all select distinct sample, concat('chrom ', sample) from j"),
     "groups_file": f"with {GROUPS} select sample, grp, cast(age as varchar) as x1, batch as x2 from groups",
     "exons_file": _with(E, "select * from exons", False),

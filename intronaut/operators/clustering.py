@@ -37,12 +37,22 @@ def pool_introns(junctions: DataFrame, max_length: int = 100_000, min_reads: int
 def overlap_islands(introns: DataFrame) -> DataFrame:
     """Number the islands of overlapping closed intervals of each chromosome and strand from 1, as ``island``.
 
-    Introns are pooled before, so a window holds the distinct introns of one chromosome and strand: the genome bounds it, not the reads.
+    Introns are range-partitioned in the order of their starts, so a chromosome may go over many tasks. What they have to know of
+    the partitions before, how far their introns reach and how many islands they open, is one row per partition, chromosome and strand.
     """
-    order = Window.partitionBy("chrom", "strand").orderBy("a", "b")
-    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0)
-    return introns.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("opens")
+    columns, order = introns.columns, ["chrom", "strand", "a", "b"]
+    # written before, since a range exchange looks at its input twice
+    rows = materialize(introns, "introns").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialize(rows.withColumn("_at", F.monotonically_increasing_id()), "ordered_introns").withColumn("_part", F.shiftright("_at", 33))
+    keys = ["_part", "chrom", "strand"]
+    own = Window.partitionBy(*keys).orderBy("_at")
+    earlier = Window.partitionBy("chrom", "strand").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    reached = rows.groupBy(*keys).agg(F.max("b").alias("_last")).withColumn("_reach", F.max("_last").over(earlier)).drop("_last")
+    reach = F.greatest("_reach", F.max("b").over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    met = rows.join(F.broadcast(reached), keys).withColumn("_open", (reach.isNull() | (F.col("a") > reach)).cast("int"))
+    opened = met.groupBy(*keys).agg(F.sum("_open").alias("_all")).withColumn("_before", F.coalesce(F.sum("_all").over(earlier), F.lit(0))).drop("_all")
+    island = F.col("_before") + F.sum("_open").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return met.join(F.broadcast(opened), keys).select(*columns, island.cast("long").alias("island"))
 
 
 def large_islands(islands: DataFrame, min_introns: int = 2, min_reads: int = 30) -> DataFrame:
@@ -69,12 +79,14 @@ def _groups(members: Column) -> Column:
     return F.aggregate(members, F.array().cast(kind), add)
 
 
-def linked_components(islands: DataFrame, *within: str) -> DataFrame:
+def linked_components(islands: DataFrame, *within: str, folded: bool = False) -> DataFrame:
     """Components of introns that share a coordinate, inside each island (and ``within``); those of two or more stay.
 
-    ``component`` numbers them in the island from 1 in the order of their first intron.
+    ``component`` numbers them in the island from 1 in the order of their first intron. ``folded`` says that no island has more than ``FOLDED`` introns.
     """
     keys = ["chrom", "strand", "island", *within]
+    if folded:
+        return _folded_components(islands, keys)
     sized = islands.withColumn("_introns", F.count("*").over(Window.partitionBy(*keys)))
     small = _folded_components(sized.where(F.col("_introns") <= FOLDED).drop("_introns"), keys)
     large = sized.where(F.col("_introns") > FOLDED).select(*keys, "a", "b", "n")
@@ -105,14 +117,14 @@ def _folded_components(islands: DataFrame, keys: list[str]) -> DataFrame:
     return numbered.select(*keys, (F.col("component") + 1).cast("long").alias("component"), F.inline("introns"))
 
 
-def refine(components: DataFrame, min_ratio: float = 0.001, min_reads: int = 30) -> DataFrame:
+def refine(components: DataFrame, min_ratio: float = 0.001, min_reads: int = 30, folded: bool = False) -> DataFrame:
     """Drop introns with a small share of their component or few reads, link what is left again.
 
     One pass is the fixed point: shares only grow when introns go, so none fails a second time.
     """
     total = F.sum("n").over(Window.partitionBy("chrom", "strand", "island", "component"))
     kept = components.withColumn("total", total).where((F.col("n") / F.col("total") >= min_ratio) & (F.col("n") >= min_reads)).drop("total")
-    again = linked_components(kept.withColumnRenamed("component", "parent"), "parent")
+    again = linked_components(kept.withColumnRenamed("component", "parent"), "parent", folded=folded)
     return again.withColumnRenamed("component", "part")
 
 
@@ -126,7 +138,9 @@ def number_clusters(refined: DataFrame) -> DataFrame:
 def cluster_introns(junctions: DataFrame, max_length: int = 100_000, min_cluster_reads: int = 30, min_ratio: float = 0.001, min_reads: int | None = None) -> DataFrame:
     """Junctions -> (clu, chrom, strand, a, b, n); ``min_reads`` per intron is the cluster's minimum unless given."""
     islands = materialize(large_islands(overlap_islands(pool_introns(junctions, max_length)), 2, min_cluster_reads), "islands")
-    return number_clusters(refine(linked_components(islands), min_ratio, min_cluster_reads if min_reads is None else min_reads))
+    # asked once, of a written table: what is left of an island is no larger than the island
+    folded = islands.groupBy("chrom", "strand", "island").count().where(F.col("count") > FOLDED).isEmpty()
+    return number_clusters(refine(linked_components(islands, folded=folded), min_ratio, min_cluster_reads if min_reads is None else min_reads, folded))
 
 
 def constitutive_introns(junctions: DataFrame, max_length: int = 100_000, min_reads: int = 30) -> DataFrame:

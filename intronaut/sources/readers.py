@@ -60,25 +60,26 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     return introns.select("clu", F.get("h", F.lit(0)).alias("chrom"), F.get("h", F.lit(1)).alias("strand"), number(0).alias("a"), number(1).alias("b"), number(2).alias("n"))
 
 
-def read_matrix(spark: SparkSession, path: str, skip: str = "#") -> DataFrame:
-    """A matrix of text cells as (id, sample, value) rows.
+def read_matrix(spark: SparkSession, path: str | list[str], skip: str = "#") -> DataFrame:
+    """Matrices of text cells as (id, sample, value) rows, from any number of files.
 
-    The first line that does not begin with ``skip`` names the samples, with or without a name for the id column;
-    short rows have no value for the last samples.
+    The first line of a file that does not begin with ``skip`` names its samples, with or without a name for the id column,
+    so files may have other samples or another order of them; a line that repeats the header of its file is one too. Short rows have a null for the last samples.
+    The headers, one row for each file of the listing, are found in a scan of their own and sent to all tasks.
     """
-    lines = spark.read.text(path).where(~F.col("value").startswith(skip)) if skip else spark.read.text(path)
-    header = lines.first()
-    names = header.value.split() if header else []
-    rows = lines.where(F.col("value") != (header.value if header else "")).withColumn("p", F.split(F.trim("value"), r"\s+"))
-    width = rows.agg(F.max(F.size("p"))).first()[0] or 0
-    samples = names[1:] if len(names) == width else names
-    cell = F.posexplode(F.slice("p", F.lit(2), F.size("p")))
-    listed = F.array(*[F.lit(s) for s in samples]) if samples else F.array().cast("array<string>")
-    return rows.select(_part(0).alias("id"), cell.alias("i", "value")).select("id", F.get(listed, F.col("i")).alias("sample"), "value")
-
-
-def read_rows(spark: SparkSession, path: str, skip: str = "#") -> DataFrame:
-    """A table of text cells as (id, cells): a map from column to cell for each row; short rows lack the last columns."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"))
+    lines = lines.where((F.trim("value") != "") & ~F.col("value").startswith(skip)) if skip else lines.where(F.trim("value") != "")
+    cells = F.split(F.trim("value"), r"\s+")
+    heads = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"), F.max(F.size(cells)).alias("width"))
+    names = F.split(F.trim("header"), r"\s+")
+    samples = F.when(F.size(names) == F.col("width"), F.slice(names, F.lit(2), F.size(names))).otherwise(names)
+    rows = lines.join(F.broadcast(heads.select("file", "header", samples.alias("samples"))), "file").where(F.col("value") != F.col("header")).withColumn("p", cells)
+    listed = F.transform("samples", lambda s, i: F.struct(s.alias("sample"), F.get("p", i + 1).alias("value")))
+    return rows.select(_part(0).alias("id"), F.explode(listed).alias("c")).select("id", "c.sample", "c.value")
+
+
+def read_rows(spark: SparkSession, path: str | list[str], skip: str = "#") -> DataFrame:
+    """A table of text cells as (id, cells): a map from column to cell for each row; short rows have a null in the last columns."""
     cells = read_matrix(spark, path, skip)
     return cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("sample", "value"))).alias("cells"))
 
@@ -90,7 +91,7 @@ def read_chromosomes(spark: SparkSession, path: str | None = None) -> list[str]:
     return [r.value.strip() for r in spark.read.text(path).where(F.trim("value") != "").collect()]
 
 
-def read_counts(spark: SparkSession, path: str) -> DataFrame:
+def read_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(clu, chrom, a, b, sample, n, tot) from a matrix of counts or of ``n/tot`` cells; ``clu`` is the name in the id."""
     cells = read_matrix(spark, path)
     part = lambda i: F.split_part("id", F.lit(":"), F.lit(i))

@@ -100,3 +100,24 @@ def test_nulls_empty_tables_and_further_columns(spark):
     assert {(r["sample"], r.b): (r.n, r.tot) for r in table.collect()} == {("S0", 200): (40, 80), ("S0", 300): (40, 80), ("S1", 200): (0, 40), ("S1", 300): (40, 40)}
     empty = clustering.cluster_introns(j.limit(0))
     assert empty.count() == 0 and counts.perind_counts(empty, j.limit(0).drop("clu")).count() == 0
+
+
+def test_islands_of_one_chromosome_over_many_partitions(spark):
+    """Long introns reach over the borders of partitions; numbers go on from one to the next."""
+    rng = random.Random(9)
+    rows = {("chr1" if rng.random() < 0.9 else "chr2", rng.choice("+-"), a := rng.randrange(200_000), a + rng.choice([5, 60, 400, 30_000 if rng.random() < 0.02 else 90])) for _ in range(3000)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = clustering.overlap_islands(spark.createDataFrame([(*r, 1) for r in rows], "chrom string, strand string, a long, b long, n long")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, reach, number = {}, {}, {}
+    for chrom, strand, a, b in sorted(rows):
+        key = (chrom, strand)
+        number[key] = number.get(key, 0) + (a > reach.get(key, -1))
+        reach[key] = max(reach.get(key, -1), b)
+        want[chrom, strand, a, b] = number[key]
+    assert {(r.chrom, r.strand, r.a, r.b): r.island for r in got} == want and max(want.values()) > 100

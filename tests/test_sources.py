@@ -1,6 +1,5 @@
 import gzip
 
-import pandas as pd
 import pytest
 
 from intronaut.plans import pipelines
@@ -39,7 +38,10 @@ def test_clusters_round_trip(spark, tmp_path):
 def test_matrix_and_groups(spark, tmp_path):
     p = write(tmp_path / "m", "# note", "chrom S0 S1", "chr1:10:20:clu_1 3/5 0/5", "chr1:10:30:clu_1 2/5")
     got = {(r.a, r.b, r["sample"]): (r.n, r.tot) for r in readers.read_counts(spark, p).collect()}
-    assert got == {(10, 20, "S0"): (3, 5), (10, 20, "S1"): (0, 5), (10, 30, "S0"): (2, 5)}
+    assert got == {(10, 20, "S0"): (3, 5), (10, 20, "S1"): (0, 5), (10, 30, "S0"): (2, 5), (10, 30, "S1"): (None, None)}
+    other = write(tmp_path / "m2", "S1 S2 S0", "chr1:10:20:clu_2 1/2 3/4 5/6")
+    both = readers.read_counts(spark, [p, other]).where("clu = 'clu_2'").collect()
+    assert {r["sample"]: (r.n, r.tot) for r in both} == {"S1": (1, 2), "S2": (3, 4), "S0": (5, 6)}
     g = readers.read_groups(spark, write(tmp_path / "g", "S0 A 1.5", "S1 B 2"))
     assert [tuple(r) for r in g.collect()] == [("S0", "A", "1.5"), ("S1", "B", "2")]
 
@@ -115,7 +117,7 @@ def test_workflow_from_junctions_to_annotated_results(spark):
             rows.append(("chr1", "+", f"S{s}", a, b, int(n)))
     j = spark.createDataFrame(rows, "chrom string, strand string, sample string, a long, b long, n long")
     clusters, table = pipelines.junctions_to_counts(j)
-    groups = pd.DataFrame({"sample": [f"S{i}" for i in range(8)], "grp": ["A"] * 4 + ["B"] * 4})
+    groups = spark.createDataFrame([(f"S{i}", "A" if i < 4 else "B") for i in range(8)], "sample string, grp string")
     exons = spark.createDataFrame([("chr1", 50, 100, "+", "G"), ("chr1", 200, 300, "+", "G"), ("chr1", 400, 500, "+", "G")], "chr string, start_pos long, end_pos long, strand string, gene_name string")
     tested, effects = pipelines.differential_splicing(table, groups, exons, min_samples_per_group=3)
     r = tested.first()
