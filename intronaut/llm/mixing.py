@@ -22,6 +22,8 @@ from intronaut.scratch import materialize
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
+#: Rows of small numbers (and a name of a source) that are broadcast.
+BROADCAST_PIECES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,8 +72,8 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 def _with_copies(sized: DataFrame, *ties: str, wide: bool = False) -> DataFrame:
     """Rows of ``sized`` (doc_id, source, size and others) as ``d``, with source_size, target and their own copies.
 
-    Rows equal in these three are ordered by ``ties``. Of ``wide`` rows only the place goes on to the ranking's
-    other side: the pieces, a row per source and partition, are sent to them.
+    Rows equal in these three are ordered by ``ties``. To ``wide`` rows the pieces, a row per source and partition, are
+    sent where they are at most ``BROADCAST_PIECES``; beyond, rows and pieces meet by a shuffle.
     """
     order = [F.asc_nulls_last("source"), F.asc("size"), F.asc_nulls_last("doc_id"), *(F.asc(c) for c in ties)]
     ordered = sized.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -82,7 +84,9 @@ def _with_copies(sized: DataFrame, *ties: str, wide: bool = False) -> DataFrame:
     pieces = pieces.select("source", "part", "first", before.alias("before"))
     goal = targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")))
     pieces = pieces.alias("p").join(goal.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.*", "source_size", "target", offset_of(F.col("p.source")).alias("offset"))
-    pieces = F.broadcast(pieces) if wide else pieces
+    if wide:
+        pieces = materialize(pieces, "pieces")
+        pieces = F.broadcast(pieces) if pieces.count() <= BROADCAST_PIECES else pieces
     ranked = placed.withColumn("part", part).alias("d").join(pieces.alias("p"), (F.col("d.part") == F.col("p.part")) & F.col("d.source").eqNullSafe(F.col("p.source")))
     rank = F.col("before") + F.col("at") - F.col("first")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
