@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from intronaut.catalog import Query, _clusters, _counts, _known, _rounded, _sam
@@ -132,6 +132,17 @@ def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(paths).select(F.regexp_extract("_metadata.file_path", "sample=([^/]+)", 1).alias("sample"), "value")
 
 
+@_query
+def sample_files_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each line in the count file of its sample; lines of one place on both strands share the first of theirs."""
+    path = scratch_path(spark, "samples")
+    writers.write_sample_files(_counts(spark, sf_dir), path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(f"{path}/files").select("sample", "value", place.alias("place"))
+    lines = lines.withColumn("place", F.row_number().over(Window.partitionBy("sample").orderBy("place")).cast("long"))
+    return lines.select("sample", "value", F.min("place").over(Window.partitionBy("sample", F.substring_index("value", ":", 3))).alias("place"))
+
+
 @_query
 def groups_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples, groups and covariates from a file without header."""

@@ -36,6 +36,9 @@ SQL: dict[str, str] = {
     "numers_file": _with(ALL, f"select {ID} as id, {', '.join(f"max(n) filter (sample = 'S{i}') as S{i}" for i in range(8))} from counts group by all"),
     "matrices_file": _with(ALL, f"select {ID} as id, sample, case when clu % 2 = 0 then cast(n as varchar) else concat(n, '/', tot) end as value from counts where clu % 2 = 0 or sample in ('S0', 'S2', 'S4', 'S6')"),
     "sample_files": _with(ALL, f"select sample, concat({ID}, ' ', n, '/', tot) as value from counts union all select distinct sample, concat('chrom ', sample) from j"),
+    "sample_files_order": _with(ALL, f"""select sample, value, rank() over (partition by sample order by k nulls first, x, y) as place from (
+      select sample, chrom as k, cast(a as varchar) as x, cast(b as varchar) as y, concat({ID}, ' ', n, '/', tot) as value from counts
+      union all select distinct sample, null, null, null, concat('chrom ', sample) from j)"""),
     "groups_file": f"with {GROUPS} select sample, grp, cast(age as varchar) as x1, batch as x2 from groups",
     "exons_file": _with(E, "select * from exons", False),
     "gtf_exons": _with(GTF, "select distinct chr, start_pos, end_pos, strand, coalesce(name, gene_id) as gene_name from gtf where feature = 'exon'", False),

@@ -99,6 +99,20 @@ def qq_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_suppkey", *((F.round(c, 9) + 0.0).alias(c) for c in ("observed", "expected")))
 
 
+@_query
+def qq_points_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed and expected p-values of all suppliers together."""
+    found = plotdata.qq_points(_pvalues(spark, sf_dir), "p")
+    return found.select(*((F.round(c, 9) + 0.0).alias(c) for c in ("observed", "expected")))
+
+
+@_query
+def outlier_few_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits stopped after twelve steps: which clusters have come to an end, and how far the others are."""
+    found = outlier.share_parameters(outlier.cluster_counts(_some_clusters(spark, sf_dir)), rounds=12)
+    return _rounded(found, 4, "loglik").select("clu", "loglik", "status")
+
+
 @_query
 def gene_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exons of a gene once, without long ones."""

@@ -94,7 +94,7 @@ def _series(f: str) -> str:
     return re.sub(r"(?<![\w.])(\d[\d.]*(?:e-?\d+)?)D", r"\1::double", f)
 
 
-def _fitted() -> str:
+def _fitted(rounds: int = 60) -> str:
     """CTE ``fit``: parameters of each cluster by damped Newton steps, the system solved as a diagonal less one product of vectors."""
     change = lambda f: f"list_transform(range(1, k + 1), lambda j: list_sum(list_transform(rows, lambda r: {_series(f('(a[j] + r[j])'))} - {_series(f('a[j]'))})))"
     overall = lambda f: f"list_sum(list_transform(totals, lambda n: {_series(f('s'))} - {_series(f('(s + n)'))}))"
@@ -122,7 +122,7 @@ fit as (
       from (select *, {each("- a[j] * a[j] * d2[j] - ng[j]")} as nq
       from (select *, {each("a[j] * (d + d1[j])")} as ng
       from (select *, {overall(lg)} + list_sum({change(lg)}) as nv, {overall(digamma)} as d, {overall(trigamma)} as nz, {change(digamma)} as d1, {change(trigamma)} as d2
-      from (select *, list_sum(a) as s from (select fit.* exclude (i), i + 1 as i, k, rows, totals, {each("exp(trial[j])")} as a from fit join obs using (clu) where not done and i < 60)))))))))))),
+      from (select *, list_sum(a) as s from (select fit.* exclude (i), i + 1 as i, k, rows, totals, {each("exp(trial[j])")} as a from fit join obs using (clu) where not done and i < {rounds})))))))))))),
 ends as (select clu, arg_max(t, i) as t, arg_max(v, i) as v, bool_or(done) as converged from fit group by clu)"""
 
 
@@ -152,6 +152,7 @@ SQL: dict[str, str] = {
     "exon_gaps": _with(E, """select gene_name, low, high from (select gene_name, start_pos as high, max(end_pos) over (partition by gene_name order by start_pos, end_pos rows between unbounded preceding and 1 preceding) as low from exons)
       join (select gene_name, max(end_pos) - min(start_pos) as total from exons group by gene_name) using (gene_name) where low < high and high - low > 0.1 * total""", False),
     "qq_points": _with(PVALUES, "select l_suppkey, round(-log10(p), 9) + 0.0::double as observed, round(-log10((row_number() over (partition by l_suppkey order by p) - 0.5) / count(*) over (partition by l_suppkey)), 9) + 0.0::double as expected from pv where p is not null", False),
+    "qq_points_all": _with(PVALUES, "select round(-log10(p), 9) + 0.0::double as observed, round(-log10((row_number() over (order by p) - 0.5) / count(*) over ()), 9) + 0.0::double as expected from pv where p is not null", False),
     "gene_exons": _with(E, "select * from (select chr, start_pos, cast(end_pos + ((start_pos / 100) % 7 + 7) % 7 * 150 as bigint) as end_pos, strand, gene_name from exons) where end_pos - start_pos <= 1000", False),
     "group_sizes": _with(GROUPS, "select grp, count(*) as samples from groups group by grp", False),
     "cluster_sizes": _with(CLUSTERS, "select clu, count(*) as size from clu group by clu"),
@@ -169,6 +170,7 @@ shared as (select distinct c.clu, c.chrom, c.a, c.b, c.strand, s.transcript from
     "outlier_testable": _with(ALL, "select clu from (select clu, count(distinct (a, b)) as size from counts group by clu) join (select clu, count(*) filter (t >= 50) as covered from (select clu, sample, sum(n) as t from counts group by all) group by clu) using (clu) where size between 2 and 6 and covered >= 2"),
     "outlier_fit": _with(ALL + "," + _fitted() + AT_FIT, "select clu, a, b, sample, round(p, 4) as p, round(effect, 4) as effect, round(share, 9) as share, round(mean_share, 4) as mean_share from tails"),
     "outlier_parameters": _with(ALL + "," + _fitted(), "select clu, round(v, 4) as loglik, case when converged then 'Success' else 'timeout' end as status from ends"),
+    "outlier_few_rounds": _with(ALL + "," + _fitted(12), "select clu, round(v, 4) as loglik, case when converged then 'Success' else 'timeout' end as status from ends"),
     "outlier_tails": _with(ALL + "," + SMOOTH, "select clu, a, b, sample, round(p, 6) as p, round(effect, 9) as effect from tails"),
     "outlier_clusters": _with(ALL + "," + SMOOTH, "select clu, sample, round(1 - pow(1 - min(p), count(*)), 5) as p from tails group by clu, sample"),
     "design_matrix": _with(GROUPS, "select sample, case when grp = 'A' then 0.0::double else 1.0 end as \"group\", round((age - avg(age) over ()) / stddev_samp(age) over (), 9) as age, (batch = 'b1')::int::double as batchb1 from groups", False),

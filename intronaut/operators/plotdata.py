@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from intronaut.functions.ordering import numbered
 from intronaut.functions.products import column_products
+from intronaut.scratch import materialize
 
 
 def plot_coords(introns: DataFrame, *by: str) -> DataFrame:
@@ -138,7 +140,14 @@ def scores_with_meta(scores: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def qq_points(table: DataFrame, p: str, *by: str) -> DataFrame:
-    """Observed against expected -log10 p-values, ``(i - 0.5) / n`` for the i-th."""
+    """Observed against expected -log10 p-values, ``(i - 0.5) / n`` for the i-th.
+
+    Without ``by`` the places come from range partitions, so no task sees all p-values.
+    """
+    if not by:
+        known = materialize(table.where(F.col(p).isNotNull()).select(F.col(p).alias("p")), "p_values")
+        n = known.count()
+        return numbered(known, "i", "p").select((-F.log10("p")).alias("observed"), (-F.log10((F.col("i") - 0.5) / F.lit(n))).alias("expected"))
     w = Window.partitionBy(*by)
     i = F.row_number().over(w.orderBy(p))
     return table.where(F.col(p).isNotNull()).select(*by, (-F.log10(p)).alias("observed"), (-F.log10((i - 0.5) / F.count("*").over(w))).alias("expected"))
