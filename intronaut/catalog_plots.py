@@ -108,8 +108,8 @@ def qq_points_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def outlier_few_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fits stopped after twelve steps: which clusters have come to an end, and how far the others are."""
-    found = outlier.share_parameters(outlier.cluster_counts(_some_clusters(spark, sf_dir)), rounds=12)
+    """Fits stopped after five steps: which clusters have come to an end, and how far the others are."""
+    found = outlier.share_parameters(outlier.cluster_counts(_some_clusters(spark, sf_dir)), rounds=5)
     return _rounded(found, 4, "loglik").select("clu", "loglik", "status")
 
 

@@ -170,7 +170,7 @@ shared as (select distinct c.clu, c.chrom, c.a, c.b, c.strand, s.transcript from
     "outlier_testable": _with(ALL, "select clu from (select clu, count(distinct (a, b)) as size from counts group by clu) join (select clu, count(*) filter (t >= 50) as covered from (select clu, sample, sum(n) as t from counts group by all) group by clu) using (clu) where size between 2 and 6 and covered >= 2"),
     "outlier_fit": _with(ALL + "," + _fitted() + AT_FIT, "select clu, a, b, sample, round(p, 4) as p, round(effect, 4) as effect, round(share, 9) as share, round(mean_share, 4) as mean_share from tails"),
     "outlier_parameters": _with(ALL + "," + _fitted(), "select clu, round(v, 4) as loglik, case when converged then 'Success' else 'timeout' end as status from ends"),
-    "outlier_few_rounds": _with(ALL + "," + _fitted(12), "select clu, round(v, 4) as loglik, case when converged then 'Success' else 'timeout' end as status from ends"),
+    "outlier_few_rounds": _with(ALL + "," + _fitted(5), "select clu, round(v, 4) as loglik, case when converged then 'Success' else 'timeout' end as status from ends"),
     "outlier_tails": _with(ALL + "," + SMOOTH, "select clu, a, b, sample, round(p, 6) as p, round(effect, 9) as effect from tails"),
     "outlier_clusters": _with(ALL + "," + SMOOTH, "select clu, sample, round(1 - pow(1 - min(p), count(*)), 5) as p from tails group by clu, sample"),
     "design_matrix": _with(GROUPS, "select sample, case when grp = 'A' then 0.0::double else 1.0 end as \"group\", round((age - avg(age) over ()) / stddev_samp(age) over (), 9) as age, (batch = 'b1')::int::double as batchb1 from groups", False),
