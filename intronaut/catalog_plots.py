@@ -198,14 +198,24 @@ def bb_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_some_clusters(spark, sf_dir).groupBy("clu", "a", "b").agg(F.expr(value).alias("loglik")), 5, "loglik")
 
 
-@_query
-def bb_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beta-binomial tests of the first intron of every testable cluster against its others: one concentration, two categories."""
+def _two_categories(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     found = _some_clusters(spark, sf_dir)
     first = found.groupBy("clu").agg(F.min("a").alias("first"))
     two = found.join(first, "clu").select("clu", F.when(F.col("a") == F.col("first"), 1).otherwise(2).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "sample", "n", "tot").groupBy("clu", "a", "b", "sample").agg(F.sum("n").alias("n"), F.first("tot").alias("tot"))
-    fits = differential.differential_usage(two, derived.groups(spark, sf_dir).select("sample", "grp"), max_size=2, min_samples_per_group=3, multi=False)
-    return fits.where("introns is not null").select("clu", "df", F.size("introns").cast("long").alias("introns"), (F.col("loglr") > -1e-6).alias("better"))
+    fits = differential.differential_usage(two, derived.groups(spark, sf_dir).select("sample", "grp"), max_size=2, min_samples_per_group=3, multi=False, **options)
+    return fits.where("introns is not null")
+
+
+@_query
+def bb_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beta-binomial tests of the first intron of every testable cluster against its others: one concentration, two categories."""
+    return _rounded(_two_categories(spark, sf_dir).select("clu", "status", "df", "loglr", "p", F.get("introns", F.lit(0))["deltapsi"].alias("deltapsi")), 3, "loglr", "p", "deltapsi")
+
+
+@_query
+def bb_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tests where a sample may be an outlier with flat shares."""
+    return _rounded(_two_categories(spark, sf_dir, robust=True).select("clu", "status", "df", "loglr", "p"), 3, "loglr", "p")
 
 
 @_query

@@ -126,6 +126,49 @@ fit as (
 ends as (select clu, arg_max(t, i) as t, arg_max(v, i) as v, bool_or(done) as converged from fit group by clu)"""
 
 
+def _two_categories() -> str:
+    """CTEs ``ends``: log posterior and logits of the first category, without and with a group, one concentration for both groups.
+
+    The system of a Newton step is that of the logits, which don't know of each other, bordered by the concentration.
+    """
+    each = lambda e: f"list_transform(range(1, len(gs) + 1), lambda i: {e})"
+    change = lambda f, a, y: each(f"list_sum(list_transform(gs[i], lambda r: {_series(f(f'({a} + {y})'))} - {_series(f(a))}))")
+    overall = lambda f: each(f"list_sum(list_transform(gs[i], lambda r: {_series(f('c'))} - {_series(f('(c + r[1] + r[2])'))}))")
+    lg = lambda x: f"lgamma({x})"
+    return f"""
+pairs as (select clu, sample, grp, [coalesce(sum(n) filter (a = 1), 0)::double, coalesce(sum(n) filter (a = 2), 0)::double] as y from two join status using (clu) join groups using (sample) group by all having sum(n) > 0),
+given as (
+  select clu, false as grouped, [list(y order by sample)] as gs from pairs group by clu
+  union all select clu, true, [list(y order by sample) filter (grp = 'A'), list(y order by sample) filter (grp = 'B')] from pairs group by clu),
+fit as (
+  select clu, grouped, 0 as step, gs, {each("ln((list_sum(list_transform(gs[i], lambda r: r[1])) + 0.5::double) / (list_sum(list_transform(gs[i], lambda r: r[2])) + 0.5::double))")} as e1, ln(10.0::double) as g1,
+         cast(null as double[]) as e, cast(null as double) as g, '-inf'::double as v, 0.01::double as damping, false as done, cast(null as double[]) as de, cast(null as double[]) as he, cast(null as double[]) as k, cast(null as double) as dg, cast(null as double) as hg
+  from given
+  union all
+  select clu, grouped, step, gs, case when good then {each("e[i] + least(greatest((de[i] - k[i] * move) / h[i], -3.0::double), 3.0::double)")} else e end, case when good then least(greatest(g + least(greatest(move, -3.0::double), 3.0::double), -20.0::double), 20.0::double) else g end,
+         e, g, v, case when good or done then damping else greatest(damping * 20, 0.001::double) end, done, de, he, k, dg, hg
+  from (select *, not done and s > 0 and len(list_filter(h, lambda x: x <= 0)) = 0 as good, (dg - list_sum({each("k[i] * de[i] / h[i]")})) / s as move
+  from (select *, hd - list_sum({each("k[i] * k[i] / h[i]")}) as s
+  from (select *, {each("he[i] + damping * (abs(he[i]) + 1e-6::double) + 1e-9::double")} as h, hg + damping * (abs(hg) + 1e-6::double) + 1e-9::double as hd
+  from (
+    select clu, grouped, step, gs, case when better then e1 else e end as e, case when better then g1 else g end as g, case when better then nv else v end as v,
+           case when better then nde else de end as de, case when better then nhe else he end as he, case when better then nk else k end as k, case when better then ndg else dg end as dg, case when better then nhg else hg end as hg,
+           (better and nv - v < 1e-7::double and damping < 0.001::double) or (not better and damping > 1e9) as done,
+           case when better then greatest(damping / 5, 1e-7::double) else greatest(damping * 4, 0.001::double) end as damping
+    from (select *, coalesce(nv >= v - 1e-9::double and not isnan(nv), false) as better
+    from (select *, list_sum(ll) + 0.0001::double * g1 - 0.0001::double * c as nv, {each("c * q[i] * (1 - q[i]) * (u1[i] - u2[i])")} as nde,
+                 {each("-(c * c * q[i] * q[i] * (1 - q[i]) * (1 - q[i]) * (t1[i] + t2[i]) + c * q[i] * (1 - q[i]) * (1 - 2 * q[i]) * (u1[i] - u2[i]))")} as nhe,
+                 {each("-c * q[i] * (1 - q[i]) * (u1[i] - u2[i] + a1[i] * t1[i] - a2[i] * t2[i])")} as nk,
+                 list_sum({each("a1[i] * u1[i] + a2[i] * u2[i] + c * w[i]")}) + 0.0001::double - 0.0001::double * c as ndg,
+                 -list_sum({each("a1[i] * u1[i] + a2[i] * u2[i] + c * w[i] + a1[i] * a1[i] * t1[i] + a2[i] * a2[i] * t2[i] + c * c * z[i]")}) + 0.0001::double * c as nhg
+    from (select *, {each("l0[i] + l1[i] + l2[i]")} as ll
+    from (select *, {overall(lg)} as l0, {change(lg, "a1[i]", "r[1]")} as l1, {change(lg, "a2[i]", "r[2]")} as l2, {overall(digamma)} as w, {overall(trigamma)} as z,
+                 {change(digamma, "a1[i]", "r[1]")} as u1, {change(digamma, "a2[i]", "r[2]")} as u2, {change(trigamma, "a1[i]", "r[1]")} as t1, {change(trigamma, "a2[i]", "r[2]")} as t2
+    from (select *, {each("c * q[i]")} as a1, {each("c * (1 - q[i])")} as a2
+    from (select fit.* exclude (step), step + 1 as step, {each("1 / (1 + exp(-e1[i]))")} as q, exp(g1) as c from fit where not done and step < 60))))))))))),
+ends as (select clu, grouped, arg_max(e, step) as e, arg_max(v, step) as v, bool_or(done) as converged from fit group by clu, grouped)"""
+
+
 # the shares of the smoothed twin, at fitted parameters
 AT_FIT = """,
 named as (select clu, a, b, row_number() over (partition by clu order by a, b) as j from (select distinct clu, a, b from wide)),
@@ -177,7 +220,8 @@ shared as (select distinct c.clu, c.chrom, c.a, c.b, c.strand, s.transcript from
     "dm_loglik": _with(ALL, """select clu, round(sum(ll), 5) as loglik from (
       select clu, sample, lgamma(12) - lgamma(12 + sum(n)) + sum(lgamma(12.0::double / k + n) - lgamma(12.0::double / k)) as ll from (select *, count(*) over (partition by clu, sample) as k from counts) group by clu, sample) group by clu"""),
     "bb_loglik": _with(ALL, "select clu, a, b, round(sum(lgamma(7 * 0.4::double + n) - lgamma(7 * 0.4::double) + lgamma(7 * 0.6::double + tot - n) - lgamma(7 * 0.6::double) + lgamma(7) - lgamma(7 + tot)), 5) as loglik from counts group by clu, a, b"),
-    "bb_fit": _with(", ".join([ALL, GROUPS]) + TWO + TESTABLE.format(size=2).replace("counts", "two"), "select clu, 1 as df, 2 as introns, true as better from status"),
+    "bb_fit": _with(", ".join([ALL, GROUPS]) + TWO + TESTABLE.format(size=2).replace("counts", "two") + "," + _two_categories(), """select clu, status, 1 as df, round(h, 3) as loglr, round(case when h <= 0 then 1 else 1 - (select sum(exp(-h + (i + 0.5::double) * ln(h) - lgamma(i + 1.5::double))) from range(400) t(i)) end, 3) as p, round(shift, 3) as deltapsi
+      from (select clu, case when bool_and(converged) then 'Success' else 'timeout' end as status, max(v) filter (grouped) - max(v) filter (not grouped) as h, 1 / (1 + exp(-any_value(e[2]) filter (grouped))) - 1 / (1 + exp(-any_value(e[1]) filter (grouped))) as shift from ends group by clu)"""),
     "ds_identities": _with(FIT.format(size=10), "select clu, k - 1 as df, k as introns, true as p_fits, true as sums, true as better from used"),
     "ds_single_concentration": _with(FIT.format(size=10), "select clu, k - 1 as df from used"),
     # even degrees by a finite sum of Poisson terms, odd ones by the complement of a series of the incomplete gamma function
