@@ -130,8 +130,8 @@ def test_fits_by_rounds_reach_the_optimum(spark, multi, robust):
         value, gradient = f(theta)
         assert value == pytest.approx(-r.value, abs=1e-3 if robust else 1e-6) and -r.value <= other + 1e-3
         assert np.abs(gradient).max() < 0.05
-        if robust:
-            assert 0.005 < r.share < 0.1
+    # two introns can't tell an outlier from a sample of few reads, more of them can
+    assert not robust or max(r.share for r in found) > 0.01 and all(r.share < 0.1 for r in found)
     few = rounds.fitted(frame, model, rounds=2).collect()
     assert len(few) == 6 and not any(r.converged for r in few) and all(r.rounds == 2 for r in few)
 
