@@ -338,13 +338,13 @@ def constitutive_scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def library_qc_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Library checks where three samples lack a chromosome."""
-    return counts.library_qc(derived.junctions(spark, sf_dir).where("not (sample in ('S1', 'S4', 'S6') and chrom = 'chr3')"))
+    return counts.library_qc(derived.junctions(spark, sf_dir).withColumn("chrom", F.expr("if(sample in ('S1', 'S4', 'S6') and chrom = 'chr3', 'chr2', chrom)")))
 
 
 @_query
 def common_chroms_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chromosomes that all samples have where one sample lacks two."""
-    return counts.common_chroms(derived.junctions(spark, sf_dir).where("not (sample = 'S2' and chrom in ('chr1', 'chr4'))"))
+    return counts.common_chroms(derived.junctions(spark, sf_dir).withColumn("chrom", F.expr("if(sample = 'S2' and chrom in ('chr1', 'chr4'), 'chr2', chrom)")))
 
 
 @_query
