@@ -21,17 +21,20 @@ def plot_coords(introns: DataFrame, *by: str) -> DataFrame:
 def invert_mapping(points: DataFrame, knots: DataFrame, *by: str) -> DataFrame:
     """Points (by, position) in the coordinates of knots (by, position, coord): linear between knots, the outer
     knots' coordinate beyond them.
+
+    Points and knots are sorted together; the last knot is carried forward and, in the opposite order, the next one backward.
     """
-    w = Window.partitionBy(*by).orderBy("position")
-    pieces = knots.withColumn("next", F.lead("position").over(w)).withColumn("next_coord", F.lead("coord").over(w)).withColumnRenamed("position", "knot")
-    first = F.row_number().over(Window.partitionBy(*by).orderBy("knot")) == 1
-    pieces = pieces.withColumn("first", first)
-    inside = (F.col("position") >= F.col("knot")) & (F.col("next").isNull() | (F.col("position") < F.col("next")))
-    before = F.col("first") & (F.col("position") < F.col("knot"))
-    met = points.distinct().join(pieces, list(by)).where(inside | before)
-    share = (F.col("position") - F.col("knot")) / (F.col("next") - F.col("knot"))
-    coord = F.when(before | F.col("next").isNull(), F.col("coord")).otherwise(F.col("coord") + share * (F.col("next_coord") - F.col("coord")))
-    return met.select(*by, "position", coord.alias("coord"))
+    knot = F.struct("position", "coord")
+    both = knots.select(*by, "position", F.lit(0).alias("asked"), knot.alias("knot")).unionByName(points.where("position is not null").distinct().select(*by, "position", F.lit(1).alias("asked")), allowMissingColumns=True)
+    whole = Window.unboundedPreceding, Window.currentRow
+    last = F.last("knot", ignorenulls=True)
+    # a knot at the point itself is the last one, not the next one
+    low = last.over(Window.partitionBy(*by).orderBy("position", "asked").rowsBetween(*whole))
+    high = last.over(Window.partitionBy(*by).orderBy(F.desc("position"), F.desc("asked")).rowsBetween(*whole))
+    met = both.withColumn("low", low).withColumn("high", high).where("asked = 1 and (low is not null or high is not null)")
+    share = (F.col("position") - F.col("low.position")) / (F.col("high.position") - F.col("low.position"))
+    between = F.col("low.coord") + share * (F.col("high.coord") - F.col("low.coord"))
+    return met.select(*by, "position", F.when(F.col("low").isNull(), F.col("high.coord")).when(F.col("high").isNull(), F.col("low.coord")).otherwise(between).alias("coord"))
 
 
 def exons_near(exons: DataFrame, introns: DataFrame, longest: int = 500) -> DataFrame:

@@ -55,3 +55,23 @@ def test_labels_alternate_and_lose_missing_p_values(spark):
     assert got == {1: ("clu\n1\n0.25", -1.6), 2: ("clu\n2", 2.4000000000000004)}
     split = plots.split_edges(arcs, tested, 0.3).collect()
     assert {(r.clu, r.significant, r.fdr) for r in split} == {(1, True, "0.25"), (2, False, ".")}
+
+
+def test_points_among_many_knots(spark):
+    """A cluster of 100 000 knots, points on, between and beyond them; one without knots has no coordinates."""
+    import numpy as np
+
+    knots = spark.range(100_000).selectExpr("1L as clu", "id * 3 as position", "double(id * id % 1009) as coord")
+    asked = [-5, 0, 1, 3, 299_996, 299_997, 299_998, 400_000, *range(7, 290_000, 9973)]
+    points = spark.createDataFrame([(1, p) for p in asked] * 2 + [(2, 5), (1, None)], "clu long, position long")
+    got = {r.position: r.coord for r in plotdata.invert_mapping(points, knots, "clu").collect()}
+    n = np.arange(100_000)
+    assert sorted(got) == sorted(set(asked)) and all(abs(got[p] - np.interp(p, n * 3, n * n % 1009)) < 1e-9 for p in asked)
+
+
+def test_quantiles_of_all_p_values(spark):
+    rows = [(i, (i * 7919 % 1000 + 1) / 1001) for i in range(1000)] + [(-1, None), (-2, 0.5), (-3, 0.5)]
+    got = plotdata.qq_points(spark.createDataFrame(rows, "i int, p double").repartition(5), "p").collect()
+    known = sorted(p for _, p in rows if p is not None)
+    want = [(-math.log10(p), -math.log10((k + 0.5) / len(known))) for k, p in enumerate(known)]
+    assert all(abs(a - c) < 1e-12 and abs(b - d) < 1e-12 for (a, b), (c, d) in zip(sorted(map(tuple, got)), sorted(want), strict=True))
