@@ -220,7 +220,7 @@ shared as (select distinct c.clu, c.chrom, c.a, c.b, c.strand, s.transcript from
     "dm_loglik": _with(ALL, """select clu, round(sum(ll), 5) as loglik from (
       select clu, sample, lgamma(12) - lgamma(12 + sum(n)) + sum(lgamma(12.0::double / k + n) - lgamma(12.0::double / k)) as ll from (select *, count(*) over (partition by clu, sample) as k from counts) group by clu, sample) group by clu"""),
     "bb_loglik": _with(ALL, "select clu, a, b, round(sum(lgamma(7 * 0.4::double + n) - lgamma(7 * 0.4::double) + lgamma(7 * 0.6::double + tot - n) - lgamma(7 * 0.6::double) + lgamma(7) - lgamma(7 + tot)), 5) as loglik from counts group by clu, a, b"),
-    "bb_fit": _with(", ".join([ALL, GROUPS]) + TWO + TESTABLE.format(size=2).replace("counts", "two") + "," + _two_categories(), """select clu, status, 1 as df, round(h, 3) as loglr, round(case when h <= 0 then 1 else 1 - (select sum(exp(-h + (i + 0.5::double) * ln(h) - lgamma(i + 1.5::double))) from range(400) t(i)) end, 3) as p, round(shift, 3) as deltapsi
+    "bb_fit": _with(", ".join([ALL, GROUPS]) + TWO + TESTABLE.format(size=2).replace("counts", "two") + "," + _two_categories(), """select clu, status, 1 as df, round(h, 3) + 0.0::double as loglr, round(case when h <= 0 then 1 else 1 - (select sum(exp(-h + (i + 0.5::double) * ln(h) - lgamma(i + 1.5::double))) from range(400) t(i)) end, 3) + 0.0::double as p, round(shift, 3) + 0.0::double as deltapsi
       from (select clu, case when bool_and(converged) then 'Success' else 'timeout' end as status, max(v) filter (grouped) - max(v) filter (not grouped) as h, 1 / (1 + exp(-any_value(e[2]) filter (grouped))) - 1 / (1 + exp(-any_value(e[1]) filter (grouped))) as shift from ends group by clu)"""),
     "ds_identities": _with(FIT.format(size=10), "select clu, k - 1 as df, k as introns, true as p_fits, true as sums, true as better from used"),
     "ds_single_concentration": _with(FIT.format(size=10), "select clu, k - 1 as df from used"),
