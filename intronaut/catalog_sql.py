@@ -163,7 +163,7 @@ three as (select x.clu, x.d as d1, y.d as d2, z.d as d3, x.verdict as v1, y.verd
       where (start_pos between low and high or end_pos between low and high) and (end_pos - start_pos <= 500 or end_pos = low or start_pos = high)
         and (exists (select 1 from clu c where c.clu = s.clu and c.b = start_pos) or exists (select 1 from clu c where c.clu = s.clu and c.a = end_pos))"""),
     "group_usage": _with(", ".join([ALL, GROUPS]), "select clu, a, b, grp, round(avg(n / nullif(tot, 0)), 9) as mean_psi, cast(sum(n) as bigint) as reads from counts join groups using (sample) group by clu, a, b, grp"),
-    "top_clusters": _with(CLUSTERS + ", scored as (select clu, sum(n) as t, 1.0::double / sum(n) as fdr from clu group by clu)", "select clu, round(fdr, 9) as fdr from scored where fdr < 0.01 order by fdr, clu limit 30"),
+    "top_clusters": _with(CLUSTERS + ", scored as (select clu, sum(n) as t, 1.0::double / sum(n) as fdr from clu group by clu)", "select clu, round(fdr, 9) as fdr from scored where fdr < 0.01 order by scored.fdr, clu limit 30"),
     "sam_blocks": """with sam as (select l_orderkey, l_linenumber, l_partkey * 10 + 1 as pos, cast(l_quantity as bigint) as q, 60 + l_linenumber * 10 as gap, l_linenumber as k from lineitem)
       select l_orderkey, l_linenumber, pos - 1 as chrom_start, concat_ws(',', case k % 4 when 1 then 10 + 8 when 2 then 10 + 3 + 8 else 10 end, q + 5) as block_sizes, concat_ws(',', 0, gap + case k % 4 when 1 then 18 when 2 then 21 else 10 end) as block_starts from sam""",
     "bed_junctions": """with sam as (select concat('chr', 1 + l_suppkey % 5) as chrom, case when l_linestatus = 'O' then '+' else '-' end as strand, (l_partkey % 50) * 10 as start, 60 + l_linenumber * 10 as gap, case l_linenumber % 4 when 1 then 18 when 2 then 21 else 10 end as size from lineitem)

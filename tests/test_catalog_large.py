@@ -30,3 +30,9 @@ def test_effects_of_equal_groups_are_no_negative_zeros(both):
     half = f"select * replace (floor(l_extendedprice / 8) * 8 + floor(l_extendedprice) % 4 as l_extendedprice) from '{SF}/lineitem.parquet'"
     got, want = both("bb_fit", f"select * from ({half}) union all select * replace (l_extendedprice + 4 as l_extendedprice) from ({half})")
     assert got == want and not any("-0.0" in row for row in want) and len(got) > 20
+
+
+def test_top_clusters_are_those_of_the_values_before_rounding(both):
+    """Values below 1e-8 are equal to nine digits."""
+    got, want = both("top_clusters", f"select * replace (l_quantity * 4e6 as l_quantity) from '{SF}/lineitem.parquet'")
+    assert got == want and len(got) == 30
