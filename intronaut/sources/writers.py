@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from intronaut.functions.text import number
 from intronaut.operators.clustering import intron_id
 from intronaut.operators.counts import wide
 
@@ -100,7 +101,7 @@ def phenotype_ids() -> Column:
 
 def write_phenotype_summary(summary: DataFrame, components: DataFrame, chroms: list[str], samples: list[str], path: str) -> None:
     """``.ave`` (id, least, largest and mean ratio), ``.PCs`` (a row per component) and the ``_prepare.sh`` that indexes the matrices."""
-    text = [F.col(c).cast("string") for c in ("min_ratio", "max_ratio", "mean_ratio")]
+    text = [number(F.col(c)) for c in ("min_ratio", "max_ratio", "mean_ratio")]
     summary.select(F.concat_ws(" ", phenotype_ids(), *text).alias("value")).write.mode("overwrite").text(f"{path}.ave")
     loadings = components.groupBy("pc").pivot("sample", samples).agg(F.first("loading"))
     _tsv(loadings.select(F.col("pc").alias("id"), *named(samples)).orderBy("id").coalesce(1), f"{path}.PCs")

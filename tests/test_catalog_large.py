@@ -36,3 +36,9 @@ def test_top_clusters_are_those_of_the_values_before_rounding(both):
     """Values below 1e-8 are equal to nine digits."""
     got, want = both("top_clusters", f"select * replace (l_quantity * 4e6 as l_quantity) from '{SF}/lineitem.parquet'")
     assert got == want and len(got) == 30
+
+
+def test_small_ratios_are_written_as_plain_numbers(both):
+    """A sample without reads of an intron has a ratio below 0.001 where it has 500 reads of the cluster."""
+    got, want = both("phenotype_summary_files", f"select * replace (l_quantity * 400 as l_quantity) from '{SF}/lineitem.parquet'")
+    assert got == want and any(" 0.000" in row for row in got) and any("e-0" in row for row in got)
