@@ -174,3 +174,23 @@ def test_special_functions(spark):
         assert r.erfc == pytest.approx(math.erfc(r.x), rel=1e-9, abs=1e-300)
     grid = spark.createDataFrame([(x, n) for x in (0.0, 0.3, 4.0, 18.0, 70.0) for n in range(1, 9)], "x double, df int").select("x", "df", stats.chi_square_p("x", "df").alias("p")).collect()
     assert all(r.p == pytest.approx(models.chi_square_survival(r.x, r.df), rel=1e-9) for r in grid)
+
+
+def test_fits_of_a_batch_are_those_of_single_clusters(spark):
+    """Clusters of several sizes and numbers of samples side by side, and each alone."""
+    rng, rows = np.random.default_rng(8), []
+    for clu in range(5):
+        x, y = regression(rng, 12 + clu % 3 * 5, 2 + clu % 2, 2)
+        rows.append((clu, y.shape[1], [(a.tolist(), b.tolist()) for a, b in zip(x, y, strict=True)], [0.0] * (2 * y.shape[1]) + [2.0] * y.shape[1]))
+    frame = spark.createDataFrame(rows, "clu long, k int, obs array<struct<x:array<double>,y:array<double>>>, start array<double>")
+    whole = {r.clu: r for r in rounds.fitted(frame.coalesce(1), rounds.Model(2)).collect()}
+    for clu in range(5):
+        alone = rounds.fitted(frame.where(f"clu = {clu}"), rounds.Model(2)).first()
+        assert alone.value == pytest.approx(whole[clu].value, abs=1e-9) and alone.rounds == whole[clu].rounds and len(alone.theta) == 3 * (2 + clu % 2)
+
+
+def test_counts_of_the_fits_read_their_table_once(spark):
+    """What the fits look at several times is written: no plan after it goes back to the line items."""
+    from intronaut import catalog
+
+    assert not any("lineitem" in f for made in (catalog._counts, catalog._some_clusters) for f in made(spark, "/root/testdata/sf0.001").inputFiles())
