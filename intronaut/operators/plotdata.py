@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from intronaut.functions.ordering import numbered
+from intronaut.functions.ordering import placed
 from intronaut.functions.products import column_products
 from intronaut.scratch import materialize
 
+#: Equal p-values whose places are made in one row.
+PIECE = 20_000
+
 
 def plot_coords(introns: DataFrame, *by: str) -> DataFrame:
     """(by, position, coord): sorted distinct ends of introns, drawn at the running sum of log(distance + 1)."""
@@ -145,12 +148,19 @@ def scores_with_meta(scores: DataFrame, meta: DataFrame) -> DataFrame:
 def qq_points(table: DataFrame, p: str, *by: str) -> DataFrame:
     """Observed against expected -log10 p-values, ``(i - 0.5) / n`` for the i-th.
 
-    Without ``by`` the places come from range partitions, so no task sees all p-values.
+    Without ``by`` the places come from range partitions of the distinct p-values, and their rows are made in pieces: no task sees all
+    p-values, nor all that are equal.
     """
     if not by:
-        known = materialize(table.where(F.col(p).isNotNull()).select(F.col(p).alias("p")), "p_values")
-        n = known.count()
-        return numbered(known, "i", "p").select((-F.log10("p")).alias("observed"), (-F.log10((F.col("i") - 0.5) / F.lit(n))).alias("expected"))
+        # equal p-values take a run of places: one row each until they are dealt out in pieces
+        values = placed(table.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count("*").alias("m")), "p", sums=("m",))
+        values = materialize(values, "p_values")
+        n = values.agg(F.sum("m")).first()[0] or 0
+        # a set number of tasks: the pieces are few and become many rows
+        tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pieces = values.select("p", "m", "_before_m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(PIECE).cast("long"))).alias("first")).repartition(tasks, "p", "first")
+        ranked = pieces.select("p", F.explode(F.sequence(F.col("_before_m") + F.col("first") + 1, F.col("_before_m") + F.least(F.col("first") + PIECE, F.col("m")))).alias("i"))
+        return ranked.select((-F.log10("p")).alias("observed"), (-F.log10((F.col("i") - 0.5) / F.lit(n))).alias("expected"))
     w = Window.partitionBy(*by)
     i = F.row_number().over(w.orderBy(p))
     return table.where(F.col(p).isNotNull()).select(*by, (-F.log10(p)).alias("observed"), (-F.log10((i - 0.5) / F.count("*").over(w))).alias("expected"))

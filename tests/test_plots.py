@@ -75,3 +75,17 @@ def test_quantiles_of_all_p_values(spark):
     known = sorted(p for _, p in rows if p is not None)
     want = [(-math.log10(p), -math.log10((k + 0.5) / len(known))) for k, p in enumerate(known)]
     assert all(abs(a - c) < 1e-12 and abs(b - d) < 1e-12 for (a, b), (c, d) in zip(sorted(map(tuple, got)), sorted(want), strict=True))
+
+
+def test_equal_p_values_are_dealt_out_in_pieces(spark):
+    """90 000 rows of 2 values: no task of the result holds more than a share of one of them."""
+    rows = spark.range(90_000).selectExpr("if(id % 3 = 0, 0.25D, 0.5D) as p")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = plotdata.qq_points(rows, "p")
+        sizes = [n for n in found.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 90_000 and max(sizes) < 60_000 and len(sizes) > 2
+    want = sorted([round(-math.log10((i + 0.5) / 90_000), 9) for i in range(90_000)])
+    assert sorted(round(r.expected, 9) for r in found.collect()) == want
