@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from intronaut.functions.gamma import lgamma
 from intronaut.functions.rounds import Model, fitted
-from intronaut.functions.special import lgamma, total
+from intronaut.functions.special import total
 from intronaut.functions.stats import cluster_p
 from intronaut.operators.differential import SUCCESS, TIMEOUT
 from intronaut.scratch import materialize
@@ -16,6 +23,8 @@ SHARES = Model(covariates=0, shape=1.0, rate=0.0)
 #: Sum of the parameters that a fit starts from.
 START_TOTAL = 10.0
 EPS = 2.0**-52
+#: Terms of a Gaussian sum.
+NODES = 16
 
 
 def testable(counts: DataFrame, max_size: int = 10, min_coverage: int = 20) -> DataFrame:
@@ -50,22 +59,65 @@ def share_parameters(clusters: DataFrame, rounds: int = 60) -> DataFrame:
     return found.selectExpr("clu", "transform(theta, c -> exp(c) / size(theta)) as alpha", "value as loglik", f"if(converged, '{SUCCESS}', '{TIMEOUT}') as status")
 
 
+@lru_cache(maxsize=64)
+def _nodes(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and weights that sum a function over 0 .. length - 1 exactly where it is a polynomial of up to twice as many terms; all places if they are few."""
+    if length <= NODES:
+        return np.arange(length, dtype=float), np.ones(length)
+    i = np.arange(1, NODES)
+    off = np.sqrt(i**2 * (float(length) ** 2 - i**2) / (4 * (4 * i**2 - 1.0)))
+    places, vectors = np.linalg.eigh(np.diag(off, 1) + np.diag(off, -1))
+    return places + (length - 1) / 2, length * vectors[0] ** 2
+
+
+def _two_sided(n: np.ndarray, tot: np.ndarray, alpha: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """See :func:`tails`."""
+    high = n * (alpha + rest) > alpha * tot
+    # the lower tail is the upper one of the other reads
+    first, al, be = np.where(high, n, tot - n), np.where(high, alpha, rest), np.where(high, rest, alpha)
+    fixed = lgamma(tot + 1) - lgamma(tot + al + be) + lgamma(al + be) - lgamma(al) - lgamma(be)
+
+    def pmf(c: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        t, a, b, f = (v[rows][:, None] for v in (tot, al, be, fixed))
+        return np.exp(f - lgamma(c + 1) - lgamma(t - c + 1) + lgamma(c + a) + lgamma(t - c + b))
+
+    own = pmf(first[:, None], np.arange(len(n)))[:, 0]
+    outer, at = np.zeros(len(n)), first.copy()
+    left = np.arange(len(n))
+    while len(left):
+        # stretches as long as they are far from the count, and from the end
+        room = np.minimum(at[left] - first[left], (tot[left] - at[left] + 1) / 2)
+        lengths = 2 ** np.floor(np.log2(np.maximum(room, NODES))).astype(int)
+        for length in np.unique(lengths):
+            rows = left[lengths == length]
+            places, weights = _nodes(int(length))
+            c = at[rows][:, None] + places
+            inside = c <= tot[rows][:, None]
+            outer[rows] += np.where(inside, pmf(np.minimum(c, tot[rows][:, None]), rows), 0) @ weights
+            at[rows] += length
+        left = left[at[left] <= tot[left]]
+    outer = np.minimum(outer, 1)
+    inner = np.clip(1 - outer + own, 0, 1)
+    return np.minimum(1, 2 * np.minimum(np.clip(outer, EPS, 1 - EPS), np.clip(inner, EPS, 1 - EPS)))
+
+
 def tails(cells: DataFrame) -> DataFrame:
     """``cells`` (n, tot: a count and the reads of its sample and cluster; alpha, rest: its parameter and the sum of the others) with ``p``, two-sided.
 
-    The smaller tail is summed from the count outwards, term by term from the ratio of neighbours; the other one is what is left. Both
-    include the count and lie within [eps, 1 - eps].
+    The smaller tail is summed from the count outwards, the other one is what is left; both include the count and lie within
+    [eps, 1 - eps]. Next to the count and to the end every term is summed, between them stretches of doubled length by Gaussian sums of 16
+    terms each, so the work grows with the logarithm of the reads.
     """
-    log_pmf = f"{lgamma('(tot + 1)')} - {lgamma('(n + 1)')} - {lgamma('(tot - n + 1)')} + {lgamma('(n + alpha)')} + {lgamma('(tot - n + rest)')} - {lgamma('(tot + alpha + rest)')} + {lgamma('(alpha + rest)')} - {lgamma('alpha')} - {lgamma('rest')}"
-    known = cells.selectExpr("*", f"exp({log_pmf}) as pmf", "n * (alpha + rest) > alpha * tot as high")
-    # from c to c + 1, and from c to c - 1
-    up = "(tot - c) * (c + alpha) / ((c + 1) * (tot - c - 1 + rest))"
-    down = "c * (tot - c + rest) / ((tot - c + 1) * (c - 1 + alpha))"
-    fold = lambda first, last, by, ratio: f"aggregate(if({first} {'<' if by > 0 else '>'} {last}, sequence(bigint({first}), bigint({last} - {by}), {by}L), cast(array() as array<bigint>)), struct(1D as term, 1D as sum), (s, c) -> struct(s.term * {ratio} as term, s.sum + s.term * {ratio} as sum), s -> s.sum)"
-    outward = f"if(high, {fold('n', 'tot', 1, up)}, {fold('n', '0', -1, down)})"
-    near = known.selectExpr("*", f"least(pmf * {outward}, 1D) as outer").selectExpr("*", "least(greatest(1 - outer + pmf, 0D), 1D) as inner")
-    within = lambda c: f"least(greatest({c}, {EPS!r}D), 1 - {EPS!r}D)"
-    return near.selectExpr("*", f"least(1D, 2 * least({within('outer')}, {within('inner')})) as p").drop("pmf", "high", "outer", "inner")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                n, tot, alpha, rest = (part.column(c).to_numpy(zero_copy_only=False) for c in ("n", "tot", "alpha", "rest"))
+                with np.errstate(all="ignore"):
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_two_sided(n, tot, alpha, rest))], [*part.schema.names, "p"])
+
+    return cells.mapInArrow(run, StructType([*cells.schema.fields, StructField("p", DoubleType())]))
 
 
 def outlier_cells(clusters: DataFrame, parameters: DataFrame) -> DataFrame:

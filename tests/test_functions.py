@@ -194,3 +194,18 @@ def test_counts_of_the_fits_read_their_table_once(spark):
     from intronaut import catalog
 
     assert not any("lineitem" in f for made in (catalog._counts, catalog._some_clusters) for f in made(spark, "/root/testdata/sf0.001").inputFiles())
+
+
+def test_tails_of_many_reads_take_few_terms():
+    """Ten thousand counts of a million reads each, term by term ten thousand million terms; three of them against the whole sum."""
+    import time
+
+    tot, n = np.full(10_000, 1e6), np.linspace(0, 1e6, 10_000).round()
+    begun = time.monotonic()
+    got = outlier._two_sided(n, tot, np.full(10_000, 4.0), np.full(10_000, 16.0))
+    assert time.monotonic() - begun < 60
+    c = np.arange(1e6 + 1)
+    pmf = np.exp(outlier.lgamma(1e6 + 1) - outlier.lgamma(c + 1) - outlier.lgamma(1e6 - c + 1) + outlier.lgamma(c + 4) + outlier.lgamma(1e6 - c + 16) - outlier.lgamma(1e6 + 20) + outlier.lgamma(20.0) - outlier.lgamma(4.0) - outlier.lgamma(16.0))
+    for i in (500, 2_000, 5_000):
+        k = int(n[i])
+        assert got[i] == pytest.approx(min(1.0, 2 * min(pmf[k:].sum(), pmf[: k + 1].sum())), abs=1e-8)
