@@ -12,7 +12,12 @@ FIELDS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "mrnm", "mpos", "isi
 
 def parse_sam(lines: DataFrame, column: str = "value") -> DataFrame:
     """Records of SAM lines; header and blank lines are skipped."""
-    rows = lines.where((F.trim(column) != "") & ~F.col(column).startswith("@")).select(F.split(F.trim(column), r"\s+", 12).alias("p"))
+    text = F.trim(column)
+    # a split by one character needs no pattern; other white space, and tabs in a row, are left to the pattern
+    plain = ~F.contains(text, F.lit("\t\t"))
+    for c in " \n\r\f\v":
+        plain = plain & ~F.contains(text, F.lit(c))
+    rows = lines.where((text != "") & ~F.col(column).startswith("@")).select(F.when(plain, F.split(text, "\t", 12)).otherwise(F.split(text, r"\s+", 12)).alias("p"))
     number = {"flag": "int", "pos": "long", "mapq": "int", "mpos": "long", "isize": "long"}
     return rows.select(*[F.get("p", F.lit(i)).cast(number.get(f, "string")).alias(f) for i, f in enumerate(FIELDS)])
 

@@ -33,3 +33,10 @@ def test_spliced_filter(spark):
 def test_flags(spark):
     r = blocks(spark, "10M", flag=83).select(*[alignments.flag(f).alias(f) for f in alignments.FLAGS]).first()
     assert (r.paired, r.proper, r.unmapped, r.mate_unmapped, r.reverse, r.mate_reverse, r.first_read) == (True, True, False, False, True, False, True)
+
+
+def test_records_split_at_any_white_space(spark):
+    """Single tabs are split without a pattern, other white space and runs of it by one."""
+    lines = [("q 0\tchr1\t\t5 9\t10M\t*\t0\t0\tA\tI\tNM:i:1\tXT:A:U",), ("q\t0\tchr1\t5\t9\t10M\t*\t0\t0\tA\tI\tNM:i:1\tXT:A:U",)]
+    first, second = alignments.parse_sam(spark.createDataFrame(lines, "value string")).collect()
+    assert first == second and first.tags == "NM:i:1\tXT:A:U"
