@@ -1,9 +1,11 @@
 """Queries against their SQL twins on tables whose sums are as large as those of large inputs."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from intronaut.functions import rounds
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +44,18 @@ def test_small_ratios_are_written_as_plain_numbers(both):
     """A sample without reads of an intron has a ratio below 0.001 where it has 500 reads of the cluster."""
     got, want = both("phenotype_summary_files", f"select * replace (l_quantity * 400 as l_quantity) from '{SF}/lineitem.parquet'")
     assert got == want and any(" 0.000" in row for row in got) and any("e-0" in row for row in got)
+
+
+def test_fits_of_many_reads_are_not_stopped_by_rounding():
+    """Sums of terms of 1e9 are rounded by more than what a fit may lose in a step."""
+    random, many, samples = np.random.default_rng(1), 300, 16
+    x, real = np.ones((many, samples, 2)), np.ones((many, samples))
+    x[:, :, 1] = np.arange(samples) % 2
+    total = random.integers(20_000_000, 40_000_000, (many, samples))
+    first = random.binomial(total, random.beta(600, 1200, (many, samples)))
+    y = np.stack([first, total - first], axis=2).astype(float)
+    start = np.zeros((many, 5))
+    start[:, :2] = np.log((y + 1) / (y.sum(axis=2, keepdims=True) + 2)).mean(axis=1)
+    start[:, 4] = np.log(10)
+    done = rounds._ends(rounds.Model(2, multi=False), 60, start, np.full(many, 0.01), x, y, real)[4]
+    assert done.all()
