@@ -276,6 +276,11 @@ def outlier_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.union(mean)
 
 
+def _scaled(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    """Rounded like the SQL's doubles: times a power of ten, to the next whole number, and back. Spark's ``round`` goes by the text of the double, which at some ties is the other side."""
+    return df.withColumns({c: F.round(F.col(c) * 10.0**digits) / 10.0**digits for c in columns})
+
+
 def _ratio_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(phenotype.imputed(phenotype.ratios(_counts(spark, sf_dir))), 9, "value", "ratio")
 
@@ -296,7 +301,7 @@ def phenotype_summary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, table = scratch_path(spark, "ratios"), _dotted(_ratio_table(spark, sf_dir))
     chroms = sorted(r.chrom for r in table.select("chrom").distinct().collect())
     components = phenotype.components(table, "value", list(DOTTED.values()), 2)
-    writers.write_phenotype_summary(_rounded(phenotype.summary(table), 6, "min_ratio", "max_ratio", "mean_ratio"), components, chroms, list(DOTTED.values()), path)
+    writers.write_phenotype_summary(_scaled(phenotype.summary(table), 6, "min_ratio", "max_ratio", "mean_ratio"), components, chroms, list(DOTTED.values()), path)
     pcs = readers.read_matrix(spark, f"{path}.PCs").agg(F.count("value").cast("string").alias("value"))
     lines = [spark.read.text(f"{path}{e}").select(F.lit(n).alias("file"), F.regexp_replace("value", r"\S*/ratios-\w+", "ratios").alias("line")) for e, n in ((".ave", "ave"), ("_prepare.sh", "prepare"))]
     return lines[0].union(lines[1]).union(pcs.select(F.lit("PCs").alias("file"), "value"))
