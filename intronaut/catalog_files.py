@@ -345,10 +345,9 @@ def sam_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def read_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mapped unique reads of pairs, first and second ones apart."""
+    """Mapped unique reads of pairs, first and second ones told apart."""
     chosen = alignments.select_reads(_tagged(spark, sf_dir), unique=True).where(alignments.flag("paired"))
-    first, second = alignments.split_mates(chosen)
-    return first.select("qname", F.lit(1).alias("mate")).union(second.select("qname", F.lit(2)))
+    return alignments.mates(chosen).select("qname", "mate")
 
 
 def queries() -> dict[str, Query]:

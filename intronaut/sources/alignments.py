@@ -14,10 +14,12 @@ def parse_sam(lines: DataFrame, column: str = "value") -> DataFrame:
     """Records of SAM lines; header and blank lines are skipped."""
     text = F.trim(column)
     # a split by one character needs no pattern; other white space, and tabs in a row, are left to the pattern
-    plain = ~F.contains(text, F.lit("\t\t"))
+    plain = ~F.contains(F.col("t"), F.lit("\t\t"))
     for c in " \n\r\f\v":
-        plain = plain & ~F.contains(text, F.lit(c))
-    rows = lines.where((text != "") & ~F.col(column).startswith("@")).select(F.when(plain, F.split(text, "\t", 12)).otherwise(F.split(text, r"\s+", 12)).alias("p"))
+        plain = plain & ~F.contains(F.col("t"), F.lit(c))
+    whole = lines.where((text != "") & ~F.col(column).startswith("@")).select(text.alias("t"))
+    # a line is split once: Spark copies an expression into each filter on its fields, but none into a generator
+    rows = whole.select(F.explode(F.array(F.when(plain, F.split("t", "\t", 12)).otherwise(F.split("t", r"\s+", 12)))).alias("p"))
     number = {"flag": "int", "pos": "long", "mapq": "int", "mpos": "long", "isize": "long"}
     return rows.select(*[F.get("p", F.lit(i)).cast(number.get(f, "string")).alias(f) for i, f in enumerate(FIELDS)])
 
@@ -96,10 +98,16 @@ def select_reads(rows: DataFrame, unique: bool = False) -> DataFrame:
     return mapped.where("unique") if unique else mapped
 
 
-def split_mates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """First and second reads of pairs; a single-end read has no mate and is an error here."""
+def mates(rows: DataFrame) -> DataFrame:
+    """Reads of pairs with ``mate``, 1 for first and 2 for second ones; a single-end read has no mate and is an error here."""
     paired = rows.where(F.when(flag("paired"), F.lit(True)).otherwise(F.raise_error(F.lit("reads of pairs are split, but a read is single")).cast("boolean")))
-    return paired.where(flag("first_read")), paired.where(~flag("first_read"))
+    return paired.withColumn("mate", F.when(flag("first_read"), 1).otherwise(2))
+
+
+def split_mates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """First and second reads of pairs apart."""
+    paired = mates(rows)
+    return paired.where("mate = 1").drop("mate"), paired.where("mate = 2").drop("mate")
 
 
 def bed_lines(rows: DataFrame) -> DataFrame:

@@ -40,3 +40,14 @@ def test_records_split_at_any_white_space(spark):
     lines = [("q 0\tchr1\t\t5 9\t10M\t*\t0\t0\tA\tI\tNM:i:1\tXT:A:U",), ("q\t0\tchr1\t5\t9\t10M\t*\t0\t0\tA\tI\tNM:i:1\tXT:A:U",)]
     first, second = alignments.parse_sam(spark.createDataFrame(lines, "value string")).collect()
     assert first == second and first.tags == "NM:i:1\tXT:A:U"
+
+
+def test_lines_are_split_once_whatever_reads_their_fields(spark):
+    """Filters on fields must not each carry a copy of the text and its split."""
+    rows = alignments.tags(alignments.parse_sam(spark.range(4).selectExpr("concat_ws('\t', id, 64 * id + 1, 'chr1', 5, 9, '10M', '*', 0, 0, 'A', 'I', 'XT:A:U') as value")))
+    found = alignments.mates(alignments.select_reads(rows, unique=True)).select("qname", "mate")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2 and plan.count("concat_ws(") <= 3
+    assert {(r.qname, r.mate) for r in found.collect()} == {("0", 2), ("1", 1), ("2", 2), ("3", 1)}
+    first, second = alignments.split_mates(alignments.select_reads(rows, unique=True))
+    assert {r.qname for r in first.collect()} == {"1", "3"} and {r.qname for r in second.collect()} == {"0", "2"}
