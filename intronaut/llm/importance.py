@@ -2,7 +2,8 @@
 
 Features of a text (runs of up to ``max_words`` words) fall into hash buckets. The matrix of
 counts is written once as CSR blocks: a block is some documents' row borders, bucket numbers
-and counts, so a row of the table is bounded whatever the length of a text. Its column sums
+and counts, so a row of the table is bounded whatever the length of a text. Blocks are small,
+since Spark reads 4096 rows of them at once, whatever their size. Its column sums
 are the corpus distribution; those of the target's blocks are the target's. The gains of the
 buckets, as many numbers as there are buckets, go to every task, which multiplies its blocks
 by them. The draw is by Gumbel noise from a hash of the document's number, so reruns agree;
@@ -25,6 +26,10 @@ from intronaut.llm.words import NOT_ALNUM, Words, split_words
 from intronaut.scratch import materialize
 
 BLOCKS = "doc_id array<long>, n_words array<long>, indptr array<int>, indices array<int>, counts array<int>"
+#: A block ends after so many counts or documents, but holds one document at least.
+BLOCK_COUNTS, BLOCK_DOCUMENTS = 1024, 256
+#: Blocks that a task multiplies at once.
+BLOCKS_AT_ONCE = 128
 #: Longer features are hashed one at a time.
 LONG_BYTES = 64
 _BITS = np.arange(256, dtype=np.uint32)
@@ -71,10 +76,17 @@ def _features(words: Words, max_words: int, buckets: int) -> tuple[np.ndarray, n
 
 
 def _blocks(max_words: int, buckets: int):
-    def block(ids: pa.Array, n_words: np.ndarray, rows: np.ndarray, found: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        borders = np.searchsorted(rows, np.arange(len(ids) + 1)).astype(np.int32)
-        cells = [ids, pa.array(n_words.astype(np.int64)), pa.array(borders), pa.array(found.astype(np.int32)), pa.array(counts.astype(np.int32))]
-        return pa.record_batch([pa.ListArray.from_arrays([0, len(c)], c) for c in cells], ["doc_id", "n_words", "indptr", "indices", "counts"])
+    def blocks(ids: pa.Array, n_words: np.ndarray, rows: np.ndarray, found: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        borders = np.searchsorted(rows, np.arange(len(ids) + 1))
+        # a block begins where the counts before a document pass a multiple of BLOCK_COUNTS
+        begins = (np.diff(borders[:-1] // BLOCK_COUNTS, prepend=-1) > 0) | (np.arange(len(ids)) % BLOCK_DOCUMENTS == 0)
+        cuts = np.append(np.flatnonzero(begins), len(ids))
+        sizes, first = np.diff(cuts) + 1, np.arange(len(cuts))
+        block = np.repeat(first[:-1], sizes)
+        indptr = borders[np.arange(len(block)) - block] - borders[cuts[block]]
+        cells = [(cuts, ids), (cuts, pa.array(n_words.astype(np.int64))), (cuts + first, pa.array(indptr.astype(np.int32)))]
+        cells += [(borders[cuts], pa.array(v.astype(np.int32))) for v in (found, counts)]
+        return pa.record_batch([pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), v) for at, v in cells], ["doc_id", "n_words", "indptr", "indices", "counts"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,26 +100,32 @@ def _blocks(max_words: int, buckets: int):
                     long_words = words.base + len(words.starts)
                     if not words.more:
                         held = np.flatnonzero(long_row)
-                        yield block(ids.slice(words.first, 1), np.array([long_words]), np.zeros(len(held), np.int64), held, long_row[held])
+                        yield blocks(ids.slice(words.first, 1), np.array([long_words]), np.zeros(len(held), np.int64), held, long_row[held])
                     continue
                 keys, counts = np.unique(rows * buckets + found, return_counts=True)
-                yield block(ids.slice(words.first, words.last - words.first), words.counts, keys // buckets, keys % buckets, counts)
+                yield blocks(ids.slice(words.first, words.last - words.first), words.counts, keys // buckets, keys % buckets, counts)
 
     return build
 
 
 def csr_blocks(docs: DataFrame, max_words: int = 1, buckets: int = 10_000) -> DataFrame:
-    """Counts of the features of ``docs`` (doc_id, text) as CSR blocks of whole documents, about 1 MB of text each."""
+    """Counts of the features of ``docs`` (doc_id, text) as CSR blocks of whole documents, about ``BLOCK_COUNTS`` counts each."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_blocks(max_words, buckets), BLOCKS)
 
 
+def _some_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, len(batch), BLOCKS_AT_ONCE):
+            yield batch.slice(first, BLOCKS_AT_ONCE)
+
+
 def column_sums(blocks: DataFrame, buckets: int) -> np.ndarray:
     """Features in each bucket: every task sends the sums of its blocks, the driver gets ``buckets`` numbers."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in _some_blocks(batches):
             found, counts = (batch.column(c).flatten().to_numpy() for c in ("indices", "counts"))
             np.add.at(total, found, counts)
         held = np.flatnonzero(total)
@@ -129,12 +147,15 @@ def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
     """(doc_id, n_words, n_features, weight): each document's counts times the gains of their buckets."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                ids, n_words, borders, found, counts = (batch.column(c)[i].values for c in ("doc_id", "n_words", "indptr", "indices", "counts"))
-                counts, borders = counts.to_numpy().astype(np.int64), borders.to_numpy()
-                sums = [np.concatenate([[0], np.cumsum(v)])[borders] for v in (counts, counts * gain[found.to_numpy()])]
-                yield pa.record_batch([ids, n_words, *(pa.array(np.diff(s).astype(np.int64)) for s in sums)], ["doc_id", "n_words", "n_features", "weight"])
+        for batch in _some_blocks(batches):
+            ids, n_words, borders, found, counts = (batch.column(c).flatten() for c in ("doc_id", "n_words", "indptr", "indices", "counts"))
+            sizes, held = (np.diff(batch.column(c).offsets.to_numpy()) for c in ("indptr", "indices"))
+            at = borders.to_numpy() + np.repeat(np.cumsum(held) - held, sizes)
+            inside = np.ones(len(at) - 1, bool)
+            inside[np.cumsum(sizes)[:-1] - 1] = False  # from a block's last border to the first one of the next
+            counts = counts.to_numpy().astype(np.int64)
+            sums = [np.diff(np.concatenate([[0], np.cumsum(v)])[at])[inside] for v in (counts, counts * gain[found.to_numpy()])]
+            yield pa.record_batch([ids, n_words, *(pa.array(v.astype(np.int64)) for v in sums)], ["doc_id", "n_words", "n_features", "weight"])
 
     return blocks.mapInArrow(multiply, "doc_id long, n_words long, n_features long, weight long")
 
