@@ -27,9 +27,9 @@ from intronaut.scratch import materialize
 
 BLOCKS = "doc_id array<long>, n_words array<long>, indptr array<int>, indices array<int>, counts array<int>"
 #: A block ends after so many counts or documents, but holds one document at least.
-BLOCK_COUNTS, BLOCK_DOCUMENTS = 1024, 256
+BLOCK_COUNTS, BLOCK_DOCUMENTS = 128, 256
 #: Blocks that a task multiplies at once.
-BLOCKS_AT_ONCE = 128
+BLOCKS_AT_ONCE = 512
 #: Longer features are hashed one at a time.
 LONG_BYTES = 64
 _BITS = np.arange(256, dtype=np.uint32)

@@ -142,13 +142,13 @@ def test_hard_negatives_equal_brute_force(spark, digit, cells, monkeypatch):
 
 
 def test_blocks_of_counts_stay_small(spark):
-    """Spark reads thousands of blocks at once, so a block ends with the document that passes a thousand counts; borders hold across blocks."""
+    """Spark reads thousands of blocks at once, so a block ends with the document that passes 128 counts; borders hold across blocks."""
     random = np.random.default_rng(6)
     texts = [" ".join(f"w{x}" for x in random.integers(0, 900, n)) for n in random.integers(0, 300, 600)] + [None] * 600 + [" ".join(f"w{x}" for x in range(5000)), "w1 w1"]
     docs = [(None if i % 50 == 7 else i, t) for i, t in enumerate(texts)]
     blocks = importance.csr_blocks(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), 1, 10_000)
     rows = blocks.collect()
-    assert all(r.indptr[-2] < 1024 and len(r.doc_id) <= 256 for r in rows)
+    assert all(r.indptr[-2] < 128 and len(r.doc_id) <= 256 for r in rows)
     assert [i for r in rows for i in r.doc_id] == [i for i, _ in docs] and all(r.indptr[0] == 0 and r.indptr[-1] == len(r.indices) == len(r.counts) and len(r.indptr) == len(r.doc_id) + 1 for r in rows)
     gain = random.integers(-9, 9, 10_000)
     want = Counter((i, len((t or "").split()), len((t or "").split()), sum(int(gain[zlib.crc32(w.encode()) % 10_000]) for w in (t or "").split())) for i, t in docs)
